@@ -19,7 +19,6 @@ scores; a label given more than once counts as toxic if any of them does.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,11 +27,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from saldo.llm.arrays import small_batches
+from saldo.llm.arrays import BASE, U64, mix, prefix_hash, small_batches, span_hash
 from saldo.llm.bpe_words import Kept
 
-WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
-BUCKETS, DIMENSIONS, SHORTEST, LONGEST = 1 << 18, 6, 3, 6
+#: Words have a letter; numbers are no words.
+WORD = re.compile(r"[^\W_]*[^\W\d_][^\W_]*")
+BUCKETS, DIMENSIONS, SHORTEST, LONGEST = 1 << 17, 4, 3, 6
 #: Documents of each label that the model is fitted on.
 MOST = 1500
 THRESHOLD = 0.7
@@ -42,11 +42,24 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1
 
 
-def grams(word: str) -> list[int]:
-    """Buckets of a lower-cased word and of its n-grams."""
-    marked = f"<{word[:64]}>"
-    parts = {marked[i : i + n] for n in range(SHORTEST, LONGEST + 1) for i in range(len(marked) - n + 1)}
-    return [zlib.crc32(p.encode()) % BUCKETS for p in parts] + [zlib.crc32(b"=" + word.encode()) % BUCKETS]
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all n-grams of the words, marked at their edges, and of the words; and how many each word has."""
+    letters = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-32-le"), np.uint32).astype(U64)
+    size = np.array([len(w) + 2 for w in words], np.int64)
+    head = np.append(0, np.cumsum(size))
+    owner = np.repeat(np.arange(len(words)), size)
+    value, values, owners = np.zeros(len(letters), U64), [], []
+    for n in range(1, LONGEST + 1):
+        value = value[: len(letters) - n + 1] * U64(BASE) + letters[n - 1 :]
+        if n >= SHORTEST:
+            inside = owner[: len(value)] == owner[n - 1 :]
+            values.append(mix(value[inside] + U64(n)))
+            owners.append(owner[: len(value)][inside])
+    values.append(span_hash(prefix_hash(letters), head[:-1], head[1:]))
+    owners.append(np.arange(len(words)))
+    owners_ = np.concatenate(owners)
+    order = np.argsort(owners_, kind="stable")
+    return (np.concatenate(values)[order] % U64(BUCKETS)).astype(np.int64), np.bincount(owners_, minlength=len(words))
 
 
 @dataclass
@@ -57,24 +70,32 @@ class Model:
     slope: np.ndarray
     bias: float
 
-    def word(self, word: str) -> float:
-        return float(self.evidence[grams(word)].mean())
+    def words(self, words: list[str]) -> list[float]:
+        """Evidence of each word."""
+        if not words:
+            return []
+        buckets, n = grams(words)
+        return (np.add.reduceat(self.evidence[buckets], np.append(0, np.cumsum(n)[:-1])) / n).tolist()
 
     def score(self, strongest: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(strongest @ self.slope + self.bias, -40, 40)))
 
 
+#: What a text without words, or a second word where there is one only, counts as.
+NOTHING = -8.0
+
+
 def strongest(values: list[float]) -> tuple[float, float]:
-    """The highest evidence of a document's distinct words, and the mean of its three highest."""
-    top = sorted(values, reverse=True)[:3] or [0.0]
-    return top[0], sum(top) / len(top)
+    """The two highest evidences among a document's distinct words."""
+    top = sorted(values, reverse=True)[:2]
+    return (*top, NOTHING, NOTHING)[:2]
 
 
 def _softmax_fit(buckets: np.ndarray, n: np.ndarray, target: np.ndarray, weight: np.ndarray, state: dict, rounds: int, rng: np.random.Generator) -> None:
     """Adagrad over shuffled parts; n[i] of the buckets are word i's, target is the toxic share of its weight."""
     vectors, heads = state["vectors"], np.append(0, np.cumsum(n))
     for _ in range(rounds):
-        for part in np.array_split(rng.permutation(len(n)), max(1, len(n) // 4000)):
+        for part in np.array_split(rng.permutation(len(n)), max(1, len(n) // 10000)):
             size = n[part]
             first = np.append(0, np.cumsum(size)[:-1])
             take = np.repeat(heads[part] - first, size) + np.arange(size.sum())
@@ -104,9 +125,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
         part[own[::4]] = 1
     names = sorted({w for i, b in enumerate(bags) if not part[i] for w in b})
     place = {w: i for i, w in enumerate(names)}
-    split = [grams(w) for w in names]
-    n = np.array([len(s) for s in split])
-    buckets = np.array([b for s in split for b in s])
+    buckets, n = grams(names) if names else (np.zeros(0, int), np.zeros(0, int))
     state = {"vectors": rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float64), "output": rng.normal(0, 0.5, (DIMENSIONS, 2)), "bias": np.zeros(2), "seen": np.zeros(BUCKETS)}
     indexed = [np.array([place[w] for w in b], int) if not p else None for b, p in zip(bags, part, strict=True)]
     clean = np.bincount(np.concatenate([i for i, y in zip(indexed, labels, strict=True) if i is not None and not y] or [[]]).astype(int), minlength=len(names))
@@ -115,41 +134,43 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     def evidence() -> np.ndarray:
         return state["vectors"] @ (state["output"][:, 1] - state["output"][:, 0]) + state["bias"][1] - state["bias"][0]
 
-    for turn in range(4):
+    for turn in range(3):
         toxic = np.zeros(len(names))
         scores = np.add.reduceat(evidence()[buckets], heads[:-1]) / n if len(names) else toxic
         for index, y in zip(indexed, labels, strict=True):
             if index is not None and y and len(index):
                 if turn:  # the words that speak for the document
-                    top = index[np.argsort(-scores[index], kind="stable")[: max(1, min(5, len(index) // 10))]]
+                    top = index[np.argsort(-scores[index], kind="stable")[: max(1, min(3, len(index) // 10))]]
                     toxic[top] += 1
                 else:
                     toxic[index] += 1
-        ratio = toxic.sum() / max(1, clean.sum())
+        # A clean document's word weighs less than a chosen one of a toxic document, of which there are few.
+        ratio = max(0.2, toxic.sum() / max(1, clean.sum())) if turn else toxic.sum() / max(1, clean.sum())
         weight = toxic + clean * ratio
         keep = weight > 0
         chosen = np.flatnonzero(keep)
         take = np.concatenate([np.arange(heads[i], heads[i + 1]) for i in chosen]) if len(chosen) else chosen
         if len(chosen):
-            _softmax_fit(buckets[take], n[chosen], (toxic / np.maximum(weight, 1e-9))[chosen], np.minimum(weight[chosen], 20), state, 4, rng)
+            _softmax_fit(buckets[take], n[chosen], (toxic / np.maximum(weight, 1e-9))[chosen], np.minimum(weight[chosen], 50), state, 3, rng)
     model = Model(evidence().astype(np.float32), np.array([1.0, 1.0]), 0.0)
-    known = Kept(model.word)
-    features = np.array([strongest([known[w] for w in b]) for b, p in zip(bags, part, strict=True) if p])
+    own = [b for b, p in zip(bags, part, strict=True) if p]
+    known = dict(zip(every := sorted({w for b in own for w in b}), model.words(every), strict=True))
+    features = np.array([strongest([known[w] for w in b]) for b in own]).reshape(-1, 2)
     target = labels_[part == 1]
     return _logistic(model, features, target)
 
 
 def _logistic(model: Model, x: np.ndarray, y: np.ndarray) -> Model:
-    """Fit the document's logistic function by Newton steps with a small ridge, both labels weighing the same."""
+    """Fit the document's logistic function by Newton steps, drawn toward a start that leans on the strongest word."""
     if not len(y) or y.min() == y.max():
         return Model(model.evidence, np.array([1.0, 1.0]), -20.0)
-    weight = np.where(y == 1, 0.5 / (y == 1).mean(), 0.5 / (y == 0).mean())
     design = np.column_stack([x, np.ones(len(x))])
-    w = np.zeros(3)
+    start, pull = np.array([2.0, 0.2, 0.0]), np.array([1.0, 20.0, 1e-6])
+    w = start.copy()
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        gradient = design.T @ (weight * (p - y)) + 0.05 * w * [1, 1, 0]
-        hessian = (design * (weight * p * (1 - p))[:, None]).T @ design + np.diag([0.05, 0.05, 1e-6])
+        gradient = design.T @ (p - y) + pull * (w - start)
+        hessian = (design * (p * (1 - p))[:, None]).T @ design + np.diag(pull)
         w -= np.linalg.solve(hessian, gradient)
     return Model(model.evidence, w[:2], float(w[2]))
 
@@ -166,12 +187,20 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Model:
     return fit([r[1] or "" for r in rows], [int(r[2]) for r in rows])
 
 
-def _scorer(model) -> tuple:
-    known = Kept(model.value.word)
+def _scorer(model):
+    kept = Kept()
 
     def score(texts: list[str | None]) -> np.ndarray:
-        features = [strongest([known[w] for w in set(WORD.findall(t.lower()))]) if t else (0.0, 0.0) for t in texts]
-        return model.value.score(np.array(features, float).reshape(-1, 2))
+        bags = [set(WORD.findall(t.lower())) if t else () for t in texts]
+        every = set().union(*bags)
+        fresh = [w for w in every if w not in kept and w not in kept.old]
+        known = dict(zip(fresh, model.value.words(fresh), strict=True))
+        known |= {w: kept[w] if w in kept else kept.old[w] for w in every if w not in known}
+        for w in every:
+            if w not in kept:
+                kept.put(w, known[w])
+        features = np.array([strongest([known[w] for w in b]) for b in bags], float).reshape(-1, 2)
+        return model.value.score(features)
 
     return score
 
