@@ -34,8 +34,10 @@ from saldo.llm.bpe_words import Kept
 WORD = re.compile(r"[^\W_]*[^\W\d_][^\W_]*")
 BUCKETS, DIMENSIONS, SHORTEST, LONGEST = 1 << 17, 4, 3, 6
 #: Documents of each label that the model is fitted on.
-MOST = 1500
+MOST = 3000
 THRESHOLD = 0.7
+#: Passes over the words in each of the turns of training.
+ROUNDS = 6
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -151,7 +153,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
         chosen = np.flatnonzero(keep)
         take = np.concatenate([np.arange(heads[i], heads[i + 1]) for i in chosen]) if len(chosen) else chosen
         if len(chosen):
-            _softmax_fit(buckets[take], n[chosen], (toxic / np.maximum(weight, 1e-9))[chosen], np.minimum(weight[chosen], 50), state, 3, rng)
+            _softmax_fit(buckets[take], n[chosen], (toxic / np.maximum(weight, 1e-9))[chosen], np.minimum(weight[chosen], 50), state, ROUNDS, rng)
     model = Model(evidence().astype(np.float32), np.array([1.0, 1.0]), 0.0)
     own = [b for b, p in zip(bags, part, strict=True) if p]
     known = dict(zip(every := sorted({w for b in own for w in b}), model.words(every), strict=True))
@@ -165,13 +167,22 @@ def _logistic(model: Model, x: np.ndarray, y: np.ndarray) -> Model:
     if not len(y) or y.min() == y.max():
         return Model(model.evidence, np.array([1.0, 1.0]), -20.0)
     design = np.column_stack([x, np.ones(len(x))])
-    start, pull = np.array([2.0, 0.2, 0.0]), np.array([1.0, 20.0, 1e-6])
+    start, pull = np.array([2.0, 0.2, 0.0]), np.array([1.0, 5.0, 0.01])
+
+    def loss(w: np.ndarray) -> float:
+        z = design @ w
+        return float((np.logaddexp(0, z) - y * z).sum() + (pull * (w - start) ** 2).sum() / 2)
+
     w = start.copy()
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
         gradient = design.T @ (p - y) + pull * (w - start)
         hessian = (design * (p * (1 - p))[:, None]).T @ design + np.diag(pull)
-        w -= np.linalg.solve(hessian, gradient)
+        step, part = np.linalg.solve(hessian, gradient), 1.0
+        # A whole step overshoots where all documents are told apart.
+        while part > 1e-6 and loss(w - part * step) > loss(w):
+            part /= 2
+        w = w - part * step
     return Model(model.evidence, w[:2], float(w[2]))
 
 
