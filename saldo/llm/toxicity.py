@@ -34,7 +34,7 @@ from saldo.llm.bpe_words import Kept
 WORD = re.compile(r"[^\W_]*[^\W\d_][^\W_]*")
 BUCKETS, DIMENSIONS, SHORTEST, LONGEST = 1 << 17, 4, 3, 6
 #: Documents of each label that the model is fitted on.
-MOST = 3000
+MOST = 2000
 THRESHOLD = 0.7
 #: Passes over the words in each of the turns of training.
 ROUNDS = 6
@@ -93,15 +93,42 @@ def strongest(values: list[float]) -> tuple[float, float]:
     return (*top, NOTHING, NOTHING)[:2]
 
 
-def _softmax_fit(buckets: np.ndarray, n: np.ndarray, target: np.ndarray, weight: np.ndarray, state: dict, rounds: int, rng: np.random.Generator) -> None:
-    """Adagrad over shuffled parts; n[i] of the buckets are word i's, target is the toxic share of its weight."""
-    vectors, heads = state["vectors"], np.append(0, np.cumsum(n))
+#: Words whose n-grams are made at once, which bounds memory.
+BLOCK = 20_000
+
+
+class Bags:
+    """Distinct words of documents by number, and every word's buckets in one array."""
+
+    def __init__(self, texts: list[str | None]) -> None:
+        self.place: dict[str, int] = {}
+        self.documents = [np.array(sorted({self.place.setdefault(w, len(self.place)) for w in WORD.findall((t or "").lower())}), np.int32) for t in texts]
+        names, sizes, buckets = list(self.place), [], []
+        for i in range(0, len(names), BLOCK):
+            own, n = grams(names[i : i + BLOCK])
+            buckets.append(own.astype(np.int32))
+            sizes.append(n)
+        self.buckets = np.concatenate([*buckets, np.zeros(0, np.int32)])
+        self.size = np.concatenate([*sizes, np.zeros(0, np.int64)])
+        self.heads = np.append(0, np.cumsum(self.size))
+
+    def evidence(self, of_bucket: np.ndarray) -> np.ndarray:
+        """Mean over each word's buckets."""
+        out = np.zeros(len(self.size))
+        for i in range(0, len(out), BLOCK):
+            heads = self.heads[i : i + BLOCK + 1]
+            out[i : i + BLOCK] = np.add.reduceat(of_bucket[self.buckets[heads[0] : heads[-1]]], heads[:-1] - heads[0])
+        return out / np.maximum(self.size, 1)
+
+
+def _softmax_fit(bags: Bags, words: np.ndarray, target: np.ndarray, weight: np.ndarray, state: dict, rounds: int, rng: np.random.Generator) -> None:
+    """Adagrad over shuffled parts of the words; target is the toxic share of a word's weight."""
+    vectors = state["vectors"]
     for _ in range(rounds):
-        for part in np.array_split(rng.permutation(len(n)), max(1, len(n) // 10000)):
-            size = n[part]
+        for part in np.array_split(rng.permutation(len(words)), max(1, len(words) // 10000)):
+            size = bags.size[words[part]]
             first = np.append(0, np.cumsum(size)[:-1])
-            take = np.repeat(heads[part] - first, size) + np.arange(size.sum())
-            own = buckets[take]
+            own = bags.buckets[np.repeat(bags.heads[words[part]] - first, size) + np.arange(size.sum())]
             mean = np.add.reduceat(vectors[own], first) / size[:, None]
             logits = mean @ state["output"] + state["bias"]
             p = np.exp(logits - logits.max(1, keepdims=True))
@@ -119,47 +146,41 @@ def _softmax_fit(buckets: np.ndarray, n: np.ndarray, target: np.ndarray, weight:
 def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     """Vectors on three quarters of the documents, the logistic function on the rest."""
     rng = np.random.default_rng(seed)
-    bags = [sorted(set(WORD.findall((t or "").lower()))) for t in texts]
-    labels_ = np.array(labels)
+    labels_ = np.array(labels, int)
     part = np.zeros(len(texts), int)  # 1: for the logistic function
     for y in (0, 1):
         own = np.flatnonzero(labels_ == y)
         part[own[::4]] = 1
-    names = sorted({w for i, b in enumerate(bags) if not part[i] for w in b})
-    place = {w: i for i, w in enumerate(names)}
-    buckets, n = grams(names) if names else (np.zeros(0, int), np.zeros(0, int))
-    state = {"vectors": rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float64), "output": rng.normal(0, 0.5, (DIMENSIONS, 2)), "bias": np.zeros(2), "seen": np.zeros(BUCKETS)}
-    indexed = [np.array([place[w] for w in b], int) if not p else None for b, p in zip(bags, part, strict=True)]
-    clean = np.bincount(np.concatenate([i for i, y in zip(indexed, labels, strict=True) if i is not None and not y] or [[]]).astype(int), minlength=len(names))
-    heads = np.append(0, np.cumsum(n))
+    first, second = np.flatnonzero(part == 0), np.flatnonzero(part == 1)
+    bags = Bags([texts[i] for i in first])
+    state = {"vectors": rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)), "output": rng.normal(0, 0.5, (DIMENSIONS, 2)), "bias": np.zeros(2), "seen": np.zeros(BUCKETS)}
+    clean = np.zeros(len(bags.size))
+    for index, i in zip(bags.documents, first, strict=True):
+        clean[index] += labels_[i] == 0
 
     def evidence() -> np.ndarray:
         return state["vectors"] @ (state["output"][:, 1] - state["output"][:, 0]) + state["bias"][1] - state["bias"][0]
 
-    for turn in range(3):
-        toxic = np.zeros(len(names))
-        scores = np.add.reduceat(evidence()[buckets], heads[:-1]) / n if len(names) else toxic
-        for index, y in zip(indexed, labels, strict=True):
-            if index is not None and y and len(index):
+    for turn in range(3 if len(clean) else 0):
+        toxic = np.zeros(len(clean))
+        scores = bags.evidence(evidence()) if turn else toxic
+        for index, i in zip(bags.documents, first, strict=True):
+            if labels_[i] and len(index):
                 if turn:  # the words that speak for the document
-                    top = index[np.argsort(-scores[index], kind="stable")[: max(1, min(3, len(index) // 10))]]
-                    toxic[top] += 1
+                    toxic[index[np.argsort(-scores[index], kind="stable")[: max(1, min(3, len(index) // 10))]]] += 1
                 else:
                     toxic[index] += 1
         # A clean document's word weighs less than a chosen one of a toxic document, of which there are few.
-        ratio = max(0.2, toxic.sum() / max(1, clean.sum())) if turn else toxic.sum() / max(1, clean.sum())
-        weight = toxic + clean * ratio
-        keep = weight > 0
-        chosen = np.flatnonzero(keep)
-        take = np.concatenate([np.arange(heads[i], heads[i + 1]) for i in chosen]) if len(chosen) else chosen
+        share = toxic.sum() / max(1, clean.sum())
+        weight = toxic + clean * (max(0.2, share) if turn else share)
+        chosen = np.flatnonzero(weight > 0)
         if len(chosen):
-            _softmax_fit(buckets[take], n[chosen], (toxic / np.maximum(weight, 1e-9))[chosen], np.minimum(weight[chosen], 50), state, ROUNDS, rng)
+            _softmax_fit(bags, chosen, (toxic / np.maximum(weight, 1e-9))[chosen], np.minimum(weight[chosen], 50), state, ROUNDS, rng)
     model = Model(evidence().astype(np.float32), np.array([1.0, 1.0]), 0.0)
-    own = [b for b, p in zip(bags, part, strict=True) if p]
-    known = dict(zip(every := sorted({w for b in own for w in b}), model.words(every), strict=True))
-    features = np.array([strongest([known[w] for w in b]) for b in own]).reshape(-1, 2)
-    target = labels_[part == 1]
-    return _logistic(model, features, target)
+    others = Bags([texts[i] for i in second])
+    known = others.evidence(model.evidence)
+    features = np.array([strongest(known[b].tolist()) for b in others.documents]).reshape(-1, 2)
+    return _logistic(model, features, labels_[second])
 
 
 def _logistic(model: Model, x: np.ndarray, y: np.ndarray) -> Model:
