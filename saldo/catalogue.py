@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from saldo.plans import ledger, readmodels
+from saldo.plans.registry import ORACLES, QUERIES, Tables
 
-def statement_by_store_month(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return orders.groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("period")).agg(F.sum(F.col("o_totalprice").cast("decimal(20,4)")).alias("gross"))
+__all__ = ["ORACLES", "QUERIES", "ledger", "readmodels", "statement_by_store_month"]
 
 
-QUERIES = {"statement_by_store_month": statement_by_store_month}
-ORACLES: dict[str, str] = {}
+def statement_by_store_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profit-and-loss statement of every store and month."""
+    return ledger.statement_by_store_month(Tables(spark, sf_dir))
