@@ -102,10 +102,12 @@ class RankMerger:
         kept, old = self.chunks, self.chunks.old
         every = set().union(*(chunks for _, chunks in parts))
         fresh = self.learn([c for c in every if c not in kept and c not in old])
-        out = [special + sum([fresh[c] if c in fresh else kept[c] if c in kept else old[c] for c in chunks]) for special, chunks in parts]
+        # Looked up before any is put away: putting one away may drop the older generation.
+        known = {c: fresh[c] if c in fresh else kept[c] if c in kept else old[c] for c in every}
+        out = [special + sum([known[c] for c in chunks]) for special, chunks in parts]
         for c in every:
             if c not in kept:
-                kept.put(c, fresh[c] if c in fresh else old[c])
+                kept.put(c, known[c])
         return out
 
 

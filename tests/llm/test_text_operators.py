@@ -134,6 +134,14 @@ def test_token_counts_edges(spark):
             assert row["n_tokens"] == len(t.encode(text or "", add_special_tokens=False).ids), text
 
 
+def test_token_counts_with_full_caches():
+    t, counter = library("byte_bpe_50k.json"), token_counts.RankMerger(public_tokenizers.path("byte_bpe_50k.json"))
+    counter.chunks.size, counter.pieces.size = 5, 3
+    texts = [f"some words {i} and {i % 3} others, some words again" for i in range(40)]
+    for k in range(0, 40, 8):
+        assert counter.totals(texts[k : k + 8]) == [len(t.encode(x, add_special_tokens=False).ids) for x in texts[k : k + 8]]
+
+
 PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style></head><body><header class="site-header"><a href="/">Home</a></header>
 <nav><ul><li><a href=a>One</a><li><a href=b>Two</a></ul></nav><main><article><h1>Head &amp; shoulders</h1>
 <p>This is the first paragraph of the article, and it has all of the   words that
