@@ -8,7 +8,10 @@ phrases of the corpus hold all its windows, as in a prefix-free parse.
 
 The dictionary keeps each phrase where the corpus has it first; windows of later
 copies are repeats as a whole, which shrinks repetitive text at once. Phrases that
-share a trigger with another of the dictionary are compared window by window:
+share a trigger with another of the dictionary are compared in two steps. A window
+belongs to one of four bands by the bytes it has before the trigger, and all
+windows of a band hold the same 83 bytes or more around it, its core: only bands
+whose core stands in several phrases go on. These are compared window by window:
 their suffixes' first 100 bytes are put into classes by digest, which is all of
 the suffix order that the contract needs, and each class ranks its members in
 corpus order. Everything is grouped with partial aggregates, so a passage that
@@ -35,15 +38,15 @@ from pyspark.sql import functions as F
 from saldo.llm.arrays import U64, prefix_hash, runs, sliding_min, small_batches, span_hash, text_buffers, window_hash
 from saldo.llm.shared import staged
 
-WINDOW, TRIGGER = 100, 32
+WINDOW, TRIGGER, BANDS = 100, 32, 4
 
 
 def phrases(data: np.ndarray, offsets: np.ndarray, prefix: np.ndarray, window: int, trigger: int) -> tuple[np.ndarray, ...]:
-    """(text, trigger's hash, phrase's hash, first window, last window) of all phrases of a run; places are in the run."""
+    """(text, trigger's hash, phrase's hash, first window, last window, bytes before the trigger, cores) of all phrases of a run; places are in the run."""
     size = len(data)
     if size < window:
         none = np.zeros(0, np.int64)
-        return none, none.view(U64), none.view(U64), none, none
+        return none, none.view(U64), none.view(U64), none, none, none, none
     grams = window_hash(prefix, trigger)
     # The leftmost of equal hashes triggers: the place fills the low bits.
     bits = U64(int(size).bit_length())
@@ -56,8 +59,26 @@ def phrases(data: np.ndarray, offsets: np.ndarray, prefix: np.ndarray, window: i
     head = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (text[1:] != text[:-1]))) if len(at) else start
     first, last = start[head], start[np.append(head[1:], len(start)) - 1] if len(head) else start
     # The phrase's digest covers the place of its trigger, so equal digests line up.
-    whole = span_hash(prefix, first, last + window) + (at[head] - first).astype(U64)
-    return text[head], grams[at[head]], whole, first, last
+    lead = at[head] - first
+    whole = span_hash(prefix, first, last + window) + lead.astype(U64)
+    return text[head], grams[at[head]], whole, first, last, lead, cores(prefix, at[head], lead, last - first, window, trigger)
+
+
+def bands(window: int, trigger: int) -> list[tuple[int, int]]:
+    """Least and most bytes before the trigger of the windows of each band."""
+    room = window - trigger
+    width = -(-(room + 1) // BANDS)
+    return [(k * width, min(room, (k + 1) * width - 1)) for k in range(BANDS) if k * width <= room]
+
+
+def cores(prefix: np.ndarray, at: np.ndarray, lead: np.ndarray, more: np.ndarray, window: int, trigger: int) -> np.ndarray:
+    """16 bits for each band: a hash of the bytes that all windows of the band hold, 0 where the phrase has no such window."""
+    out = np.zeros(len(at), U64)
+    for k, (low, high) in enumerate(bands(window, trigger)):
+        has = np.flatnonzero((lead >= low) & (lead - more <= high))
+        value = span_hash(prefix, at[has] - low, at[has] + window - high) >> U64(48)
+        out[has] |= np.maximum(value, U64(1)) << U64(16 * k)
+    return out.view(np.int64)
 
 
 def removed(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", trigger: int = TRIGGER) -> DataFrame:
@@ -79,20 +100,20 @@ def removed(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_
             for low, high in runs(offsets):
                 part = offsets[low : high + 1] - offsets[low]
                 own = data[offsets[low] : offsets[high]]
-                text, gram, whole, first, last = phrases(own, part, prefix_hash(own), window, trigger)
+                text, gram, whole, first, last, lead, core = phrases(own, part, prefix_hash(own), window, trigger)
                 base = part[text]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(text + low)), pa.array(gram.view(np.int64)), pa.array(whole.view(np.int64)), pa.array((first - base).astype(np.int32)), pa.array((last - first).astype(np.int32))],
-                    names=["id", "gram", "whole", "at", "more"],
+                    [ids.take(pa.array(text + low)), pa.array(gram.view(np.int64)), pa.array(whole.view(np.int64)), pa.array((first - base).astype(np.int32)), pa.array((last - first).astype(np.int32)), pa.array(lead.astype(np.int32)), pa.array(core)],
+                    names=["id", "gram", "whole", "at", "more", "lead", "core"],
                 )
 
-    found = parsed.mapInArrow(parse, f"id {kind}, gram long, whole long, at int, more int")
+    found = parsed.mapInArrow(parse, f"id {kind}, gram long, whole long, at int, more int, lead int, core long")
     # Triggers that occur again, and how many phrases they have.
     again = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("whole").alias("low"), F.max("whole").alias("high")).where("n > 1")
     repeated = staged(found.join(again.select("gram", (F.col("low") < F.col("high")).alias("differ")), "gram"))
     # The dictionary: each phrase of a repeated trigger where it stands first; later copies are repeats.
-    dictionary = repeated.groupBy("gram", "whole").agg(F.min(F.struct("id", "at")).alias("first"), F.first("more").alias("more"), F.first("differ").alias("differ"), F.count("*").alias("n"))
-    dictionary = staged(dictionary.select("gram", "whole", "first.id", "first.at", "more", "differ", "n"))
+    dictionary = repeated.groupBy("gram", "whole").agg(F.min(F.struct("id", "at")).alias("first"), F.first("more").alias("more"), F.first("lead").alias("lead"), F.first("core").alias("core"), F.first("differ").alias("differ"), F.count("*").alias("n"))
+    dictionary = staged(dictionary.select("gram", "whole", "first.id", "first.at", "more", "lead", "core", "differ", "n"))
     known = dictionary.where("n > 1").select("gram", "whole", F.col("id").alias("first_id"), F.col("at").alias("first_at"))
     later = repeated.join(known, ["gram", "whole"]).where("id <> first_id or at <> first_at").select("id", "at", "more")
 
@@ -108,7 +129,13 @@ def removed(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_
                     part = slice(i, i + (1 << 16))
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.full(len(start[part]), row))), pa.array(value[part].view(np.int64)), pa.array(start[part].astype(np.int32))], names=["id", "value", "at"])
 
-    unsure = dictionary.where("differ").groupBy("id").agg(F.collect_list(F.struct("at", "more")).alias("spans"))
+    # Bands of the dictionary whose core stands in several phrases of a trigger, and the windows that they have.
+    edges = F.array(*[F.struct(F.lit(k).alias("band"), F.lit(low).alias("low"), F.lit(high).alias("high"), F.shiftrightunsigned("core", 16 * k).bitwiseAND(0xFFFF).alias("part")) for k, (low, high) in enumerate(bands(window, trigger))])
+    banded = dictionary.where("differ").select("gram", "id", "at", "more", "lead", F.explode(edges).alias("e")).select("gram", "id", "at", "more", "lead", "e.*").where("part > 0")
+    shared = banded.groupBy("gram", "band", "part").agg(F.count("*").alias("phrases")).where("phrases > 1").drop("phrases")
+    start, end = F.greatest(F.col("lead") - F.col("high"), F.lit(0)), F.least(F.col("lead") - F.col("low"), F.col("more"))
+    banded = banded.join(shared, ["gram", "band", "part"]).select("id", (F.col("at") + start).alias("at"), (end - start).alias("more"))
+    unsure = banded.groupBy("id").agg(F.collect_list(F.struct("at", "more")).alias("spans"))
     each = parsed.join(unsure, "id").select("id", "text", "spans").mapInArrow(windows, f"id {kind}, value long, at int")
     each = staged(each)
     ranked = each.groupBy("value").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("value", F.col("first.id").alias("first_id"), F.col("first.at").alias("first_at"))
