@@ -11,7 +11,10 @@ Texts of equal shingle sets are one class and are joined once. In a bucket of a
 key nothing is paired with everything: members are first held against one member
 (confirmed on full sets, then merged into components), then against members
 drawn at random, and at last every pair of different components that is left is
-confirmed, so no link is lost and no group is expanded.
+confirmed, so no link is lost and no group is expanded. Crowded buckets, as a passage
+in many documents makes them, are split first: their members are paired only where
+they share one of their rarest shingles and have enough shingles from there on; all
+other pairs fall short of the similarity.
 
 Edge cases: null and empty texts and texts without words have no shingles and
 are alone, as are rows without an id; texts of fewer words than a shingle have one; repeated rows fall into
@@ -34,6 +37,8 @@ CHUNKS, WIDTH = 9, 4
 SYMBOLS = CHUNKS * WIDTH
 #: Distance up to which a shared key is certain, and above which a pair of similarity 0.8 is out of the question (1e-7).
 CERTAIN, HOPELESS = 2 * CHUNKS - 1, 23
+#: Buckets of more members are split by their rarest shingles before they are paired.
+CROWD = 16
 _SEEDS = mix(np.arange(1, 3 * SYMBOLS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)).astype(np.uint32) | np.uint32(1)
 
 
@@ -117,6 +122,42 @@ def within(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return both.mapInArrow(scan, pairs.select("a", "b").schema)
 
 
+def rarest(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The columns of members (id, n_shingles, ...) with each shingle of their prefixes that others have, and how many shingles are left from it on.
+
+    Of n shingles a linked text shares ceil(n * percent / 100) at least, so in any one
+    order the first n - that + 1 of both have one in common. Rarest first, shingles
+    that no other member has fill most prefixes and pair with nothing.
+    """
+    kind = members.schema["id"].dataType.simpleString()
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(1))
+            for first, last in runs(offsets):
+                part = offsets[first : last + 1]
+                shingles, bounds = shingle_sets(data[part[0] : part[-1]], part - part[0], size)
+                owner = np.repeat(np.arange(first, last), np.diff(bounds))
+                for i in range(0, len(owner), 1 << 16):
+                    cut = slice(i, i + (1 << 16))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[cut])), pa.array(shingles[cut].view(np.int64))], names=["id", "shingle"])
+
+    every = staged(texts.join(members.select("id"), "id", "left_semi").select("id", "text").mapInArrow(scan, f"id {kind}, shingle long"))
+    spread = every.groupBy("shingle").agg(F.count("*").alias("documents")).where("documents > 1")
+    others = every.join(spread, "shingle").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("documents", "shingle"))).alias("others"))
+    take = F.size("others") - F.floor((F.col("n_shingles") * percent + 99) / 100).cast("int") + 1
+    prefix = members.join(others, "id").withColumn("take", take).where("take > 0")
+    each = prefix.select(*members.columns, F.size("others").alias("all"), F.posexplode(F.slice("others", F.lit(1), F.col("take"))["shingle"]).alias("place", "shingle"))
+    return each.select(*members.columns, "shingle", (F.col("all") - F.col("place")).alias("left"))
+
+
+def crossed(members: DataFrame, key: str, percent: int) -> DataFrame:
+    """Pairs (a, b) of members (key, id, n_shingles, component, left) of one key and different components that can share enough of what is left."""
+    other = members.select(key, *[F.col(c).alias(f"{c}_2") for c in ("id", "n_shingles", "component", "left")])
+    allowed = F.least("left", "left_2") * (100 + percent) >= (F.col("n_shingles") + F.col("n_shingles_2")) * percent
+    return members.join(other, key).where((F.col("id") > F.col("id_2")) & (F.col("component") != F.col("component_2")) & allowed).select(F.col("id").alias("a"), F.col("id_2").alias("b"))
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose shingle sets have the similarity, read from the full texts.
 
@@ -188,8 +229,12 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc
             pairs = told.where("component <> least").join(drawn, "key").where(size_ok(F.col("n_shingles"), F.col("of.n_shingles"))).select(F.col("id").alias("a"), F.col("of.id").alias("b"))
         else:
             # What is left: each pair of different components in a bucket.
-            other = told.select("key", *[F.col(c).alias(f"{c}_2") for c in ("id", "n_shingles", "component")])
-            pairs = told.join(other, "key").where((F.col("id") > F.col("id_2")) & (F.col("component") != F.col("component_2")) & size_ok(F.col("n_shingles"), F.col("n_shingles_2"))).select(F.col("id").alias("a"), F.col("id_2").alias("b"))
+            pairs = crossed(told.where(F.col("n") <= CROWD).withColumn("left", F.col("n_shingles")), "key", percent)
+            crowded = staged(told.where(F.col("n") > CROWD).select("id", "n_shingles", "component").distinct())
+            if crowded.limit(1).count():
+                sharing = staged(rarest(crowded, texts, size, percent))
+                several = sharing.groupBy("shingle").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("shingle")
+                pairs = pairs.union(crossed(sharing.join(several, "shingle"), "shingle", percent))
         pairs = staged(within(pairs.distinct(), reps))
         if pairs.limit(1).count():
             links = links.union(staged(confirmed(pairs, texts, size, percent)))

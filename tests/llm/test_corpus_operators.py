@@ -64,6 +64,23 @@ def test_neardup_chain_and_edges(spark):
     assert neardup.groups(docs.limit(0), size=4).collect() == []
 
 
+def test_neardup_passage_in_many_documents(spark, monkeypatch):
+    """A bucket of many texts that share a passage is split; links between them, just above the similarity and below, stay right."""
+    rng = np.random.default_rng(5)
+    word = lambda n: [f"w{x}" for x in rng.integers(10**6, size=n)]
+    passage, texts = word(60), []
+    for k in range(60):
+        own = word(int(rng.integers(4, 16)))
+        texts.append((2 * k, " ".join(passage + own)))
+        texts.append((2 * k + 1, " ".join(passage + own[: int(rng.integers(0, len(own)))] + word(int(rng.integers(0, 8))))))
+    monkeypatch.setattr(neardup, "CROWD", 4)
+    seen = []
+    monkeypatch.setattr(neardup, "rarest", lambda *a, real=neardup.rarest: seen.append(1) or real(*a))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r["doc_id"]: tuple(r)[1:] for r in neardup.groups(docs, size=4, draws=0).collect()}
+    assert got == linked(texts, 4) and seen
+
+
 def removal(docs, window=100):
     seen, out = set(), {}
     for i, text in sorted(docs):
