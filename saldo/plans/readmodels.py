@@ -144,6 +144,12 @@ def certified_sql_guard(t: Tables) -> DataFrame:
     return run_guarded(t.spark, "SELECT o_orderstatus, COUNT(*) AS n FROM certified GROUP BY o_orderstatus ORDER BY o_orderstatus", allowed, 100)
 
 
+@query("""SELECT o_orderstatus, COUNT(*) AS n FROM orders GROUP BY ALL ORDER BY o_orderstatus LIMIT 100""")
+def certified_sql_guard_all(t: Tables) -> DataFrame:
+    """The guarded surface over the whole orders table; only the guard's own row limit holds."""
+    return run_guarded(t.spark, "SELECT o_orderstatus, COUNT(*) AS n FROM certified GROUP BY o_orderstatus ORDER BY o_orderstatus", {"certified": t.orders}, 100)
+
+
 @query("""SELECT DISTINCT store, strftime(m, '%Y-%m') AS period, COALESCE(n, 0) AS evidence FROM (SELECT DISTINCT c_mktsegment AS store FROM customer), (SELECT unnest(generate_series(TIMESTAMP '1996-01-01', TIMESTAMP '1996-12-01', INTERVAL 1 MONTH)) AS m)
 LEFT JOIN (SELECT c_mktsegment AS s, date_trunc('month', o_orderdate) AS om, COUNT(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL) ON s = store AND om = m""")
 def target_plan(t: Tables) -> DataFrame:

@@ -33,3 +33,8 @@ def test_components_hold_every_order(spark, sf_dir):
     got = QUERIES["bridge_components_all"](spark, sf_dir).collect()
     assert {r["id"]: r["component"] for r in got} == least_reachable([(2 * c, 2 * o + 1) for c, o in orders])
     assert sum(r["id"] % 2 for r in got) == len({o for _, o in orders})
+
+
+def test_guarded_sql_sees_every_order(spark, sf_dir):
+    got = QUERIES["certified_sql_guard_all"](spark, sf_dir).collect()
+    assert sum(r["n"] for r in got) == spark.read.parquet(f"{sf_dir}/orders.parquet").count()
