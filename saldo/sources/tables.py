@@ -1,21 +1,25 @@
 """Exports as DataFrames with a file and row lineage, and content-addressed results.
 
-CSV goes through Spark's own reader; only its first lines are looked at on the driver
-to learn encoding, preamble and delimiter. Workbooks and archives have no Spark reader:
-each file is read whole inside a task, so one file is the unit of parallelism, and a
-workbook must fit in a task's memory (`most_mbytes` refuses larger ones).
+CSV goes through Spark's own readers; only the first lines of each file are looked at on
+the driver to learn encoding, preamble, delimiter and header. Workbooks and archives have
+no Spark reader: each file is read whole inside a task, so one file is the unit of
+parallelism, and must fit in a task's memory; larger files than `most_mbytes` and files of
+an unknown kind raise an error.
 """
 
 from __future__ import annotations
 
+import csv
 import io
 import posixpath
 import re
 import zipfile
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +29,7 @@ from saldo.functions.text import clean_cell
 ENCODINGS = ("utf-8-sig", "gb18030", "utf-16")
 DELIMITERS = ",\t;|"
 CELLS = "file string, sheet string, row_no long, cells array<string>"
+RELATIONS = "xl/_rels/workbook.xml.rels"
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
@@ -46,23 +51,105 @@ def sniffed(head: bytes) -> tuple[str, str, int]:
     return encoding, max(DELIMITERS, key=header.count), skip
 
 
+class SourceError(ValueError):
+    """A file that cannot be read whole."""
+
+
+def _head(spark: SparkSession, path: str, n: int = 65536) -> bytes:
+    """A file's first bytes, through Spark's file systems."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).open(place)
+    try:
+        return bytes(stream.readNBytes(n))
+    finally:
+        stream.close()
+
+
+def _names(head: bytes, encoding: str, delimiter: str, skip: int) -> tuple[str, ...]:
+    lines = head.decode(encoding, "ignore").splitlines(keepends=True)[skip:]
+    return tuple(n.lstrip("\ufeff").strip() for n in next(csv.reader(lines, delimiter=delimiter), []))
+
+
+def _literal(path: str) -> str:
+    """A path whose name holds no patterns."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """A CSV export with all columns as cleaned text; comment lines and blank rows are left out.
 
-    Spark's reader splits UTF-8 and UTF-16 files among tasks; others are read a file to a task.
+    Files are sniffed one by one, and those of one layout are read together; a column that a
+    file has not is null there. Spark splits the files among tasks, but for GB18030 files with
+    quoted line breaks, which are read a file to a task.
     """
-    head = bytes(spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 65536)).first()[0])
-    encoding, delimiter, skip = sniffed(head)
-    if encoding == "gb18030":
-        names = [n.strip() for n in head.decode(encoding, "ignore").splitlines()[skip].split(delimiter)]
-        cells = bound(read_sheets(spark, path), {n: i for i, n in enumerate(names)}).where(F.col("row_no") > skip + 1)
-        return cells.select(*[F.col(f"`{n}`") for n in names], "file")
+    layouts: dict[tuple, list[tuple[str, str]]] = defaultdict(list)
+    for place, uri in sorted(tuple(r) for r in spark.read.format("binaryFile").load(path).select("path", "_metadata.file_path").collect()):
+        layout = sniffed(head := _head(spark, place))
+        layouts[*layout, _names(head, *layout)].append((place, uri))
+    if not layouts:
+        raise SourceError(f"no files in {path}")
+    out = None
+    for (encoding, delimiter, skip, names), files in layouts.items():
+        if encoding == "gb18030":
+            part = _gb18030(spark, dict(files), delimiter, skip, names)
+        else:
+            part = _spark_csv(spark, path if len(layouts) == 1 else [_literal(place) for place, _ in files], encoding, delimiter)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out.select(*[c for c in out.columns if c != "file"], "file")
+
+
+def _spark_csv(spark: SparkSession, path: str | list[str], encoding: str, delimiter: str) -> DataFrame:
     charset = {"utf-8-sig": "UTF-8", "utf-16": "UTF-16", "utf-8": "UTF-8"}[encoding]
     raw = spark.read.csv(path, header=True, sep=delimiter, encoding=charset, comment="#", inferSchema=False, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
     cells = raw.select(*[clean_cell(F.col(f"`{c}`")).alias(c.lstrip("\ufeff").strip()) for c in raw.columns], F.col("_metadata.file_name").alias("file"))
     return cells.where(F.coalesce(*[F.col(f"`{c}`") for c in cells.columns if c != "file"]).isNotNull())
 
 
+def _gb18030(spark: SparkSession, files: dict[str, str], delimiter: str, skip: int, names: tuple[str, ...]) -> DataFrame:
+    """Rows of GB18030 files of one layout: no byte of a longer character is a line break, so Spark's splits hold."""
+    lines = spark.read.text([_literal(place) for place in files]).select(F.col("value").cast("binary").alias("line"), F.col("_metadata.file_path").alias("uri"), F.col("_metadata.file_block_start").alias("start"))
+
+    def left_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The first line of a quoted line break is read from its beginning, so none is missed.
+        for batch in batches:
+            uris = set()
+            for line, uri in zip(batch.column("line").to_pylist(), batch.column("uri").to_pylist(), strict=True):
+                reader = csv.reader([line.decode("gb18030", "replace"), ""], delimiter=delimiter)
+                next(reader)
+                if reader.line_num > 1:
+                    uris.add(uri)
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(uris), pa.string())], names=["uri"])
+
+    quoted = lines.where(F.instr(F.col("line").cast("string"), '"') > 0)
+    whole = {r["uri"] for r in quoted.mapInArrow(left_open, "uri string").distinct().collect()}
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, header = None, False
+        for batch in batches:
+            found: list[tuple[str, list[str]]] = []
+            for line, uri, start in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if uri in whole:
+                    continue
+                if (uri, start) != at:
+                    at, header = (uri, start), start == 0
+                row = next(csv.reader([line.decode("gb18030", "replace").lstrip("\ufeff")], delimiter=delimiter), [])
+                if not row or row[0].startswith("#"):
+                    continue
+                if header:
+                    header = "".join(row).strip() == ""
+                    continue
+                found.append((uri, row))
+            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.string()), pa.array([r for _, r in found], pa.list_(pa.string()))], names=["uri", "cells"])
+
+    file_of = {uri: posixpath.basename(place) for place, uri in files.items()}
+    name = F.udf(file_of.get, "string")
+    cells = _cleaned(lines.mapInArrow(scan, "uri string, cells array<string>")).select(name("uri").alias("file"), F.lit("").alias("sheet"), F.lit(0).cast("long").alias("row_no"), "cells")
+    if whole:
+        kept = spark.read.format("binaryFile").load([_literal(place) for place, uri in files.items() if uri in whole])
+        cells = cells.unionByName(_whole_files(kept, 256, _delimited).where(F.col("row_no") > skip + 1))
+    return bound(cells, {n: i for i, n in enumerate(names)}).select(*[F.col(f"`{n}`") for n in names], "file")
+
+
 def _column(reference: str) -> int:
     n = 0
     for letter in re.match("[A-Z]+", reference)[0]:
@@ -77,11 +164,18 @@ def workbook(content: bytes) -> Iterator[tuple[str, int, list[str | None]]]:
     shared = []
     if "xl/sharedStrings.xml" in names:
         shared = ["".join(t.text or "" for t in item.iter(f"{MAIN}t")) for item in ElementTree.fromstring(book.read("xl/sharedStrings.xml"))]
-    sheets = [s.get("name") for s in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{MAIN}sheet")]
-    for i, name in enumerate(sheets, 1):
-        if f"xl/worksheets/sheet{i}.xml" not in names:
-            continue
-        sheet = ElementTree.fromstring(book.read(f"xl/worksheets/sheet{i}.xml"))
+    parts = {}
+    if RELATIONS in names:
+        parts = {r.get("Id"): r for r in ElementTree.fromstring(book.read(RELATIONS))}
+    for i, entry in enumerate(ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{MAIN}sheet"), 1):
+        name, part = entry.get("name"), f"xl/worksheets/sheet{i}.xml"
+        if relation := next((v for k, v in entry.items() if k.endswith("}id")), None) if parts else None:
+            if relation in parts and not parts[relation].get("Type", "/worksheet").endswith("/worksheet"):
+                continue  # a sheet of charts or dialogs has no cells
+            part = posixpath.normpath(posixpath.join("/xl", parts[relation].get("Target"))).lstrip("/") if relation in parts else relation
+        if part not in names:
+            raise SourceError(f"sheet {name} has no part {part}")
+        sheet = ElementTree.fromstring(book.read(part))
         rows: dict[int, dict[int, str | None]] = {}
         for row in sheet.iter(f"{MAIN}row"):
             at = rows.setdefault(int(row.get("r")), {})
@@ -134,24 +228,35 @@ def _cells(name: str, content: bytes) -> Iterator[tuple[str, str, int, list[str
     elif low.endswith(".xlsx"):
         yield from ((name, s, r, c) for s, r, c in workbook(content))
     elif low.endswith((".csv", ".txt")):
-        import csv
+        yield from _delimited(name, content)
+    else:
+        raise SourceError(f"{name} is of an unknown kind")
 
-        encoding, delimiter, _ = sniffed(content[:65536])
-        text = io.StringIO(content.decode(encoding, "replace"), newline="")
-        for r, row in enumerate(csv.reader(text, delimiter=delimiter), 1):
-            if row and not row[0].startswith("#"):
-                yield name, "", r, row
 
+def _delimited(name: str, content: bytes) -> Iterator[tuple[str, str, int, list[str | None]]]:
+    encoding, delimiter, _ = sniffed(content[:65536])
+    text = io.StringIO(content.decode(encoding, "replace"), newline="")
+    for r, row in enumerate(csv.reader(text, delimiter=delimiter), 1):
+        if row and not row[0].startswith("#"):
+            yield name, "", r, row
 
-def read_sheets(spark: SparkSession, path: str, most_mbytes: int = 256) -> DataFrame:
-    """(file, sheet, row_no, cells) of workbooks, CSV files and archives of them; file_sha addresses their content."""
-    files = spark.read.format("binaryFile").load(path).where(F.col("length") <= most_mbytes << 20).select("path", "content")
+
+def _cleaned(rows: DataFrame) -> DataFrame:
+    cleaned = rows.withColumn("cells", F.transform("cells", lambda c: clean_cell(c)))
+    return cleaned.where(F.exists("cells", lambda c: c.isNotNull()))
+
+
+def _whole_files(found: DataFrame, most_mbytes: int, cells: Callable[[str, bytes], Iterator[tuple]]) -> DataFrame:
+    """Rows of binary files, a file to a task; a file above the limit raises an error before any is read."""
+    large = found.where(F.col("length") > most_mbytes << 20).select("path", "length").limit(1).collect()
+    if large:
+        raise SourceError(f"{large[0]['path']} has {large[0]['length']} bytes, more than {most_mbytes} MB")
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"], strict=True):
                 rows = []
-                for row in _cells(posixpath.basename(name), bytes(content)):
+                for row in cells(posixpath.basename(name), bytes(content)):
                     rows.append(row)
                     if len(rows) == 10_000:
                         yield pd.DataFrame(rows, columns=["file", "sheet", "row_no", "cells"])
@@ -159,9 +264,12 @@ def read_sheets(spark: SparkSession, path: str, most_mbytes: int = 256) -> DataF
                 if rows:
                     yield pd.DataFrame(rows, columns=["file", "sheet", "row_no", "cells"])
 
-    out = files.mapInPandas(scan, CELLS)
-    cleaned = out.withColumn("cells", F.transform("cells", lambda c: clean_cell(c)))
-    return cleaned.where(F.exists("cells", lambda c: c.isNotNull()))
+    return _cleaned(found.select("path", "content").mapInPandas(scan, CELLS))
+
+
+def read_sheets(spark: SparkSession, path: str, most_mbytes: int = 256) -> DataFrame:
+    """(file, sheet, row_no, cells) of workbooks, CSV files and archives of them; file_sha addresses their content."""
+    return _whole_files(spark.read.format("binaryFile").load(path), most_mbytes, _cells)
 
 
 def bound(cells: DataFrame, columns: dict[str, int]) -> DataFrame:
