@@ -5,16 +5,19 @@ length, its density of stop words and its share of link characters: good, bad,
 or undecided (short, or near good). Pass two gives an undecided block the label
 of the nearest decided neighbours. The edges of an article or main element count
 as good neighbours of the blocks inside it; menus, headers, footers, side bars,
-notices, adverts, forms and reader comments are bad by their tag or class.
+notices, adverts, forms and reader comments are bad by their tag or class; a class
+is no reason if the element holds the page's article.
 
 Edge cases: a null or empty page has the text ""; unclosed and stray tags are
-tolerated; a page of any length is read whole; repeated pages give equal rows.
+tolerated (text without an end tag that HTML reads raw, as a script, goes to the end
+of the page); a page of any length is read whole; repeated pages give equal rows.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,6 +40,11 @@ AROUND_NAMES = frozenset(
     "side footer header masthead topbar comment comments respond reply replies disqus notice notices cookie cookies consent gdpr popup modal newsletter "
     "subscribe subscription signup share sharing social related recommended widget widgets pagination pager toolbar login disclaimer copyright".split()
 )
+# Readers' comments may be as long as an article and in article elements, so they are never taken for one.
+REMARKS = frozenset("comment comments respond reply replies disqus".split())
+# Words that may stand beside a name; a header or a side of anything but the site may be the article's own.
+BESIDE = frozenset("site global main page primary secondary top bottom left right list box wrapper wrap container area section block slot unit item items inner group bar links link form text".split())
+OWN = {"header": frozenset(("site", "global")), "side": frozenset()}
 AROUND_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
 # Frequent words of four languages.
 STOP_WORDS = frozenset(
@@ -47,6 +55,10 @@ STOP_WORDS = frozenset(
     "el los las una unos del y que se por con para al como más pero sus lo su este esta entre cuando muy sin sobre también me hasta hay donde quien desde todo nos".split()
 )
 
+# Silent elements whose text HTML reads raw, and those that cannot hold their like.
+RAW = frozenset("script style iframe textarea".split())
+UNNESTED = frozenset("button select title head".split())
+
 #: Blocks of fewer characters are undecided, of more and dense enough in stop words good.
 SHORT, LONG, LINKED, STOP_LOW, STOP_HIGH = 70, 200, 0.34, 0.12, 0.18
 
@@ -55,38 +67,116 @@ TOKEN = re.compile(
     re.S,
 )
 ENDS = {tag: re.compile(rf"</{tag}(?![A-Za-z0-9:-])[^>]*>", re.I) for tag in SILENT}
+NEXT_BLOCK = re.compile(rf"</?(?:{'|'.join(sorted(BLOCK))})(?![A-Za-z0-9:-])", re.I)
+ANCHOR = re.compile(r"<(/?)a(?![A-Za-z0-9:-])", re.I)
+LINK = re.compile(r"\bhref\s*=", re.I)
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 PART = re.compile(r"[A-Za-z]+")
 
 
-def _surrounds(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element is a menu, a header, an advert or the like."""
+def _names_around(token: str) -> bool:
+    """Whether a class or id says what an element is: a name, or names with words that say where it stands."""
+    words = PART.findall(token)
+    names = [w for w in words if w in AROUND_NAMES]
+    if not names or len(words) == 1:
+        return bool(names)
+    return all(w in AROUND_NAMES or w in BESIDE for w in words) and not any(o in OWN and not OWN[o].issuperset(w for w in words if w != o) for o in names)
+
+
+def _surrounds(tag: str, attributes: str, in_article: bool) -> int:
+    """2 for a menu, a header, an advert or the like by tag or role, and for comments; 1 if a class or id alone says so."""
     if tag in AROUND or tag == "header" and not in_article:
-        return True
+        return 2
+    level = 0
     if attributes and tag in BLOCK and tag not in ("body", "html", *INSIDE):
         for name, *values in NAMED.findall(attributes):
             value = "".join(values).lower()
-            if name.lower() == "role" and value in AROUND_ROLES:
-                return True
-            if name.lower() != "role" and any(w in AROUND_NAMES for w in PART.findall(value)):
-                return True
-    return False
+            if name.lower() == "role":
+                if value in AROUND_ROLES:
+                    return 2
+                continue
+            for token in value.split():
+                if _names_around(token):
+                    if not REMARKS.isdisjoint(PART.findall(token)):
+                        return 2
+                    level = 1
+    return level
+
+
+def _closed(page: str) -> dict[int, int]:
+    """Where silent elements that are closed inside their enclosing block end, by the end of their start tag."""
+    ends: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []
+    held: Counter[str] = Counter()
+    skip_to = 0
+    for m in TOKEN.finditer(page):
+        tag = (m[2] or "").lower()
+        if m.start() < skip_to or not tag or tag not in BLOCK and tag not in ENDS or tag in VOID:
+            continue
+        if m[1] == "/":
+            while held[tag]:
+                t, at = stack.pop()
+                held[t] -= 1
+                if t == tag:
+                    if tag in ENDS:
+                        ends[at] = m.end()
+                    break
+        elif m[3].endswith("/") and tag in ENDS:
+            continue
+        elif tag in RAW:
+            end = ENDS[tag].search(page, m.end())
+            skip_to = end.end() if end else len(page)
+        else:
+            if tag in UNNESTED and held[tag]:
+                while True:
+                    t, _ = stack.pop()
+                    held[t] -= 1
+                    if t == tag:
+                        break
+            elif tag in OPTIONAL_END and stack and stack[-1][0] == tag:
+                held[stack.pop()[0]] -= 1
+            stack.append((tag, m.end()))
+            held[tag] += 1
+    return ends
+
+
+Block = tuple[str, int, bool, bool, tuple[tuple[int, bool], ...]]
 
 
-def blocks(page: str) -> Iterator[tuple[str, int, bool, bool]]:
-    """(text, characters in links, in an article, in what surrounds one) of every block in page order."""
+def blocks(page: str) -> Iterator[Block]:
+    """(text, characters in links, in an article, in what surrounds one, (number, in an article of its own) of every
+    element around it that surrounds by its class alone) of every block in page order."""
     text: list[str] = []
     linked, anchors, skip_to, at = 0, 0, 0, 0
-    open_tags: list[tuple[str, bool]] = []  # elements that can hold blocks, and whether they surround
-    around = inside = 0
+    loose, anchor_depth = False, 0
+    open_tags: list[tuple[str, int]] = []  # elements that can hold blocks, and whether they surround
+    named: list[tuple[int, int]] = []  # those of them that surround by class: number, articles around them
+    around = inside = n_named = 0
+    ends: dict[int, int] | None = None
 
-    def block() -> Iterator[tuple[str, int, bool, bool]]:
+    def block() -> Iterator[Block]:
         # References are decoded once a block is whole; white space inside it is one space.
         if text:
             joined = " ".join(html.unescape("".join(text)).split())
             text.clear()
             if joined:
-                yield joined, linked, inside > 0, around > 0
+                yield joined, linked, inside > 0, around > 0, tuple((k, inside > was) for k, was in named)
+
+    def opened(tag: str, level: int) -> None:
+        nonlocal around, n_named
+        open_tags.append((tag, level))
+        around += level == 2
+        if level == 1:
+            named.append((n_named, inside))
+            n_named += 1
+
+    def left() -> str:
+        nonlocal around
+        tag, level = open_tags.pop()
+        around -= level == 2
+        if level == 1:
+            named.pop()
+        return tag
 
     for m in TOKEN.finditer(page):
         if m.start() < skip_to:
@@ -104,52 +194,84 @@ def blocks(page: str) -> Iterator[tuple[str, int, bool, bool]]:
         closing = m[1] == "/"
         if tag in SILENT:
             if not closing and not m[3].endswith("/"):
-                end = ENDS[tag].search(page, at)
-                at = skip_to = end.end() if end else (at if tag == "head" else len(page))
+                if tag in RAW:
+                    end = ENDS[tag].search(page, at)
+                    at = skip_to = end.end() if end else len(page)
+                else:
+                    # Without an end in its block, it is over at the next block; a head has blocks of the body behind it.
+                    ends = _closed(page) if ends is None else ends
+                    end = None if at in ends or tag == "head" else NEXT_BLOCK.search(page, at)
+                    at = skip_to = ends.get(at, at if tag == "head" else end.start() if end else len(page))
             if tag in ("head", "title"):
                 yield from block()
                 linked = 0
             continue
         if tag == "a":
-            anchors = 0 if closing else 1
+            anchors = int(not closing and LINK.search(m[3]) is not None)
+            if anchors:
+                after = ANCHOR.search(page, at)
+                loose, anchor_depth = after is None or not after[1], len(open_tags)
         elif tag == "br":
             text.append(" ")
         elif tag in BLOCK:
             yield from block()
             linked = 0
+            if loose:
+                anchors = 0
             if tag in OPTIONAL_END:
                 # Their ends may be left out; only those that surround an article are remembered, until the next of the kind.
                 if open_tags and open_tags[-1][0] == tag:
-                    around -= open_tags.pop()[1]
-                if not closing and _surrounds(tag, m[3], inside > 0):
-                    open_tags.append((tag, True))
-                    around += 1
+                    left()
+                if not closing and (level := _surrounds(tag, m[3], inside > 0)):
+                    opened(tag, level)
                 continue
             if not closing and tag not in VOID:
-                bad = _surrounds(tag, m[3], inside > 0)
-                open_tags.append((tag, bad))
-                around += bad
+                opened(tag, _surrounds(tag, m[3], inside > 0))
                 inside += tag in INSIDE
             elif closing and any(t == tag for t, _ in open_tags):
                 while open_tags:
-                    t, bad = open_tags.pop()
-                    around -= bad
+                    t = left()
                     inside -= t in INSIDE
                     if t == tag:
                         break
+                if len(open_tags) < anchor_depth:
+                    anchors = 0
     if at < len(page):
         text.append(page[at:])
         linked += len(page) - at if anchors else 0
     yield from block()
 
 
+def _rescued(found: list[Block], labels: list[int]) -> set[int]:
+    """Elements that surround by class but hold good blocks of an article, or more good text than is outside of all such."""
+    outside, own, articles = 0, Counter(), set()
+    within: dict[int, list[int]] = {}
+    for i, (joined, _, _, hard, named) in enumerate(found):
+        if labels[i] > 0 and not hard:
+            if not named:
+                outside += len(joined)
+            for k, _ in named:
+                within.setdefault(k, []).append(i)
+    kept: set[int] = set()
+    for k in sorted(within, reverse=True):  # inner ones first
+        for i in within[k]:
+            inner = [(n, article) for n, article in found[i][4] if n >= k]
+            if all(n in kept for n, _ in inner if n > k):
+                own[k] += len(found[i][0])
+                if inner[0][1]:
+                    articles.add(k)
+        if k in articles or own[k] > max(outside, LONG):
+            kept.add(k)
+    return kept
+
+
 def extract(page: str | None) -> str:
     """Good blocks of a page, joined by an empty line."""
     found = list(blocks(page)) if page else []
     labels: list[int] = []  # 1 good, -1 bad, 0 undecided
-    for joined, linked, inside, around in found:
+    for joined, linked, inside, hard, _ in found:
         n = len(joined)
-        if around or linked > LINKED * n and n < 4 * LONG:
+        if hard or linked > LINKED * n and n < 4 * LONG:
             labels.append(-1)
         elif n < SHORT:
             labels.append(0)
@@ -157,6 +279,9 @@ def extract(page: str | None) -> str:
             words = joined.lower().split()
             density = sum(w.strip(".,;:!?\"'()*#%$&") in STOP_WORDS for w in words) / len(words)
             labels.append(1 if density >= STOP_HIGH or n > LONG and density >= STOP_LOW else 0 if inside or density >= STOP_LOW else -1)
+    if any(named for *_, named in found):
+        kept_around = _rescued(found, labels)
+        labels = [label if all(k in kept_around for k, _ in named) else -1 for label, (*_, named) in zip(labels, found, strict=True)]
     # Nearest decided label before and after each block; an article's edge is a good neighbour.
     kept, before = [], 0
     after = [0] * len(found)
@@ -168,7 +293,7 @@ def extract(page: str | None) -> str:
         label = labels[i] or label
         after[i] = label
     was = False
-    for i, (joined, _, inside, _) in enumerate(found):
+    for i, (joined, _, inside, *_) in enumerate(found):
         if inside and not was:
             before = 1
         was = inside
