@@ -11,7 +11,9 @@ of them, which bounds what is broadcast; with more of them, the documents'
 fingerprints are joined with the items' and hits are extended after the join.
 
 Edge cases: null and empty texts have no words, so nothing hits them and as items
-they hit nothing; repeated items each count; items that share a window all count.
+they hit nothing; repeated items each count; items that share a window all count;
+an item of null id has the id ""; a document of null or repeated id has the results of
+its own text.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -134,30 +137,44 @@ def _results(ids: list, rows: list[tuple[int, int, list[str]]], kind: pa.DataTyp
     return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
 
-def scan_windows(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """One row per document: its words, the words that items' windows cover, and the items."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").alias("item_text"))
+def _index(items: DataFrame, broadcast_windows: int) -> Broadcast | None:
+    """The items' windows for every task, or None if there are too many."""
     # Words of an item are at most half its characters and one.
     bound = items.agg(F.sum(F.length("item_text") / 2 + 1)).first()[0] or 0
     if bound > broadcast_windows:
-        return _joined(docs, items, id_col, text_col)
+        return None
     table = items.toArrow().combine_chunks()
-    index = spark.sparkContext.broadcast(item_windows(table["item_id"].to_pylist(), table["item_text"]))
+    return items.sparkSession.sparkContext.broadcast(item_windows(table["item_id"].to_pylist(), table["item_text"]))
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").alias("item_text"))
+
+
+def _batch_overlaps(column: pa.Array, index: Index) -> list[tuple[int, int, list[str]]]:
+    data, offsets = text_buffers(column)
+    rows = []
+    for first, last in runs(offsets):
+        part = offsets[first : last + 1]
+        words = Words(data[part[0] : part[-1]], part - part[0], MEMBER)
+        rows += _run_overlaps(words, index)
+    return rows
+
+
+def scan_windows(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+    """One row per document: its words, the words that items' windows cover, and the items."""
+    small_batches(docs.sparkSession)
+    items = _items(benchmark)
     kind = docs.schema[id_col].dataType.simpleString()
+    index = _index(items, broadcast_windows)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_buffers(batch.column(1))
-            rows = []
-            for first, last in runs(offsets):
-                part = offsets[first : last + 1]
-                words = Words(data[part[0] : part[-1]], part - part[0], MEMBER)
-                rows += _run_overlaps(words, index.value)
+            rows = _batch_overlaps(batch.column(1), index.value) if index else _own_overlaps(batch.column(1), batch.column(2))
             yield _results(batch.column(0).to_pylist(), rows, batch.schema.field(0).type)
 
-    return docs.select(id_col, text_col).mapInArrow(scan, f"doc_id {kind}, {SCHEMA}")
+    whole = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return (whole if index else _joined(whole, items)).mapInArrow(scan, f"doc_id {kind}, {SCHEMA}")
 
 
 def _run_overlaps(words: Words, index: Index) -> list[tuple[int, int, list[str]]]:
@@ -177,9 +194,24 @@ def _run_overlaps(words: Words, index: Index) -> list[tuple[int, int, list[str]]
     return rows
 
 
-def _joined(docs: DataFrame, items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The same result with items of any number: fingerprints meet in a join, then hits are extended."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def _own_overlaps(texts: pa.Array, items: pa.Array) -> list[tuple[int, int, list[str]]]:
+    """Results of texts that each come with the items that may occur in it."""
+    data, offsets = text_buffers(texts)
+    words = Words(data, offsets, MEMBER)
+    rows = []
+    for i, found in enumerate(items.to_pylist()):
+        w = words.hashes[words.bounds[i] : words.bounds[i + 1]]
+        found = found or []
+        index = item_windows([f["item_id"] for f in found], pa.array([f["item_text"] for f in found], pa.string())) if found else None
+        rows.append((len(w), *(overlap(w, index) if index else (0, []))))
+    return rows
+
+
+def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(id, text) with the items that may occur in the text, for items of any number: fingerprints meet in a join."""
+    # Documents without an id are told apart by their text; what is found for a key is compared with the row's own text.
+    key = F.coalesce(F.col("id").cast("string"), F.concat(F.lit("null:"), F.sha2(F.coalesce("text", F.lit("")), 256)))
+    docs = docs.withColumn("key", key)
 
     def emit(whole_items: bool):
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,29 +237,26 @@ def _joined(docs: DataFrame, items: DataFrame, id_col: str, text_col: str) -> Da
 
         return scan
 
-    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = text_buffers(batch.column(1))
-            words = Words(data, offsets, MEMBER)
-            rows = []
-            for i, found in enumerate(batch.column(2).to_pylist()):
-                w = words.hashes[words.bounds[i] : words.bounds[i + 1]]
-                found = found or []
-                index = item_windows([f["item_id"] for f in found], pa.array([f["item_text"] for f in found], pa.string())) if found else None
-                rows.append((len(w), *(overlap(w, index) if index else (0, []))))
-            yield _results(batch.column(0).to_pylist(), rows, batch.schema.field(0).type)
-
     by_item = items.mapInArrow(emit(True), "id string, words int, print long").withColumnRenamed("id", "item_id")
     # Lengths of short items: at most WINDOW - 1 of them.
     lengths = docs.sparkSession.sparkContext.broadcast([r[0] for r in by_item.where(f"words < {WINDOW}").select("words").distinct().collect()])
-    by_doc = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(emit(False), f"id {kind}, words int, print long")
-    pairs = by_doc.join(by_item, ["words", "print"]).select("id", "item_id").distinct()
-    with_items = pairs.join(items, "item_id").groupBy("id").agg(F.collect_list(F.struct("item_id", "item_text")).alias("items"))
-    whole = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(with_items, "id", "left")
-    return whole.select("id", "text", "items").mapInArrow(extend, f"doc_id {kind}, {SCHEMA}")
+    by_doc = docs.select("key", "text").mapInArrow(emit(False), "id string, words int, print long")
+    pairs = by_doc.join(by_item, ["words", "print"]).select(F.col("id").alias("key"), "item_id").distinct()
+    with_items = pairs.join(items, "item_id").groupBy("key").agg(F.collect_list(F.struct("item_id", "item_text")).alias("items"))
+    return docs.join(with_items, "key", "left").select(*[c for c in docs.columns if c != "key"], "items")
+
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, most_hit: int = 0, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+    """Documents of which at most `most_hit` words lie in an item's window, with their own columns; each row goes by its own text."""
+    small_batches(docs.sparkSession)
+    items = _items(benchmark)
+    index = _index(items, broadcast_windows)
+    whole = docs.select(F.col("doc_id").alias("id"), "text", F.struct("*").alias("row"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = _batch_overlaps(batch.column(0), index.value) if index else _own_overlaps(batch.column(0), batch.column(2))
+            yield batch.select([1]).filter(pa.array([hit <= most_hit for _, hit, _ in rows], pa.bool_()))
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, most_hit: int = 0) -> DataFrame:
-    """Documents of which at most `most_hit` words lie in an item's window, with their own columns."""
-    found = scan_windows(docs, benchmark).where(F.col("n_hit") > most_hit).select(F.col("doc_id").alias("_hit"))
-    return docs.join(found.distinct(), docs["doc_id"] == F.col("_hit"), "left_anti")
+    found = whole.select("text", "row") if index else _joined(whole, items).select("text", "row", "items")
+    return found.mapInArrow(scan, whole.select("row").schema).select("row.*")

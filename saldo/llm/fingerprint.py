@@ -115,11 +115,14 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, ranges: int) -> DataF
     tops = {r[0]: r[1] for r in ids.groupBy(bucket.alias("bucket")).agg(F.max("id").alias("top")).collect()}
     order = sorted(tops)
     target = {tops[b]: order[(i + 1) % len(order)] for i, b in enumerate(order) if tops[b] is not None}
+    # The first range may hold null ids only; then they follow the next one's last document.
+    nulls_to = order[1 % len(order)] if order and tops[order[0]] is None else None
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     places = F.array(F.struct(bucket.alias("bucket"), F.lit(False).alias("extra")))
-    if target:
-        to = F.create_map(*[F.lit(x) for pair in target.items() for x in pair])[F.col("id")]
-        places = F.when(F.col("id").isin(list(target)), F.array(F.struct(bucket.alias("bucket"), F.lit(False).alias("extra")), F.struct(to.alias("bucket"), F.lit(True).alias("extra")))).otherwise(places)
+    if order:
+        to = F.create_map(*[F.lit(x) for pair in target.items() for x in pair])[F.col("id")] if target else F.lit(None).cast("int")
+        to = F.when(F.col("id").isNull(), F.lit(nulls_to).cast("int")).otherwise(to)
+        places = F.when(to.isNotNull(), F.array(F.struct(bucket.alias("bucket"), F.lit(False).alias("extra")), F.struct(to.alias("bucket"), F.lit(True).alias("extra")))).otherwise(places)
     dealt = rows.withColumn("at", F.explode(places)).select("at.bucket", "at.extra", "id", "text")
     return dealt.repartition(max(8, ranges // 4), "bucket").sortWithinPartitions("bucket", "extra", F.col("id").desc_nulls_last(), "text")
 
