@@ -18,7 +18,9 @@ other pairs fall short of the similarity.
 
 Edge cases: null and empty texts and texts without words have no shingles and
 are alone, as are rows without an id; texts of fewer words than a shingle have one; repeated rows fall into
-one class; an empty table gives an empty result; other columns are not read.
+one class; rows of one id and different texts are one document, whose links are confirmed by the least of its
+texts (exact copies of each text count too), and of which none stays if one of them has a smaller copy; an
+empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from saldo.llm.arrays import U64, Words, gram_hash, mix, runs, small_batches, text_buffers
-from saldo.llm.shared import components, staged
+from saldo.llm.shared import components, forget, staged
 
 CHUNKS, WIDTH = 9, 4
 SYMBOLS = CHUNKS * WIDTH
@@ -192,11 +194,14 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return dealt.mapInArrow(scan, f"a {kind}, b {kind}")
 
 
-def _labelled(reps: DataFrame, links: DataFrame | None) -> DataFrame:
-    """id and component of every class."""
-    if links is None:
-        return reps.select("id", F.col("id").alias("component"))
-    return reps.select("id").join(components(links), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (id, component) after further links (a, b): only the labels that they join are gone through again."""
+    ends = links.join(labels.toDF("a", "left"), "a").join(labels.toDF("b", "right"), "b")
+    joined = components(ends.select(F.col("left").alias("a"), F.col("right").alias("b")))
+    lower = joined.select(F.col("id").alias("component"), F.col("component").alias("least"))
+    out = staged(labels.join(lower, "component", "left").select("id", F.coalesce("least", "component").alias("component")))
+    forget(joined, labels)
+    return out
 
 
 def groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", draws: int = 3) -> DataFrame:
@@ -209,44 +214,62 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc
     buckets = entered.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("members")).where("members > 1")
     members = staged(entered.join(buckets, "key").select("key", "id", "n_shingles", "hub"))
     wanted = members.select("id").distinct()
-    texts = staged(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi").dropDuplicates(["id"]))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi")
+    texts = staged(texts.groupBy("id").agg(F.min("text").alias("text")))
 
     # First each member against the least member of the bucket it shares most keys with.
     first = members.where("id <> hub").groupBy("id", "hub").agg(F.count("*").alias("shared"))
     first = first.groupBy("id").agg(F.max_by("hub", F.struct("shared", "hub")).alias("b")).select(F.col("id").alias("a"), "b")
-    links = staged(confirmed(first, texts, size, percent))
-    labels = staged(_labelled(wanted, links))
-    for draw in range(draws + 1):
+    tried = staged(within(first, reps))
+    links = staged(confirmed(tried, texts, size, percent))
+    labels = _merged(staged(wanted.select("id", F.col("id").alias("component"))), links)
+    forget(links)
+    drawing = 0
+    while True:
         # Buckets that hold members of several components.
         told = members.select("key", "id", "n_shingles").join(labels, "id")
         open_ = told.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n")).where("least < most")
-        told = staged(told.join(open_.drop("most"), "key"))
-        size_ok = lambda a, b: (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
-        if draw < draws:
+        told, spare = staged(told.join(open_.drop("most"), "key")), []
+        if drawing < draws:
             # Members of other components against a member of the least one, drawn anew each time.
-            at_random = F.xxhash64("id", "key", F.lit(draw))
+            at_random = F.xxhash64("id", "key", F.lit(drawing))
             drawn = told.where("component = least").groupBy("key").agg(F.min_by(F.struct("id", "n_shingles"), at_random).alias("of"))
-            pairs = told.where("component <> least").join(drawn, "key").where(size_ok(F.col("n_shingles"), F.col("of.n_shingles"))).select(F.col("id").alias("a"), F.col("of.id").alias("b"))
+            near = F.least("n_shingles", "of.n_shingles") * 100 >= F.greatest("n_shingles", "of.n_shingles") * percent
+            pairs = told.where("component <> least").join(drawn, "key").where(near).select(F.greatest("id", "of.id").alias("a"), F.least("id", "of.id").alias("b"))
         else:
             # What is left: each pair of different components in a bucket.
             pairs = crossed(told.where(F.col("n") <= CROWD).withColumn("left", F.col("n_shingles")), "key", percent)
             crowded = staged(told.where(F.col("n") > CROWD).select("id", "n_shingles", "component").distinct())
+            spare.append(crowded)
             if crowded.limit(1).count():
                 sharing = staged(rarest(crowded, texts, size, percent))
+                spare.append(sharing)
                 several = sharing.groupBy("shingle").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("shingle")
                 pairs = pairs.union(crossed(sharing.join(several, "shingle"), "shingle", percent))
-        pairs = staged(within(pairs.distinct(), reps))
-        if pairs.limit(1).count():
-            links = links.union(staged(confirmed(pairs, texts, size, percent)))
-            labels = staged(_labelled(wanted, links))
+        # Pairs that were not alike need no second look.
+        pairs = staged(within(pairs.distinct().join(tried, ["a", "b"], "left_anti"), reps))
+        tested, found = pairs.count(), 0
+        if tested:
+            links = staged(confirmed(pairs, texts, size, percent))
+            found = links.count()
+            labels = _merged(labels, links) if found else labels
+            forget(links)
+        forget(told, *spare)
+        if drawing >= draws:
+            break
+        # Draws join the large groups of near copies; once few pairs are links, the last step takes what is left.
+        drawing = drawing + 1 if 20 * found > tested else draws
+        tried, last = staged(tried.union(pairs)), tried
+        forget(last, pairs)
+    forget(members, texts, tried, pairs)
     by_class = reps.select("one", "two", "id").join(labels, "id", "left").select("one", "two", F.coalesce("component", "id").alias("component"))
     out = every.join(by_class, ["one", "two"], "left").select(F.col("id").alias("doc_id"), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that are the smallest of their component, once each, and those without an id; their own columns."""
-    gone = groups(docs, size, percent).where("not kept").select(F.col("doc_id").alias("_gone"))
-    named = docs.where("doc_id is not null")
-    kept = named.join(gone.distinct(), named["doc_id"] == F.col("_gone"), "left_anti").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    """The documents that are the smallest of their component, each text of them once, and those without an id; their own columns."""
+    gone = groups(docs, size, percent).where("not kept").select("doc_id").distinct()
+    named = docs.where(docs["doc_id"].isNotNull())
+    kept = named.join(gone, named["doc_id"] == gone["doc_id"], "left_anti").dropDuplicates(["doc_id", "text"])
+    return kept.unionByName(docs.where(docs["doc_id"].isNull()))

@@ -1,61 +1,32 @@
-"""Intermediate tables in the folder that the driver and all executors share, and components of a graph."""
+"""Components of a graph whose rounds are kept in the shared folder."""
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_STAGED: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset, as in tests, a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="saldo-"))
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder.rstrip("/")
-
-
-def staged(df: DataFrame) -> DataFrame:
-    """The table written to the shared folder and read again: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/saldo-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _STAGED.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
+from saldo.sources.shared import forget, shared_dir, staged
 
-@atexit.register
-def _forget() -> None:
-    for spark, path in _STAGED:
-        with contextlib.suppress(Exception):
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+__all__ = ["components", "forget", "shared_dir", "staged"]
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(id, component) for every end of the edges (a, b): the smallest id that can be reached.
+    """(id, component, was) for every end of the edges (a, b): the smallest id that can be reached; a staged table.
 
     Each round takes the least label among the neighbours and then that label's own
     label, so paths shorten at least by half; it ends when no label changes.
     """
     both = staged(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = staged(both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("component")).withColumnRenamed("a", "id"))
+    labels = staged(both.groupBy("a").agg(F.least("a", F.min("b")).alias("component")).withColumnRenamed("a", "id"))
     for _ in range(rounds):
         seen = labels.select(F.col("id").alias("b"), "component")
         least = both.join(seen, "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         lower = labels.join(least, "id").select("id", F.least("component", "near").alias("component"), F.col("component").alias("was"))
         own = labels.select(F.col("id").alias("component"), F.col("component").alias("further"))
         jumped = lower.join(own, "component", "left").select("id", F.least("component", F.coalesce("further", "component")).alias("component"), "was")
-        found = staged(jumped)
-        labels = found.select("id", "component")
-        if not found.where("component <> was").limit(1).count():
+        last, labels = labels, staged(jumped)
+        forget(last)
+        if not labels.where("component <> was").limit(1).count():
+            forget(both)
             return labels
     raise RuntimeError(f"labels still change after {rounds} rounds")
