@@ -59,6 +59,12 @@ def _anchors() -> ahocorasick.Automaton:
 _AUTOMATON: list[ahocorasick.Automaton] = []
 
 
+def octet(part: str) -> bool:
+    """Whether digits, of which there may be any number, make 255 at most."""
+    part = part.lstrip("0")
+    return len(part) < 3 or len(part) == 3 and part <= "255"
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, d in enumerate(map(int, reversed(digits))):
@@ -120,7 +126,7 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
             # A run of digits starts here, or an earlier address used up what stands before.
             if start >= done["ip"] and (not start or start == done["ip"] or text[start - 1] not in DIGITS) and (m := DOTTED.match(text, start)):
                 done["ip"] = m.end()
-                if all(int(part) <= 255 for part in m[0].split(".")):
+                if all(map(octet, m[0].split("."))):
                     spans.append(("ip", *m.span()))
         elif kind == "@":
             if found := _email(text, start, done["email"]):
