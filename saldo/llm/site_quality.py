@@ -108,8 +108,10 @@ def scored(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
     """doc_id, held_out, evidence, host_rate, path_rate, score and kept of every document."""
     small_batches(docs.sparkSession)
     marked = labels.where(~held_out()).where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    sample = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select(F.col("doc_id").alias("_id"), "quality")
-    rows = evidence(docs.join(sample, docs["doc_id"] == F.col("_id")), ["_id", "quality"]).dropDuplicates(["_id"]).orderBy("_id").collect()
+    sample = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    # Only the columns that are needed, so that others of the same names do no harm; of a repeated id the least text.
+    texts = docs.select("doc_id", "text").join(sample, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"))
+    rows = evidence(texts, ["doc_id", "quality"]).orderBy("doc_id").collect()
     x, y = np.array([r["features"] for r in rows], float).reshape(-1, len(FEATURES)), np.array([r["quality"] for r in rows], float)
     weights = fit(x, y).tolist()
     terms = [F.col("features")[i] * weights[i] + F.col("features")[i] * F.col("features")[i] * weights[i + len(FEATURES)] for i in range(len(FEATURES))]

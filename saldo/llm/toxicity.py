@@ -213,9 +213,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Model:
     order = F.xxhash64("doc_id")
     # The ids of least hash are chosen before any text moves.
     chosen = [marked.where(f"toxic = {y}").orderBy(order, "doc_id").limit(most) for y in (0, 1)]
-    sample = chosen[0].union(chosen[1]).select(F.col("doc_id").alias("_id"), "toxic")
-    texts = docs.join(sample, docs["doc_id"] == F.col("_id")).select("_id", "text", "toxic").dropDuplicates(["_id"]).toArrow()
-    rows = sorted(zip(texts["_id"].to_pylist(), texts["text"].to_pylist(), texts["toxic"].to_pylist(), strict=True), key=lambda r: r[0])
+    # Only the columns that are needed, so that others of the same names do no harm; of a repeated id the least text.
+    texts = docs.select("doc_id", "text").join(chosen[0].union(chosen[1]), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).toArrow()
+    rows = sorted(zip(texts["doc_id"].to_pylist(), texts["text"].to_pylist(), texts["toxic"].to_pylist(), strict=True), key=lambda r: r[0])
     return fit([r[1] or "" for r in rows], [int(r[2]) for r in rows])
 
 
