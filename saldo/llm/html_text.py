@@ -19,6 +19,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -60,10 +61,11 @@ RAW = frozenset("script style iframe textarea".split())
 UNNESTED = frozenset("button select title head".split())
 
 #: Blocks of fewer characters are undecided, of more and dense enough in stop words good.
-SHORT, LONG, LINKED, STOP_LOW, STOP_HIGH = 70, 200, 0.34, 0.12, 0.18
+SHORT, LONG, LINKED, STOP_LOW, STOP_HIGH, STOP_NONE = 70, 200, 0.34, 0.12, 0.18, 0.04
 
+# Each branch ends in one pass: a tag's quotes are read as such where that leads to its end, and not otherwise.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*+(?=>))|[^>]*)>",
     re.S,
 )
 ENDS = {tag: re.compile(rf"</{tag}(?![A-Za-z0-9:-])[^>]*>", re.I) for tag in SILENT}
@@ -72,6 +74,9 @@ ANCHOR = re.compile(r"<(/?)a(?![A-Za-z0-9:-])", re.I)
 LINK = re.compile(r"\bhref\s*=", re.I)
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 PART = re.compile(r"[A-Za-z]+")
+#: Paragraphs and headings: inside an article a class alone does not make a long text of theirs a menu or an advert.
+PHRASES = frozenset("p blockquote h1 h2 h3 h4 h5 h6".split())
+BEYOND_LATIN = re.compile(r"[\u0370-\u1fff\u2c80-\ua7ff\uac00-\ud7ff\U00020000-\U0003ffff]")
 
 
 def _names_around(token: str) -> bool:
@@ -103,15 +108,29 @@ def _surrounds(tag: str, attributes: str, in_article: bool) -> int:
     return level
 
 
+class Tokens:
+    """Tags and comments of a page in order; what `at` is set beyond is not looked at."""
+
+    def __init__(self, page: str) -> None:
+        # Behind the last bracket there is no tag; without this bound, each open one would be looked for up to the page's end.
+        self.page, self.at, self.last = page, 0, page.rfind(">") + 1
+
+    def __iter__(self) -> Iterator[re.Match]:
+        while m := TOKEN.search(self.page, self.at, self.last):
+            # An unclosed comment goes to the end of the page.
+            unclosed = m.end() == self.last and (m[0].startswith("<!--") and not m[0].endswith("-->") or m[0].startswith("<![CDATA[") and not m[0].endswith("]]>"))
+            self.at = len(self.page) if unclosed else m.end()
+            yield m
+
+
 def _closed(page: str) -> dict[int, int]:
     """Where silent elements that are closed inside their enclosing block end, by the end of their start tag."""
     ends: dict[int, int] = {}
     stack: list[tuple[str, int]] = []
     held: Counter[str] = Counter()
-    skip_to = 0
-    for m in TOKEN.finditer(page):
+    for m in (tokens := Tokens(page)):
         tag = (m[2] or "").lower()
-        if m.start() < skip_to or not tag or tag not in BLOCK and tag not in ENDS or tag in VOID:
+        if not tag or tag not in BLOCK and tag not in ENDS or tag in VOID:
             continue
         if m[1] == "/":
             while held[tag]:
@@ -125,7 +144,7 @@ def _closed(page: str) -> dict[int, int]:
             continue
         elif tag in RAW:
             end = ENDS[tag].search(page, m.end())
-            skip_to = end.end() if end else len(page)
+            tokens.at = end.end() if end else len(page)
         else:
             if tag in UNNESTED and held[tag]:
                 while True:
@@ -140,18 +159,28 @@ def _closed(page: str) -> dict[int, int]:
     return ends
 
 
-Block = tuple[str, int, bool, bool, tuple[tuple[int, bool], ...]]
+@dataclass
+class Named:
+    """An element that surrounds by its class alone: the one around it (-1: none), articles around it, whether a paragraph or heading of one."""
+
+    parent: int
+    inside: int
+    phrase: bool
+
+
+Block = tuple[str, int, int, bool, int]
 
 
-def blocks(page: str) -> Iterator[Block]:
-    """(text, characters in links, in an article, in what surrounds one, (number, in an article of its own) of every
-    element around it that surrounds by its class alone) of every block in page order."""
+def blocks(page: str, named: list[Named]) -> Iterator[Block]:
+    """(text, characters in links, articles around, in what surrounds one, number of the innermost element around it that
+    surrounds by its class alone, or -1) of every block in page order; such elements are put into `named`."""
     text: list[str] = []
-    linked, anchors, skip_to, at = 0, 0, 0, 0
+    linked, anchors, at = 0, 0, 0
     loose, anchor_depth = False, 0
     open_tags: list[tuple[str, int]] = []  # elements that can hold blocks, and whether they surround
-    named: list[tuple[int, int]] = []  # those of them that surround by class: number, articles around them
-    around = inside = n_named = 0
+    held: Counter[str] = Counter()
+    around = inside = 0
+    innermost = -1
     ends: dict[int, int] | None = None
 
     def block() -> Iterator[Block]:
@@ -160,32 +189,32 @@ def blocks(page: str) -> Iterator[Block]:
             joined = " ".join(html.unescape("".join(text)).split())
             text.clear()
             if joined:
-                yield joined, linked, inside > 0, around > 0, tuple((k, inside > was) for k, was in named)
+                yield joined, linked, inside, around > 0, innermost
 
     def opened(tag: str, level: int) -> None:
-        nonlocal around, n_named
+        nonlocal around, innermost
         open_tags.append((tag, level))
+        held[tag] += 1
         around += level == 2
         if level == 1:
-            named.append((n_named, inside))
-            n_named += 1
+            named.append(Named(innermost, inside, inside > 0 and tag in PHRASES))
+            innermost = len(named) - 1
 
     def left() -> str:
-        nonlocal around
+        nonlocal around, innermost
         tag, level = open_tags.pop()
+        held[tag] -= 1
         around -= level == 2
         if level == 1:
-            named.pop()
+            innermost = named[innermost].parent
         return tag
 
-    for m in TOKEN.finditer(page):
-        if m.start() < skip_to:
-            continue
+    for m in (tokens := Tokens(page)):
         if m.start() > at:
             text.append(piece := page[at : m.start()])
             if anchors:
                 linked += len(piece)
-        at = m.end()
+        at = tokens.at
         tag = (m[2] or "").lower()
         if not tag:
             if m[0].startswith("<![CDATA["):
@@ -196,12 +225,12 @@ def blocks(page: str) -> Iterator[Block]:
             if not closing and not m[3].endswith("/"):
                 if tag in RAW:
                     end = ENDS[tag].search(page, at)
-                    at = skip_to = end.end() if end else len(page)
+                    at = tokens.at = end.end() if end else len(page)
                 else:
                     # Without an end in its block, it is over at the next block; a head has blocks of the body behind it.
                     ends = _closed(page) if ends is None else ends
                     end = None if at in ends or tag == "head" else NEXT_BLOCK.search(page, at)
-                    at = skip_to = ends.get(at, at if tag == "head" else end.start() if end else len(page))
+                    at = tokens.at = ends.get(at, at if tag == "head" else end.start() if end else len(page))
             if tag in ("head", "title"):
                 yield from block()
                 linked = 0
@@ -228,7 +257,7 @@ def blocks(page: str) -> Iterator[Block]:
             if not closing and tag not in VOID:
                 opened(tag, _surrounds(tag, m[3], inside > 0))
                 inside += tag in INSIDE
-            elif closing and any(t == tag for t, _ in open_tags):
+            elif closing and held[tag]:
                 while open_tags:
                     t = left()
                     inside -= t in INSIDE
@@ -242,46 +271,64 @@ def blocks(page: str) -> Iterator[Block]:
     yield from block()
 
 
-def _rescued(found: list[Block], labels: list[int]) -> set[int]:
-    """Elements that surround by class but hold good blocks of an article, or more good text than is outside of all such."""
-    outside, own, articles = 0, Counter(), set()
-    within: dict[int, list[int]] = {}
-    for i, (joined, _, _, hard, named) in enumerate(found):
-        if labels[i] > 0 and not hard:
-            if not named:
+def _rescued(found: list[Block], labels: list[int], named: list[Named]) -> list[bool]:
+    """Whether each element that surrounds by class holds good blocks of an article, or more good text than is outside of all
+    such, or is a paragraph of good text itself, and so do all around it."""
+    outside = 0
+    own, deepest = [0] * len(named), [0] * len(named)
+    for (joined, _, inside, hard, k), label in zip(found, labels, strict=True):
+        if label > 0 and not hard:
+            if k < 0:
                 outside += len(joined)
-            for k, _ in named:
-                within.setdefault(k, []).append(i)
-    kept: set[int] = set()
-    for k in sorted(within, reverse=True):  # inner ones first
-        for i in within[k]:
-            inner = [(n, article) for n, article in found[i][4] if n >= k]
-            if all(n in kept for n, _ in inner if n > k):
-                own[k] += len(found[i][0])
-                if inner[0][1]:
-                    articles.add(k)
-        if k in articles or own[k] > max(outside, LONG):
-            kept.add(k)
+            else:
+                own[k] += len(joined)
+                deepest[k] = max(deepest[k], inside)
+    kept = [False] * len(named)
+    for k in range(len(named) - 1, -1, -1):  # inner ones first
+        e = named[k]
+        kept[k] = own[k] > 0 and (deepest[k] > e.inside or e.phrase and own[k] >= SHORT or own[k] > max(outside, LONG))
+        if kept[k] and e.parent >= 0:
+            own[e.parent] += own[k]
+            deepest[e.parent] = max(deepest[e.parent], deepest[k])
+    for k, e in enumerate(named):
+        kept[k] = kept[k] and (e.parent < 0 or kept[e.parent])
     return kept
 
 
+def _density(joined: str) -> float:
+    """Share of stop words."""
+    words = joined.lower().split()
+    return sum(w.strip(".,;:!?\"'()*#%$&") in STOP_WORDS for w in words) / len(words)
+
+
+def _foreign(joined: str) -> bool:
+    """Whether most letters are beyond Latin ones, so that stop words say nothing."""
+    letters = sum(map(str.isalpha, joined))
+    return 2 * len(BEYOND_LATIN.findall(joined)) > letters > 0
+
+
 def extract(page: str | None) -> str:
     """Good blocks of a page, joined by an empty line."""
-    found = list(blocks(page)) if page else []
+    named: list[Named] = []
+    found = list(blocks(page, named)) if page else []
+    judged = [None if hard or linked > LINKED * len(joined) and len(joined) < 4 * LONG or len(joined) < SHORT else _density(joined) for joined, linked, _, hard, _ in found]
+    # In a language without a list, length and links decide alone.
+    read = [(len(b[0]), d) for b, d in zip(found, judged, strict=True) if d is not None]
+    unlisted = sum(n * d for n, d in read) < STOP_NONE * sum(n for n, _ in read) and sum(n for n, _ in read) > 3 * LONG
     labels: list[int] = []  # 1 good, -1 bad, 0 undecided
-    for joined, linked, inside, hard, _ in found:
+    for (joined, linked, inside, hard, _), density in zip(found, judged, strict=True):
         n = len(joined)
         if hard or linked > LINKED * n and n < 4 * LONG:
             labels.append(-1)
-        elif n < SHORT:
-            labels.append(0)
+        elif density is None:
+            labels.append(1 if n >= SHORT // 2 and linked == 0 and _foreign(joined) else 0)
+        elif density < STOP_LOW and (unlisted or _foreign(joined)):
+            labels.append(1 if n > LONG or _foreign(joined) else 0)
         else:
-            words = joined.lower().split()
-            density = sum(w.strip(".,;:!?\"'()*#%$&") in STOP_WORDS for w in words) / len(words)
             labels.append(1 if density >= STOP_HIGH or n > LONG and density >= STOP_LOW else 0 if inside or density >= STOP_LOW else -1)
-    if any(named for *_, named in found):
-        kept_around = _rescued(found, labels)
-        labels = [label if all(k in kept_around for k, _ in named) else -1 for label, (*_, named) in zip(labels, found, strict=True)]
+    if named:
+        kept_around = _rescued(found, labels, named)
+        labels = [label if k < 0 or kept_around[k] else -1 for label, (*_, k) in zip(labels, found, strict=True)]
     # Nearest decided label before and after each block; an article's edge is a good neighbour.
     kept, before = [], 0
     after = [0] * len(found)
@@ -289,14 +336,14 @@ def extract(page: str | None) -> str:
     for i in range(len(found) - 1, -1, -1):
         if found[i][2] and not was:
             label = 1
-        was = found[i][2]
+        was = found[i][2] > 0
         label = labels[i] or label
         after[i] = label
     was = False
     for i, (joined, _, inside, *_) in enumerate(found):
         if inside and not was:
             before = 1
-        was = inside
+        was = inside > 0
         if labels[i]:
             before = labels[i]
         elif before > 0 and after[i] > 0 or inside and before + after[i] >= 0 and (before > 0 or after[i] > 0):
