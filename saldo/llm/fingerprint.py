@@ -17,12 +17,12 @@ null doc_ids come last.
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from saldo.llm.arrays import U64, mix, prefix_hash, runs, small_batches, span_hash, text_buffers
@@ -92,45 +92,56 @@ def likeness(one: np.ndarray, other: np.ndarray) -> float:
     return weight(np.intersect1d(one, other, assume_unique=True)) / weight(one)
 
 
-def bucket_of(value: Column, bounds: list) -> Column:
-    """Index of the range that holds the value, by comparisons in a balanced tree; null is in the first."""
+#: Text that a range of ids holds, and ids sampled for each range; both concern balance only.
+RANGE_BYTES, SAMPLED = 16 << 20, 20
 
-    def tree(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(value >= F.lit(bounds[middle]), tree(middle + 1, high)).otherwise(tree(low, middle))
 
-    return tree(0, len(bounds))
+def range_bounds(ids: DataFrame, ranges: int, rows: int) -> list:
+    """Ids between ranges of about equal size, of any type that has an order, from a sample by hash."""
+    if ranges < 2 or not rows:
+        return []
+    every = max(1, rows // (SAMPLED * ranges))
+    found = sorted(r[0] for r in ids.where(f"id is not null and pmod(xxhash64(id), {every}) = 0").collect())
+    return sorted({found[i * len(found) // ranges] for i in range(1, ranges)}) if found else []
 
 
-def with_next(docs: DataFrame, id_col: str, text_col: str, ranges: int) -> DataFrame:
+def with_next(docs: DataFrame, id_col: str, text_col: str, ranges: int | None) -> DataFrame:
     """Documents dealt out in ranges of ids, in descending order, each range followed by the first of the next one.
 
-    Only the bounds and the largest id of each range, `ranges` numbers at most, come to the driver.
+    The number of ranges grows with the table, so that a task's share does not; some ids for
+    each range are all that comes to the driver.
     """
-    ids = docs.select(F.col(id_col).alias("id"))
-    bounds = sorted({int(b) for b in ids.approxQuantile("id", [i / ranges for i in range(1, ranges)], 0.25 / ranges)} if ranges > 1 else [])
-    bucket = bucket_of(F.col("id"), bounds)
-    tops = {r[0]: r[1] for r in ids.groupBy(bucket.alias("bucket")).agg(F.max("id").alias("top")).collect()}
-    order = sorted(tops)
-    target = {tops[b]: order[(i + 1) % len(order)] for i, b in enumerate(order) if tops[b] is not None}
-    # The first range may hold null ids only; then they follow the next one's last document.
-    nulls_to = order[1 % len(order)] if order and tops[order[0]] is None else None
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    places = F.array(F.struct(bucket.alias("bucket"), F.lit(False).alias("extra")))
-    if order:
-        to = F.create_map(*[F.lit(x) for pair in target.items() for x in pair])[F.col("id")] if target else F.lit(None).cast("int")
-        to = F.when(F.col("id").isNull(), F.lit(nulls_to).cast("int")).otherwise(to)
-        places = F.when(to.isNotNull(), F.array(F.struct(bucket.alias("bucket"), F.lit(False).alias("extra")), F.struct(to.alias("bucket"), F.lit(True).alias("extra")))).otherwise(places)
-    dealt = rows.withColumn("at", F.explode(places)).select("at.bucket", "at.extra", "id", "text")
+    n = rows.count()
+    if ranges is None:
+        each = rows.limit(10_000).agg(F.avg(F.octet_length("text"))).first()[0] or 0
+        ranges = max(32, int(n * each) // RANGE_BYTES)
+    bounds = range_bounds(rows.select("id"), ranges, n)
+
+    def place(value) -> int:
+        """Range of an id; null is in the first."""
+        return 0 if value is None else bisect_right(bounds, value)
+
+    @F.arrow_udf("int")
+    def bucket(ids: pa.Array) -> pa.Array:
+        return pa.array(map(place, ids.to_pylist()), pa.int32())
+
+    ends = sorted(tuple(r) for r in rows.groupBy(bucket("id").alias("bucket")).agg(F.max("id").alias("top")).collect())
+    # Where the first document of each range is repeated, to follow the last of the next one; the first range may hold null ids only.
+    to = {top: ends[(i + 1) % len(ends)][0] for i, (_, top) in enumerate(ends)}
+
+    @F.arrow_udf("array<int>")
+    def places(ids: pa.Array) -> pa.Array:
+        return pa.array([[place(i), to[i]] if i in to else [place(i)] for i in ids.to_pylist()], pa.list_(pa.int32()))
+
+    dealt = rows.select("id", "text", F.posexplode(places("id")).alias("extra", "bucket")).select("bucket", (F.col("extra") > 0).alias("extra"), "id", "text")
     return dealt.repartition(max(8, ranges // 4), "bucket").sortWithinPartitions("bucket", "extra", F.col("id").desc_nulls_last(), "text")
 
 
 SCHEMA = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int = 128) -> DataFrame:
+def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
     """Fingerprints of every text and of its edited text, and the likeness to it and to the next document's.
 
     The edited text has its last third replaced by the beginning of the next document in descending order of id.

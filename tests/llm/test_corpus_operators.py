@@ -170,6 +170,36 @@ def test_chunks_resist_shifts():
     assert fingerprint.likeness(one, other) > 0.95
 
 
+def plain_chunks(text: bytes) -> list[bytes]:
+    """Byte by byte: the hash of the last bytes, the mask by the chunk's size, the limits."""
+    out, start = [], 0
+    while start < len(text):
+        end = start
+        while end < len(text):
+            end += 1
+            size, h = end - start, 0
+            for b in text[max(0, end - fingerprint.REACH) : end]:
+                h = (h << 1) + int(fingerprint.GEAR[b]) & 0xFFFFFFFF
+            mask = int(fingerprint.HARD) if size < fingerprint.NORMAL else int(fingerprint.EASY)
+            if size >= fingerprint.LARGEST or size >= fingerprint.SMALLEST and not h & mask:
+                break
+        out.append(text[start:end])
+        start = end
+    return out
+
+
+def test_chunks_equal_a_plain_loop():
+    rng = np.random.default_rng(5)
+    texts = [b"", b"abc", b"a" * 700, bytes(rng.integers(97, 123, 3000).astype(np.uint8)), b"one two three " * 120]
+    for text in texts:
+        starts, _ = fingerprint.cuts(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        assert [text[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)] == plain_chunks(text)
+    # The cuts of a text do not depend on the texts before it, but for the bytes that the hash reaches back to.
+    joined = np.frombuffer(b"".join(texts), np.uint8)
+    starts, counts = fingerprint.cuts(joined, np.cumsum([0, *map(len, texts)]))
+    assert counts[-1] == len(starts) - 1
+
+
 def auc(score, label):
     order = np.argsort(score, kind="stable")
     rank = np.empty(len(score))

@@ -31,3 +31,17 @@ def test_contaminated_rows_without_ids(spark, broadcast):
     assert got == sorted([("None", 13, 2, sha(",b")), ("None", 0, 0, sha("")), ("1", 13, 2, sha(",b")), ("1", 0, 0, sha("")), ("None", 0, 0, sha("")), ("2", 2, 1, sha(""))])
     kept = decontaminate.drop_contaminated(docs, bench, broadcast_windows=broadcast)
     assert kept.columns == docs.columns and sorted(r["items"] for r in kept.collect()) == ["b", "d", "e"]
+
+
+def test_ids_of_text_and_many_ranges(spark):
+    docs = [(f"id-{k:03d}", f"text {k} " + chr(97 + k % 26) * 30) for k in range(200)] + [(None, "none")]
+    got = fingerprint.compare_with_edits(spark.createDataFrame(docs, "doc_id string, text string"), ranges=40).collect()
+    order = sorted(docs, key=lambda r: (r[0] is not None, r[0] or ""), reverse=True)
+    want = {i: t[: len(t) - len(t) // 3] + order[(k + 1) % len(order)][1][: len(t) // 3] for k, (i, t) in enumerate(order)}
+    assert {r["doc_id"]: r["edited_sha256"] for r in got} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in want.items()}
+
+
+def test_ids_beyond_doubles(spark):
+    docs = [(None, "none at all"), *[(2**60 + k, f"text {k}") for k in range(50)]]
+    got = fingerprint.compare_with_edits(spark.createDataFrame(docs, "doc_id long, text string"), ranges=20).collect()
+    assert sorted(r["doc_id"] or 0 for r in got) == sorted(i or 0 for i, _ in docs)
