@@ -20,7 +20,9 @@ stands in a third of the documents is not gathered anywhere.
 Equal texts are parsed once. A document is told apart by its id; documents come
 in ascending order of id, rows of equal id and text count as one document.
 
-Edge cases: null counts as empty; texts under 100 bytes have no window, so
+Edge cases: rows without an id, and those of an id that has a lesser text too, are
+documents of their own that come after all others, in order of id and text; null
+counts as empty; texts under 100 bytes have no window, so
 nothing is removed; a run that overlaps itself (a repeated character) is removed
 after its first window's start; an empty table gives an empty result.
 """
@@ -34,9 +36,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from saldo.llm.arrays import U64, prefix_hash, runs, sliding_min, small_batches, span_hash, text_buffers, window_hash
-from saldo.llm.shared import staged
+from saldo.llm.shared import forget, staged
 
 WINDOW, TRIGGER, BANDS = 100, 32, 4
 
@@ -81,6 +84,25 @@ def cores(prefix: np.ndarray, at: np.ndarray, lead: np.ndarray, more: np.ndarray
     return out.view(np.int64)
 
 
+def told_apart(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, text, own) with an id for every document, `own` being the one that it came with; and (id, size, sum) of each."""
+    told = lambda df: staged(df.select("id", F.octet_length("text").alias("size"), F.unhex(F.sha2("text", 256)).alias("sum")).distinct())
+    sums = told(rows)
+    several = staged(sums.groupBy("id").agg(F.min("sum").alias("keep"), F.count("*").alias("n")).where("n > 1 or id is null").select("id", "keep"))
+    if not several.limit(1).count():
+        return rows.withColumn("own", F.col("id")), sums
+    kind = rows.schema["id"].dataType
+    most = rows.agg(F.max("id")).first()[0]
+    known = rows.join(several.withColumnRenamed("id", "other"), F.col("id").eqNullSafe(F.col("other")), "left")
+    spare = F.col("id").isNull() | F.coalesce(F.unhex(F.sha2("text", 256)) != F.col("keep"), F.lit(False))
+    known = known.select(F.col("id").alias("own"), "text", spare.alias("spare"))
+    number = F.monotonically_increasing_id()
+    later = F.concat(F.lit(most or ""), F.lit("~"), F.lpad(number.cast("string"), 20, "0")) if isinstance(kind, T.StringType) else (F.lit(-1 if most is None else most) + 1 + number).cast(kind)
+    others = staged(known.where("spare").orderBy("own", "text").select(later.alias("id"), "text", "own"))
+    rows = known.where("not spare").select(F.col("own").alias("id"), "text", "own").unionByName(others)
+    return rows, told(rows)
+
+
 def removed(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", trigger: int = TRIGGER) -> DataFrame:
     """One row per document: its bytes, the bytes and runs removed, the digest of the bytes kept."""
     spark = docs.sparkSession
@@ -88,10 +110,10 @@ def removed(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # Copies of a text are removed whole; the first of each is parsed.
-    sums = staged(rows.select("id", F.octet_length("text").alias("size"), F.unhex(F.sha2("text", 256)).alias("sum")).distinct())
+    rows, sums = told_apart(rows)
     copied = sums.groupBy("sum").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
     copies = staged(sums.join(copied, "sum").where("id > first").select("id").distinct())
-    parsed = rows.join(copies, "id", "left_anti")
+    parsed = rows.select("id", "text").join(copies, "id", "left_anti")
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,7 +163,7 @@ def removed(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_
     ranked = each.groupBy("value").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("value", F.col("first.id").alias("first_id"), F.col("first.at").alias("first_at"))
     single = each.join(ranked, "value").where("id <> first_id or at <> first_at").select("id", "at", F.lit(0).alias("more"))
     marks = later.union(single).groupBy("id").agg(F.collect_list(F.struct("at", "more")).alias("spans"), F.lit(False).alias("copy"))
-    marks = marks.unionByName(copies.select("id", F.lit(None).cast("array<struct<at:int,more:int>>").alias("spans"), F.lit(True).alias("copy")))
+    marks = staged(marks.unionByName(copies.select("id", F.lit(None).cast("array<struct<at:int,more:int>>").alias("spans"), F.lit(True).alias("copy"))))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,4 +185,5 @@ def removed(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_
                 out[3].append(hashlib.sha256(own[~gone].tobytes()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(o, pa.int64()) for o in out[:3]), pa.array(out[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return rows.join(staged(marks), "id", "left").select("id", "text", "spans", "copy").mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    forget(each, repeated, dictionary)
+    return rows.join(marks, "id", "left").select("own", "text", "spans", "copy").mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

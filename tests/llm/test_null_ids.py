@@ -4,7 +4,7 @@ import hashlib
 
 import pytest
 
-from saldo.llm import decontaminate, fingerprint
+from saldo.llm import decontaminate, fingerprint, repeats
 
 PASSAGE = "the quick brown fox jumps over the lazy dog again and again today"
 
@@ -45,3 +45,17 @@ def test_ids_beyond_doubles(spark):
     docs = [(None, "none at all"), *[(2**60 + k, f"text {k}") for k in range(50)]]
     got = fingerprint.compare_with_edits(spark.createDataFrame(docs, "doc_id long, text string"), ranges=20).collect()
     assert sorted(r["doc_id"] or 0 for r in got) == sorted(i or 0 for i, _ in docs)
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_repeats_without_ids(spark, kind):
+    one, other = "abcdefghij" * 3 + "".join(chr(65 + k % 26) + str(k) for k in range(120)), "".join(str(k) + "-" for k in range(100))
+    ids = {None: None, 1: "1" if kind == "string" else 1, 2: "2" if kind == "string" else 2}
+    docs = [(None, one), (None, one), (1, other), (2, "short"), (2, one + "x"), (1, other)]
+    got = repeats.removed(spark.createDataFrame([(ids[i], t) for i, t in docs], f"doc_id {kind}, text string")).collect()
+    n = len(one)
+    # Of id 2 the text of least digest keeps the id; the null ones come before the other, which ends in a byte that is new.
+    key = min(("short", one + "x"), key=lambda t: hashlib.sha256(t.encode()).digest())
+    want = [(1, len(other), 0), (1, len(other), 0), (2, 5, 0)]
+    want += [(None, n, 0), (None, n, n), (2, n + 1, n)] if key == "short" else [(None, n, n), (None, n, n), (2, n + 1, 0)]
+    assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"]) for r in got) == sorted((str(ids[i]), a, b) for i, a, b in want)
