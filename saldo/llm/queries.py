@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from saldo.llm import bpe_words, decontaminate, fingerprint, html_text, neardup, pii, repeats, site_quality, token_counts, toxicity
+from saldo.llm import bpe_words, decontaminate, fingerprint, html_text, neardup, oracles, pii, repeats, site_quality, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,4 +58,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_pii, op2_toxicity, op3_fingerprint, op4_neardup, op5_bpe, op6_html, op7_decontaminate, op8_token_counts, op9_site_quality, op10_repeats)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_neardup": oracles.NEARDUP, "op7_decontaminate": oracles.DECONTAMINATE, "op10_repeats": oracles.REPEATS}
