@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from saldo.functions.money import column
 from saldo.functions.predicates import predicate
 from saldo.functions.text import first_group, fold_header
+from saldo.operators.dedupe import first_wins
 
 NONE = -1
 
@@ -60,10 +61,11 @@ def classify(df: DataFrame, rules: Sequence[Mapping], outputs: Sequence[str], in
 def looked_up(df: DataFrame, dictionary: DataFrame, label: str, platform: str, outputs: Sequence[str]) -> DataFrame:
     """Outputs from a dictionary (platform, raw, ...), where a row of the platform goes before one of platform *.
 
-    The dictionary is reduced to a row per platform and label, so the join never adds rows.
+    The dictionary is reduced to its least row per platform and label, so the join never adds rows.
     """
-    named = dictionary.where("platform <> '*'").dropDuplicates(["platform", "raw"]).select(F.col("platform").alias("_p"), F.col("raw").alias("_r"), *[F.col(o).alias(f"_own_{o}") for o in outputs], F.lit(True).alias("_own"))
-    common = dictionary.where("platform = '*'").dropDuplicates(["raw"]).select(F.col("raw").alias("_c"), *[F.col(o).alias(f"_any_{o}") for o in outputs])
+    rows = dictionary.select("platform", "raw", *outputs)
+    named = first_wins(rows.where("platform <> '*'"), ["platform", "raw"], outputs).select(F.col("platform").alias("_p"), F.col("raw").alias("_r"), *[F.col(o).alias(f"_own_{o}") for o in outputs], F.lit(True).alias("_own"))
+    common = first_wins(rows.where("platform = '*'"), ["raw"], outputs).select(F.col("raw").alias("_c"), *[F.col(o).alias(f"_any_{o}") for o in outputs])
     joined = df.join(named, (F.col(platform) == F.col("_p")) & (F.col(label) == F.col("_r")), "left").join(common, F.col(label) == F.col("_c"), "left")
     chosen = {o: F.when(F.col("_own"), F.col(f"_own_{o}")).otherwise(F.col(f"_any_{o}")) for o in outputs}
     return joined.select(*[c for c in df.columns if c not in outputs], *[v.alias(o) for o, v in chosen.items()])

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from saldo.sources.shared import staged
+
 
 def _kept(df: DataFrame, keys: Sequence[str], chosen: Column) -> DataFrame:
     named = {f"_k{i}": F.col(k) for i, k in enumerate(keys)}
@@ -63,14 +65,15 @@ def preferred(df: DataFrame, anchor: Sequence[str], prefer: Column, order: Seque
 def numbered(df: DataFrame, order: Sequence[str], name: str = "row_no", parts: int | None = None) -> DataFrame:
     """A gapless row number by a total order, without bringing all rows to one task.
 
-    Rows are dealt in ranges; the sizes of the ranges (one number each) become offsets.
+    Rows are dealt in ranges and kept, so that the ranges are drawn once; a row's place in
+    its range is in its id, and the sizes of the ranges (one number each) become offsets.
     """
     dealt = df.repartitionByRange(*([parts] if parts else []), *order).sortWithinPartitions(*order)
-    dealt = dealt.withColumn("_part", F.spark_partition_id())
-    inside = dealt.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    sizes = inside.groupBy("_part").agg(F.max("_in").alias("_n"))
-    offsets = sizes.select(F.col("_part").alias("_p"), (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    return inside.join(offsets, F.col("_part") == F.col("_p")).withColumn(name, F.col("_before") + F.col("_in")).drop("_part", "_p", "_in", "_before")
+    kept = staged(dealt.withColumn("_id", F.monotonically_increasing_id()))
+    kept = kept.withColumns({"_part": F.shiftright("_id", 33), "_in": F.col("_id").bitwiseAND((1 << 33) - 1)}).drop("_id")
+    sizes = kept.groupBy("_part").agg(F.max("_in").alias("_n"))
+    offsets = sizes.select(F.col("_part").alias("_p"), (F.sum(F.col("_n") + 1).over(Window.orderBy("_part")) - F.col("_n")).alias("_first"))
+    return kept.join(F.broadcast(offsets), F.col("_part") == F.col("_p")).withColumn(name, F.col("_first") + F.col("_in")).drop("_part", "_p", "_in", "_first")
 
 
 def multiset_digest(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:

@@ -11,20 +11,30 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from saldo.functions.text import norm_key
 from saldo.operators.dedupe import first_wins
 
 
+def key_of(df: DataFrame, name: Column | str) -> Column:
+    """A column's normalised key; whole numbers need no mending."""
+    if isinstance(name, str) and isinstance(df.schema[name].dataType, T.IntegralType):
+        return F.col(name).cast("string")
+    return norm_key(name)
+
+
 def spine_index(spine: DataFrame, role: str, order: Sequence[str], context: Sequence[str] = ()) -> DataFrame:
     """(key, context...) of the first spine row of each normalised key."""
-    keyed = spine.select(norm_key(role).alias("key"), *context, *[c for c in order if c not in context]).where("key is not null")
+    if not context:
+        return spine.select(key_of(spine, role).alias("key")).where("key is not null").distinct()
+    keyed = spine.select(key_of(spine, role).alias("key"), *context, *[c for c in order if c not in context]).where("key is not null")
     return first_wins(keyed, ["key"], order).select("key", *context)
 
 
 def link(facts: DataFrame, key: Column | str, index: DataFrame, context: Sequence[str] = ()) -> DataFrame:
     """The facts with link_key, whether it is on the spine, and the spine's context where it is."""
-    keyed = facts.withColumn("link_key", norm_key(key))
+    keyed = facts.withColumn("link_key", key_of(facts, key))
     found = index.select(F.col("key").alias("_key"), *[F.col(c).alias(f"spine_{c}") for c in context])
     return keyed.join(found, F.col("link_key") == F.col("_key"), "left").withColumn("linked", F.col("_key").isNotNull()).drop("_key")
 

@@ -50,6 +50,23 @@ def all_facts(rows: DataFrame, metrics: Sequence[Mapping], context: Sequence[str
     return unfolded.select("_e.metric_id", *context, "_e.amount").where("amount <> 0")
 
 
+def summed(rows: DataFrame, metrics: Sequence[Mapping], keys: Sequence[str]) -> DataFrame:
+    """Sums of all metrics by keys as columns, from the rows at once: one aggregate, and no row is unfolded into facts."""
+    out = []
+    for m in metrics:
+        amount = F.bround(value(m["value"]), 4).cast(MONEY)
+        amount = (-amount if m.get("sign", 1) < 0 else amount).cast(MONEY)
+        out.append(F.coalesce(F.sum(F.when(where(m.get("where", ())), amount)), F.lit(0)).cast("decimal(30,4)").alias(m["id"]))
+    return rows.groupBy(*keys).agg(*out)
+
+
+def with_nodes(wide: DataFrame, metrics: Sequence[str], nodes: Sequence[Mapping]) -> DataFrame:
+    """The sums with every node of a statement as a further column."""
+    for spec in ordered(nodes, set(metrics)):
+        wide = wide.withColumn(spec["id"], node(spec))
+    return wide
+
+
 def totals(facts_: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Exact sums by metric and keys; cents are left to the display."""
     return facts_.groupBy("metric_id", *keys).agg(F.sum("amount").alias("amount"))
@@ -95,18 +112,14 @@ def statement(totals_: DataFrame, keys: Sequence[str], metrics: Sequence[str], n
         missing = unavailable.groupBy(*keys).agg(F.collect_set("metric_id").alias("_missing"))
         wide = wide.join(missing, list(keys), "left")
         wide = wide.withColumns({m: F.when(~F.coalesce(F.array_contains("_missing", m), F.lit(False)), F.col(m)) for m in metrics}).drop("_missing")
-    for spec in ordered(nodes, set(metrics)):
-        wide = wide.withColumn(spec["id"], node(spec))
-    return wide
+    return with_nodes(wide, metrics, nodes)
 
 
 def rolled_up(lines: DataFrame, store: str, sku: str, metric: str, amount: str, keys: Sequence[str] = ()) -> DataFrame:
     """Store totals and product lines of every metric in one pass, by grouping sets."""
     named = ", ".join([*keys, store, metric])
-    view = "_rolled_lines"
-    lines.createOrReplaceTempView(view)
-    sql = f"SELECT {named}, CASE WHEN grouping({sku}) = 1 THEN '__store_total__' ELSE CAST({sku} AS STRING) END AS sku_key, SUM({amount}) AS value FROM {view} GROUP BY GROUPING SETS (({named}), ({named}, {sku}))"
-    return lines.sparkSession.sql(sql)
+    sql = f"SELECT {named}, CASE WHEN grouping({sku}) = 1 THEN '__store_total__' ELSE CAST({sku} AS STRING) END AS sku_key, SUM({amount}) AS value FROM {{lines}} GROUP BY GROUPING SETS (({named}), ({named}, {sku}))"
+    return lines.sparkSession.sql(sql, lines=lines)
 
 
 def complete(df: DataFrame, keys: Sequence[str], metric: str, needed: Sequence[str]) -> DataFrame:

@@ -50,8 +50,7 @@ WITH f AS (SELECT store, period, SUM({PRICE}) AS sales,
 SELECT store, period, CAST(sales AS DOUBLE) AS sales, CAST(refunds AS DOUBLE) AS refunds, CAST(fees AS DOUBLE) AS fees,
   CAST(sales + refunds AS DOUBLE) AS net, CAST(sales + refunds + fees AS DOUBLE) AS profit FROM f""")
 def statement_by_store_month(t: Tables) -> DataFrame:
-    facts = statement.all_facts(with_store(t), METRICS, ["store", "period"])
-    told = statement.statement(statement.totals(facts, ["store", "period"]), ["store", "period"], ["sales", "refunds", "fees"], NODES)
+    told = statement.with_nodes(statement.summed(with_store(t), METRICS, ["store", "period"]), ["sales", "refunds", "fees"], NODES)
     return told.select("store", "period", *[number(c).alias(c) for c in ("sales", "refunds", "fees", "net", "profit")])
 
 

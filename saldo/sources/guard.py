@@ -38,6 +38,14 @@ def checked(spark: SparkSession, sql: str, allowed: Mapping[str, object]) -> Non
 def run_guarded(spark: SparkSession, sql: str, allowed: Mapping[str, DataFrame], most: int = 1000) -> DataFrame:
     """Rows of a checked statement, `most` at the most; the tables are visible under their allowed names only."""
     checked(spark, sql, allowed)
-    for name, table in allowed.items():
-        table.createOrReplaceTempView(name)
-    return spark.sql(sql).limit(most)
+    hidden = {name: spark.table(name) for name in allowed if spark.catalog.tableExists(name)}
+    try:
+        for name, table in allowed.items():
+            table.createOrReplaceTempView(name)
+        # The statement is resolved here, so the names need not stay.
+        return spark.sql(sql).limit(most)
+    finally:
+        for name in allowed:
+            spark.catalog.dropTempView(name)
+        for name, table in hidden.items():
+            table.createOrReplaceTempView(name)
