@@ -54,13 +54,13 @@ def ratio_health(spine: DataFrame, share: str) -> DataFrame:
 def exact(df: DataFrame, keys: Sequence[str], total: str, weight: str, order: Sequence[Column | str], name: str = "allocated") -> DataFrame:
     """Shares of a total by weight that add up to it: the last line in the order takes the remainder.
 
-    Without any weight the parts are even. Weights must not be negative. The remainder needs the lines
+    Where weights add up to nothing the parts are even. The remainder needs the lines
     of a group in order, so totals come from windows over the same shuffle and sort.
     """
     group = Window.partitionBy(*keys)
     lines = group.orderBy(*order)
     told = df.withColumns({"_weights": F.sum(F.col(weight).cast(MONEY)).over(group), "_rows": F.count("*").over(group)})
-    part = F.when(F.col("_weights") > 0, F.try_divide(F.col(weight).cast(MONEY), F.col("_weights").cast(MONEY))).otherwise(F.try_divide(F.lit(1).cast(MONEY), F.col("_rows").cast(MONEY)))
+    part = F.when(F.col("_weights") != 0, F.try_divide(F.col(weight).cast(MONEY), F.col("_weights").cast(MONEY))).otherwise(F.try_divide(F.lit(1).cast(MONEY), F.col("_rows").cast(MONEY)))
     rounded = F.bround(F.col(total).cast(MONEY).cast("decimal(20,4)") * part.cast("decimal(18,12)"), 4).cast(MONEY)
     told = told.withColumns({"_part": rounded, "_at": F.row_number().over(lines)})
     before = F.coalesce(F.sum("_part").over(lines.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
