@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from saldo.plans import closing, intake, ledger, readmodels
+from saldo.plans import closing, intake, ledger, onboarding, readmodels
 from saldo.plans.registry import ORACLES, QUERIES, Tables
 
-__all__ = ["ORACLES", "QUERIES", "closing", "intake", "ledger", "readmodels", "statement_by_store_month"]
+__all__ = ["ORACLES", "QUERIES", "closing", "intake", "ledger", "onboarding", "readmodels", "statement_by_store_month"]
 
 
 def statement_by_store_month(spark: SparkSession, sf_dir: str) -> DataFrame:
