@@ -6,16 +6,21 @@ windows of one trigger make a phrase: the bytes from the first window's start to
 the last one's end. Consecutive phrases overlap by less than a window, so the
 phrases of the corpus hold all its windows, as in a prefix-free parse.
 
-The dictionary keeps each phrase where the corpus has it first; windows of later
-copies are repeats as a whole, which shrinks repetitive text at once. Phrases that
-share a trigger with another of the dictionary are compared in two steps. A window
-belongs to one of four bands by the bytes it has before the trigger, and all
-windows of a band hold the same 83 bytes or more around it, its core: only bands
-whose core stands in several phrases go on. These are compared window by window:
-their suffixes' first 100 bytes are put into classes by digest, which is all of
-the suffix order that the contract needs, and each class ranks its members in
-corpus order. Everything is grouped with partial aggregates, so a passage that
-stands in a third of the documents is not gathered anywhere.
+The parse lists the phrases of each document with their places; the dictionary keeps
+each phrase where the corpus has it first, and windows of later copies are repeats
+as a whole, which shrinks repetitive text at once. Phrases that share a trigger with
+another of the dictionary are compared. A window belongs to one of four bands by the
+bytes it has before the trigger, and all windows of a band hold the same 83 bytes or
+more around it, its core: only bands whose core stands in several phrases go on, a
+group for each core. The suffixes of a group's phrases are sorted into a suffix array,
+as far as a window reaches; suffixes that agree so far lie side by side, and the
+parse's places put them in corpus order: all but the first are repeats. Equal windows
+have equal cores, so no class is torn apart by the groups.
+
+A core that stands in more than CROWD phrases, as of a passage in a third of the
+documents, is not sorted in one task: its group is split into bands of one window,
+whose core is the window itself, so that a group is a class already and partial
+aggregates find its first place.
 
 Equal texts are parsed once. A document is told apart by its id; documents come
 in ascending order of id, rows of equal id and text count as one document.
@@ -31,6 +36,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +48,8 @@ from saldo.llm.arrays import U64, prefix_hash, runs, sliding_min, small_batches,
 from saldo.llm.shared import forget, staged
 
 WINDOW, TRIGGER, BANDS = 100, 32, 4
+#: Phrases of a group that are sorted together, and windows that are sorted at once, which bounds memory.
+CROWD, SORTED = 1000, 200_000
 
 
 def phrases(data: np.ndarray, offsets: np.ndarray, prefix: np.ndarray, window: int, trigger: int) -> tuple[np.ndarray, ...]:
@@ -84,6 +92,35 @@ def cores(prefix: np.ndarray, at: np.ndarray, lead: np.ndarray, more: np.ndarray
     return out.view(np.int64)
 
 
+def suffix_order(data: np.ndarray, starts: np.ndarray, groups: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix array of the starts, by group and then by the first `window` bytes, equal ones in the order given; and whether
+    each entry agrees with the one before it."""
+    suffixes = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, window)[starts]).view(f"S{window}").ravel()
+    order = np.lexsort((suffixes, groups))
+    ranked, of = suffixes[order], groups[order]
+    return order, np.append(False, (ranked[1:] == ranked[:-1]) & (of[1:] == of[:-1]))
+
+
+def repeated_suffixes(batch: pa.RecordBatch, window: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, bytes from the phrase's start) of the windows that stand earlier in their group, for whole groups of (key, id, at, more,
+    bytes) in corpus order."""
+    keys, more = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 3))
+    phrases_ = batch.column(4).cast(pa.large_binary())
+    offsets = np.frombuffer(phrases_.buffers()[1], np.int64)[phrases_.offset : phrases_.offset + len(phrases_) + 1]
+    data = np.frombuffer(phrases_.buffers()[2] or b"", np.uint8)
+    heads = np.append(np.flatnonzero(np.append(True, keys[1:] != keys[:-1])), len(keys))
+    ends = np.append(0, np.cumsum(more + 1))
+    low = 0
+    while low < len(heads) - 1:
+        high = max(low + 1, int(np.searchsorted(ends[heads], ends[heads[low]] + SORTED, side="right")) - 1)
+        a, b = heads[low], heads[high]
+        row = np.repeat(np.arange(a, b), more[a:b] + 1)
+        shift = np.arange(len(row)) + ends[a] - ends[row]
+        order, again = suffix_order(data, offsets[row] + shift, keys[row], window)
+        yield row[order[again]], shift[order[again]]
+        low = high
+
+
 def told_apart(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(id, text, own) with an id for every document, `own` being the one that it came with; and (id, size, sum) of each."""
     told = lambda df: staged(df.select("id", F.octet_length("text").alias("size"), F.unhex(F.sha2("text", 256)).alias("sum")).distinct())
@@ -132,36 +169,66 @@ def removed(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_
     found = parsed.mapInArrow(parse, f"id {kind}, gram long, whole long, at int, more int, lead int, core long")
     # Triggers that occur again, and how many phrases they have.
     again = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("whole").alias("low"), F.max("whole").alias("high")).where("n > 1")
-    repeated = staged(found.join(again.select("gram", (F.col("low") < F.col("high")).alias("differ")), "gram"))
+    # Kept apart, so that the join has a plain shuffle on either side, and a hot trigger's partition can be split.
+    again = staged(again.select("gram", (F.col("low") < F.col("high")).alias("differ")))
+    repeated = staged(found.join(again, "gram"))
     # The dictionary: each phrase of a repeated trigger where it stands first; later copies are repeats.
     dictionary = repeated.groupBy("gram", "whole").agg(F.min(F.struct("id", "at")).alias("first"), F.first("more").alias("more"), F.first("lead").alias("lead"), F.first("core").alias("core"), F.first("differ").alias("differ"), F.count("*").alias("n"))
     dictionary = staged(dictionary.select("gram", "whole", "first.id", "first.at", "more", "lead", "core", "differ", "n"))
     known = dictionary.where("n > 1").select("gram", "whole", F.col("id").alias("first_id"), F.col("at").alias("first_at"))
     later = repeated.join(known, ["gram", "whole"]).where("id <> first_id or at <> first_at").select("id", "at", "more")
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def phrase_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Phrases of groups that are sorted with their bytes; of crowded ones each window's digest."""
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
-            ids = batch.column(0)
-            for row, spans in enumerate(batch.column(2).to_pylist()):
-                own = data[offsets[row] : offsets[row + 1]]
-                start = np.unique(np.concatenate([np.arange(s["at"], s["at"] + s["more"] + 1) for s in spans]))
-                value = span_hash(prefix_hash(own), start, start + window)
-                for i in range(0, len(start), 1 << 16):
-                    part = slice(i, i + (1 << 16))
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.full(len(start[part]), row))), pa.array(value[part].view(np.int64)), pa.array(start[part].astype(np.int32))], names=["id", "value", "at"])
+            kind_ = batch.schema.field(0).type
+            out: list[list] = [[], [], [], [], []]
+            for own, first, last, spans in zip(batch.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), batch.column(2).to_pylist(), strict=True):
+                text = data[first:last]
+                for s in spans:
+                    if not s["crowded"]:
+                        for column, value in zip(out, (s["key"], own, s["at"], s["more"], text[s["at"] : s["at"] + s["more"] + window].tobytes()), strict=True):
+                            column.append(value)
+                crowded = [np.arange(s["at"], s["at"] + s["more"] + 1) for s in spans if s["crowded"]]
+                if crowded:
+                    start = np.unique(np.concatenate(crowded))
+                    value = span_hash(prefix_hash(text), start, start + window).view(np.int64)
+                    for i in range(0, len(start), 1 << 16):
+                        n = len(start[i : i + (1 << 16)])
+                        yield pa.RecordBatch.from_arrays([pa.array(value[i : i + n]), pa.array([own] * n, kind_), pa.array(start[i : i + n].astype(np.int32)), pa.array(np.zeros(n, np.int32)), pa.nulls(n, pa.binary())], names=["key", "id", "at", "more", "bytes"])
+            types = (pa.int64(), kind_, pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["key", "id", "at", "more", "bytes"])
+
+    def sort_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in chain(batches, [None]):
+            # The last group of a batch may go on in the next.
+            held += [batch] if batch is not None and batch.num_rows else []
+            rows = pa.Table.from_batches(held).combine_chunks() if held else None
+            if rows is None or not rows.num_rows:
+                continue
+            keys = rows.column(0).to_numpy()
+            whole = len(keys) if batch is None else int(np.searchsorted(keys, keys[-1]))
+            held = rows.slice(whole).to_batches()
+            for part in rows.slice(0, whole).to_batches():
+                for row, shift in repeated_suffixes(part, window):
+                    at = part.column(2).to_numpy()[row] + shift
+                    yield pa.RecordBatch.from_arrays([part.column(1).take(pa.array(row)), pa.array(at.astype(np.int32))], names=["id", "at"])
 
     # Bands of the dictionary whose core stands in several phrases of a trigger, and the windows that they have.
     edges = F.array(*[F.struct(F.lit(k).alias("band"), F.lit(low).alias("low"), F.lit(high).alias("high"), F.shiftrightunsigned("core", 16 * k).bitwiseAND(0xFFFF).alias("part")) for k, (low, high) in enumerate(bands(window, trigger))])
     banded = dictionary.where("differ").select("gram", "id", "at", "more", "lead", F.explode(edges).alias("e")).select("gram", "id", "at", "more", "lead", "e.*").where("part > 0")
-    shared = banded.groupBy("gram", "band", "part").agg(F.count("*").alias("phrases")).where("phrases > 1").drop("phrases")
+    shared = banded.groupBy("gram", "band", "part").agg(F.count("*").alias("phrases")).where("phrases > 1")
     start, end = F.greatest(F.col("lead") - F.col("high"), F.lit(0)), F.least(F.col("lead") - F.col("low"), F.col("more"))
-    banded = banded.join(shared, ["gram", "band", "part"]).select("id", (F.col("at") + start).alias("at"), (end - start).alias("more"))
-    unsure = banded.groupBy("id").agg(F.collect_list(F.struct("at", "more")).alias("spans"))
-    each = parsed.join(unsure, "id").select("id", "text", "spans").mapInArrow(windows, f"id {kind}, value long, at int")
-    each = staged(each)
-    ranked = each.groupBy("value").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("value", F.col("first.id").alias("first_id"), F.col("first.at").alias("first_at"))
-    single = each.join(ranked, "value").where("id <> first_id or at <> first_at").select("id", "at", F.lit(0).alias("more"))
+    banded = banded.join(shared, ["gram", "band", "part"]).select("id", F.xxhash64("gram", "band", "part").alias("key"), (F.col("at") + start).alias("at"), (end - start).alias("more"), (F.col("phrases") > CROWD).alias("crowded"))
+    unsure = banded.groupBy("id").agg(F.collect_list(F.struct("key", "at", "more", "crowded")).alias("spans"))
+    each = staged(parsed.join(unsure, "id").select("id", "text", "spans").mapInArrow(phrase_bytes, f"key long, id {kind}, at int, more int, bytes binary"))
+    dealt = each.where("bytes is not null").repartition("key").sortWithinPartitions("key", "id", "at")
+    sorted_ = dealt.mapInArrow(sort_groups, f"id {kind}, at int").select("id", "at", F.lit(0).alias("more"))
+    crowded = each.where("bytes is null").select("key", "id", "at")
+    first = crowded.groupBy("key").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", F.col("first.id").alias("first_id"), F.col("first.at").alias("first_at"))
+    single = sorted_.union(crowded.join(first, "key").where("id <> first_id or at <> first_at").select("id", "at", F.lit(0).alias("more")))
     marks = later.union(single).groupBy("id").agg(F.collect_list(F.struct("at", "more")).alias("spans"), F.lit(False).alias("copy"))
     marks = staged(marks.unionByName(copies.select("id", F.lit(None).cast("array<struct<at:int,more:int>>").alias("spans"), F.lit(True).alias("copy"))))
 
@@ -185,5 +252,5 @@ def removed(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_
                 out[3].append(hashlib.sha256(own[~gone].tobytes()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(o, pa.int64()) for o in out[:3]), pa.array(out[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    forget(each, repeated, dictionary)
+    forget(each, again, repeated, dictionary)
     return rows.join(marks, "id", "left").select("own", "text", "spans", "copy").mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -2,6 +2,7 @@
 
 import hashlib
 
+import pyarrow as pa
 import pytest
 
 from saldo.llm import decontaminate, fingerprint, repeats
@@ -59,3 +60,25 @@ def test_repeats_without_ids(spark, kind):
     want = [(1, len(other), 0), (1, len(other), 0), (2, 5, 0)]
     want += [(None, n, 0), (None, n, n), (2, n + 1, n)] if key == "short" else [(None, n, n), (None, n, n), (2, n + 1, 0)]
     assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"]) for r in got) == sorted((str(ids[i]), a, b) for i, a, b in want)
+
+
+def test_crowded_cores_and_batches(spark, monkeypatch):
+    """A passage in many documents, each with its own surroundings: sorted groups and split ones say the same."""
+    batch = pa.RecordBatch.from_pydict({"key": [1, 1, 2, 2, 2], "id": [1, 2, 1, 3, 3], "at": [0, 5, 0, 0, 9], "more": [2, 1, 0, 1, 0], "bytes": [b"abcd", b"bcd", b"bc", b"abc", b"bc"]})
+    for at_once in (200_000, 2):
+        monkeypatch.setattr(repeats, "SORTED", at_once)
+        found = {(int(r), int(n)) for row, shift in repeats.repeated_suffixes(batch, 2) for r, n in zip(row, shift, strict=True)}
+        assert found == {(1, 0), (1, 1), (3, 1), (4, 0)}
+    passage = "".join(chr(65 + k * 7 % 26) + str(k * k % 97) for k in range(90))
+    docs = [(k, f"{k * 7919 % 1000:03d}" * (k % 5) + passage[: 150 + k % 60] + f"{k * 104729 % 10**6:06d}" * 4) for k in range(60)]
+    seen, want = {}, {}
+    for k, text in docs:
+        gone = [False] * len(text)
+        for at in range(len(text) - 99):
+            if seen.setdefault(text[at : at + 100], (k, at)) != (k, at):
+                gone[at : at + 100] = [True] * 100
+        want[k] = sum(gone)
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    for crowd in (1000, 3):
+        monkeypatch.setattr(repeats, "CROWD", crowd)
+        assert {r["doc_id"]: r["n_removed"] for r in repeats.removed(table).collect()} == want
