@@ -114,7 +114,8 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, ranges: int | None) -
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     n = rows.count()
     if ranges is None:
-        each = rows.limit(10_000).agg(F.avg(F.octet_length("text"))).first()[0] or 0
+        # Lengths alone are dealt out for this, not texts.
+        each = rows.select(F.octet_length("text").alias("size")).limit(10_000).agg(F.avg("size")).first()[0] or 0
         ranges = max(32, int(n * each) // RANGE_BYTES)
     bounds = range_bounds(rows.select("id"), ranges, n)
 
