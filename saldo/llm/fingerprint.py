@@ -92,8 +92,8 @@ def likeness(one: np.ndarray, other: np.ndarray) -> float:
     return weight(np.intersect1d(one, other, assume_unique=True)) / weight(one)
 
 
-#: Text that a range of ids holds, and ids sampled for each range; both concern balance only.
-RANGE_BYTES, SAMPLED = 16 << 20, 20
+#: Text that a range of ids holds, ids sampled for each range, and most ranges, whose bounds the driver holds; all concern balance only.
+RANGE_BYTES, SAMPLED, MOST_RANGES = 8 << 20, 20, 100_000
 
 
 def range_bounds(ids: DataFrame, ranges: int, rows: int) -> list:
@@ -108,15 +108,15 @@ def range_bounds(ids: DataFrame, ranges: int, rows: int) -> list:
 def with_next(docs: DataFrame, id_col: str, text_col: str, ranges: int | None) -> DataFrame:
     """Documents dealt out in ranges of ids, in descending order, each range followed by the first of the next one.
 
-    The number of ranges grows with the table, so that a task's share does not; some ids for
-    each range are all that comes to the driver.
+    The number of ranges grows with the table, so that a task's share does not, up to MOST_RANGES
+    (0.8 TB of text; a task of 100 TB has 2 GB); some ids for each range are all that comes to the driver.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     n = rows.count()
     if ranges is None:
         # Lengths alone are dealt out for this, not texts.
         each = rows.select(F.octet_length("text").alias("size")).limit(10_000).agg(F.avg("size")).first()[0] or 0
-        ranges = max(32, int(n * each) // RANGE_BYTES)
+        ranges = min(MOST_RANGES, max(32, int(n * each) // RANGE_BYTES))
     bounds = range_bounds(rows.select("id"), ranges, n)
 
     def place(value) -> int:
@@ -136,7 +136,7 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, ranges: int | None) -
         return pa.array([[place(i), to[i]] if i in to else [place(i)] for i in ids.to_pylist()], pa.list_(pa.int32()))
 
     dealt = rows.select("id", "text", F.posexplode(places("id")).alias("extra", "bucket")).select("bucket", (F.col("extra") > 0).alias("extra"), "id", "text")
-    return dealt.repartition(max(8, ranges // 4), "bucket").sortWithinPartitions("bucket", "extra", F.col("id").desc_nulls_last(), "text")
+    return dealt.repartition(max(8, ranges // 2), "bucket").sortWithinPartitions("bucket", "extra", F.col("id").desc_nulls_last(), "text")
 
 
 SCHEMA = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
