@@ -16,7 +16,7 @@ DATES = {
 }
 NUMBERS = {"¥1,234.50": "1234.5", "(12.5)": "-12.5", "（3）": "-3", "12%": "0.12", "(50%)": "-0.5", " 7 元": "7", "1e3": "1000", "-0.25": "-0.25", "": None, "--": None, "N/A": None, "x1": None, "1.2.3": None, "()": None, None: None}
 KEYS = {"@123.0": "123", " '12 3' ": "123", "A1.0": "A1.0", "@@x": "x", "": None, "@": None, '"5"': "5", "1.00": "1.00", None: None}
-PERIODS = {"2024-05 x": "2024-05", "a202405": "2024-05", "2024年5月": "2024-05", "shop2606.csv": "2026-06", "24年5月": None, "2024_1": "2024-01", "20241399": None, "x": None}
+PERIODS = {"2024-05 x": "2024-05", "a202405": "2024-05", "2024年5月": "2024-05", "shop2606.csv": "2026-06", "24年5月": "2024-05", "2024_1": "2024-01", "20241399": None, "x": None}
 
 
 def column(spark, values, make):
