@@ -8,7 +8,7 @@ window of its own, found by the hashes of all runs of that many words.
 
 The items' windows go to every task while there are at most `broadcast_windows`
 of them, which bounds what is broadcast; with more of them, the documents'
-fingerprints are joined with the items' and hits are extended after the join.
+fingerprints are joined with the items', and the windows around hits in a second join.
 
 Edge cases: null and empty texts have no words, so nothing hits them and as items
 they hit nothing; repeated items each count; items that share a window all count;
@@ -29,10 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from saldo.llm.arrays import Words, gram_hash, runs, sliding_min, small_batches, text_buffers
+from saldo.llm.shared import staged
 
 #: Words per window, words per hashed gram; a fingerprint is the least of WINDOW - GRAM + 1 grams.
 WINDOW, GRAM = 10, 5
 BROADCAST_WINDOWS = 2_000_000
+#: Rows of one hash go to as many tasks.
+SPREAD = 16
 
 
 def word_bytes() -> np.ndarray:
@@ -170,7 +173,7 @@ def scan_windows(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = _batch_overlaps(batch.column(1), index.value) if index else _own_overlaps(batch.column(1), batch.column(2))
+            rows = _batch_overlaps(batch.column(1), index.value) if index else _own_overlaps(*batch.columns[1:])
             yield _results(batch.column(0).to_pylist(), rows, batch.schema.field(0).type)
 
     whole = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -194,56 +197,98 @@ def _run_overlaps(words: Words, index: Index) -> list[tuple[int, int, list[str]]
     return rows
 
 
-def _own_overlaps(texts: pa.Array, items: pa.Array) -> list[tuple[int, int, list[str]]]:
-    """Results of texts that each come with the items that may occur in it."""
+def _own_overlaps(texts: pa.Array, spans: pa.Array, items: pa.Array) -> list[tuple[int, int, list[str]]]:
+    """Results of texts that each come with the windows found in it and the items that hold them."""
     data, offsets = text_buffers(texts)
     words = Words(data, offsets, MEMBER)
     rows = []
-    for i, found in enumerate(items.to_pylist()):
-        w = words.hashes[words.bounds[i] : words.bounds[i + 1]]
-        found = found or []
-        index = item_windows([f["item_id"] for f in found], pa.array([f["item_text"] for f in found], pa.string())) if found else None
-        rows.append((len(w), *(overlap(w, index) if index else (0, []))))
+    for n, found, ids in zip(np.diff(words.bounds).tolist(), spans.to_pylist(), items.to_pylist(), strict=True):
+        hit = np.zeros(n + 1, np.int64)
+        for span in found or []:
+            starts = np.array(span["starts"], np.int64)
+            np.add.at(hit, starts, 1)
+            np.add.at(hit, starts + span["words"], -1)
+        rows.append((n, int((np.cumsum(hit)[:-1] > 0).sum()), sorted(ids or [])))
     return rows
 
 
+def _item_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(words, hash, whether it is a fingerprint or a window) of items; a short item's only window is its fingerprint too."""
+    for batch in batches:
+        data, offsets = text_buffers(batch.column(1))
+        words = Words(data, offsets, MEMBER)
+        for i, item in enumerate(batch.column(0).to_pylist()):
+            w = words.hashes[words.bounds[i] : words.bounds[i + 1]]
+            n = min(len(w), WINDOW)
+            if n:
+                windows = np.unique(gram_hash(w, n))
+                prints = np.unique(gram_hash(w, GRAM)[fingerprints(w)]) if n == WINDOW else windows
+                hashes = np.concatenate([windows, prints]).view(np.int64)
+                marked = np.arange(len(hashes)) >= len(windows)
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(hashes), pa.string()), pa.array(np.full(len(hashes), n, np.int32)), pa.array(hashes), pa.array(marked)], names=["item", "words", "hash", "print"])
+
+
+def _doc_marks(w: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(fingerprints, start of the first window around each, hashes of the windows around all of them, how many each has)."""
+    windows = gram_hash(w, n)
+    if n < WINDOW:
+        return windows, np.arange(len(windows)), windows, np.ones(len(windows), np.int64)
+    places = fingerprints(w)
+    near = places[:, None] - np.arange(WINDOW - GRAM, -1, -1)
+    inside = (near >= 0) & (near < len(windows))
+    return gram_hash(w, GRAM)[places], np.maximum(places - (WINDOW - GRAM), 0), windows[near[inside]], inside.sum(axis=1)
+
+
+def _salted(df: DataFrame, *by: str) -> DataFrame:
+    return df.withColumn("salt", F.pmod(F.xxhash64(*by), F.lit(SPREAD)).cast("int"))
+
+
+def _for_each_salt(df: DataFrame) -> DataFrame:
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+
+
 def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(id, text) with the items that may occur in the text, for items of any number: fingerprints meet in a join."""
-    # Documents without an id are told apart by their text; what is found for a key is compared with the row's own text.
-    key = F.coalesce(F.col("id").cast("string"), F.concat(F.lit("null:"), F.sha2(F.coalesce("text", F.lit("")), 256)))
-    docs = docs.withColumn("key", key)
-
-    def emit(whole_items: bool):
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                data, offsets = text_buffers(batch.column(1))
-                words = Words(data, offsets, MEMBER)
-                ids, out_id, out_len, out_print = batch.column(0).to_pylist(), [], [], []
-                for i, own in enumerate(ids):
+    """The documents with the windows found in each (spans) and the ids of the items that hold them, for items of any number.
+
+    Fingerprints meet in a semi-join; the windows around those that are shared are compared in a
+    second join. Rows of one hash are spread over SPREAD tasks. No item's text is moved: a
+    document gathers starts of windows, of which it has fewer than ten a word, and the ids that its result is made of.
+    """
+    docs = docs.withColumn("key", F.sha2(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit("\0"), F.coalesce("text", F.lit(""))), 256))
+    # Copies of an item are looked for once.
+    named = items.where("item_text is not null").select(F.sha2("item_text", 256).alias("item"), "item_id", "item_text")
+    marks = named.select("item", "item_text").dropDuplicates(["item"]).mapInArrow(_item_marks, "item string, words int, hash long, print boolean")
+    prints = marks.where("print").select("words", "hash").distinct()
+    windows = marks.where("not print").select("words", F.col("hash").alias("window"), "item")
+    # Lengths of windows: at most WINDOW of them.
+    lengths = sorted(r[0] for r in marks.select("words").distinct().collect())
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(1))
+            words, keys = Words(data, offsets, MEMBER), batch.column(0).to_pylist()
+            for n in lengths:
+                out: list[list] = [[], [], [], [], []]
+                for i, key in enumerate(keys):
                     w = words.hashes[words.bounds[i] : words.bounds[i + 1]]
-                    n = min(len(w), WINDOW)
-                    prints = {WINDOW: gram_hash(w, GRAM)[fingerprints(w)]} if n == WINDOW else {}
-                    # Short items are looked for among all runs of their length.
-                    if whole_items and 0 < n < WINDOW:
-                        prints = {n: gram_hash(w, n)}
-                    elif not whole_items:
-                        prints |= {m: gram_hash(w, m) for m in lengths.value if m <= len(w)}
-                    for m, hashes in prints.items():
-                        hashes = np.unique(hashes)
-                        out_id += [own] * len(hashes)
-                        out_len += [m] * len(hashes)
-                        out_print += hashes.view(np.int64).tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(out_id, batch.schema.field(0).type), pa.array(out_len, pa.int32()), pa.array(out_print, pa.int64())], names=["id", "words", "print"])
-
-        return scan
-
-    by_item = items.mapInArrow(emit(True), "id string, words int, print long").withColumnRenamed("id", "item_id")
-    # Lengths of short items: at most WINDOW - 1 of them.
-    lengths = docs.sparkSession.sparkContext.broadcast([r[0] for r in by_item.where(f"words < {WINDOW}").select("words").distinct().collect()])
-    by_doc = docs.select("key", "text").mapInArrow(emit(False), "id string, words int, print long")
-    pairs = by_doc.join(by_item, ["words", "print"]).select(F.col("id").alias("key"), "item_id").distinct()
-    with_items = pairs.join(items, "item_id").groupBy("key").agg(F.collect_list(F.struct("item_id", "item_text")).alias("items"))
-    return docs.join(with_items, "key", "left").select(*[c for c in docs.columns if c != "key"], "items")
+                    if len(w) >= n:
+                        for values, more in zip(out, (np.full(len((m := _doc_marks(w, n))[0]), i), *m), strict=True):
+                            values.append(more)
+                if out[0]:
+                    own, hashes, first, near, many = (np.concatenate(x) for x in out)
+                    around = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(many)), pa.int32()), pa.array(near.view(np.int64)))
+                    columns = [pa.array(keys, pa.string()).take(pa.array(own)), pa.array(np.full(len(own), n, np.int32)), pa.array(hashes.view(np.int64)), pa.array(first, pa.int64()), around]
+                    yield pa.RecordBatch.from_arrays(columns, names=["key", "words", "hash", "first", "around"])
+
+    by_doc = docs.select("key", "text").mapInArrow(scan, "key string, words int, hash long, first long, around array<long>")
+    shared = _salted(by_doc, "key", "first").join(_for_each_salt(prints), ["words", "hash", "salt"], "left_semi")
+    near = shared.select("key", "words", "first", F.posexplode("around").alias("step", "window"))
+    starts = near.groupBy("key", "words", "window").agg(F.collect_set(F.col("first") + F.col("step")).alias("starts"))
+    found = staged(_salted(starts, "key").join(_for_each_salt(windows), ["words", "window", "salt"]).select("key", "words", "starts", "item"))
+    spans = found.groupBy("key").agg(F.collect_set(F.struct("words", "starts")).alias("spans"))
+    holders = _salted(found.select("key", "item").distinct(), "key").join(_for_each_salt(named.select("item", "item_id").distinct()), ["item", "salt"])
+    told = spans.join(holders.groupBy("key").agg(F.collect_set("item_id").alias("items")), "key")
+    return docs.join(told, "key", "left").select(*[c for c in docs.columns if c != "key"], "spans", "items")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, most_hit: int = 0, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
@@ -255,8 +300,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, most_hit: int = 0,
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = _batch_overlaps(batch.column(0), index.value) if index else _own_overlaps(batch.column(0), batch.column(2))
+            rows = _batch_overlaps(batch.column(0), index.value) if index else _own_overlaps(batch.column(0), *batch.columns[2:])
             yield batch.select([1]).filter(pa.array([hit <= most_hit for _, hit, _ in rows], pa.bool_()))
 
-    found = whole.select("text", "row") if index else _joined(whole, items).select("text", "row", "items")
+    found = whole.select("text", "row") if index else _joined(whole, items).select("text", "row", "spans", "items")
     return found.mapInArrow(scan, whole.select("row").schema).select("row.*")

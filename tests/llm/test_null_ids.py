@@ -34,6 +34,16 @@ def test_contaminated_rows_without_ids(spark, broadcast):
     assert kept.columns == docs.columns and sorted(r["items"] for r in kept.collect()) == ["b", "d", "e"]
 
 
+def test_many_items_in_one_text_and_copies_of_one_item(spark):
+    """Both ways of looking agree where a text holds hundreds of items, a third of all items are copies and most texts share a passage."""
+    passages = [" ".join(f"w{k}x{j}" for j in range(8 + k % 9)) for k in range(300)]
+    items = [(f"i{k}", p) for k, p in enumerate(passages)] + [(f"c{k}", passages[0] + " " + passages[1]) for k in range(150)]
+    docs = [(0, " and ".join(passages))] + [(k, f"number {k} {passages[0]} {passages[1]} end") for k in range(1, 60)] + [(k, f"clean {k} " * 8) for k in range(60, 80)]
+    table, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
+    one, two = (sorted(map(tuple, decontaminate.scan_windows(table, bench, broadcast_windows=b).collect())) for b in (decontaminate.BROADCAST_WINDOWS, 0))
+    assert one == two and one[0][3] == 300 and one[1][3] >= 152 and not one[-1][2]
+
+
 def test_ids_of_text_and_many_ranges(spark):
     docs = [(f"id-{k:03d}", f"text {k} " + chr(97 + k % 26) * 30) for k in range(200)] + [(None, "none")]
     got = fingerprint.compare_with_edits(spark.createDataFrame(docs, "doc_id string, text string"), ranges=40).collect()
