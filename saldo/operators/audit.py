@@ -81,9 +81,9 @@ def orphan_majors(rows: DataFrame, metrics: DataFrame, platform: str, major: str
     return lost.groupBy(platform, major).agg(F.count("*").alias("rows"), F.sum("_amount").alias("amount"))
 
 
-def gaps(figures: DataFrame, keys: Sequence[str], node: str, value: str, before: str, rows: str, linked: str, expected: str, blocking: str | None = None) -> DataFrame:
+def gaps(figures: DataFrame, keys: Sequence[str], node: str, value: str, before: str, rows: str, linked: str, expected: str, blocking: str | None = None, every: bool = False) -> DataFrame:
     """The gravest gap of every (keys, node): a blocking finding, missing, empty, zero though it has rows, nothing linked, money last month
-    but none now, or fewer linked rows than expected; none where all is well."""
+    but none now, or fewer linked rows than expected; none where all is well. With `every`, all its gaps, a row each."""
     v, n = F.col(value), F.coalesce(F.col(rows), F.lit(0))
     kinds = [
         ("blocking", F.col(blocking) if blocking else F.lit(False)),
@@ -95,7 +95,8 @@ def gaps(figures: DataFrame, keys: Sequence[str], node: str, value: str, before:
         ("coverage", F.col(linked) < F.col(expected)),
         ("unlinked", F.col(linked) < n),
     ]
-    kind = F.coalesce(*[F.when(F.coalesce(test, F.lit(False)), F.lit(k)) for k, test in kinds])
+    found = [F.when(F.coalesce(test, F.lit(False)), F.lit(k)) for k, test in kinds]
+    kind = F.explode(F.array_compact(F.array(*found))) if every else F.coalesce(*found)
     rank = F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("kind")).cast("int")
     return figures.select(*keys, node, kind.alias("kind"), v.alias("amount")).where("kind is not null").withColumn("severity", rank)
 

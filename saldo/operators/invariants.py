@@ -113,6 +113,31 @@ def experiment(compared: DataFrame, least_gain: int = 1) -> DataFrame:
     return told.withColumn("verdict", F.when(worse, "rejected").when(F.col("newly_resolved") >= least_gain, "supported").otherwise("inconclusive"))
 
 
+# The metrics that two runs are compared by.
+METRICS = (
+    "unresolved_count", "unresolved_amount_abs", "line_auto_rate", "amount_weighted_auto_rate", "explained_amount_ratio", "control_total_gap", "invariant_pass_delta",
+    "major_reversal_count", "newly_unresolved_count", "baseline_regression_count", "evidence_integrity_failures", "certifiable", "profit_completeness", "claim_acceptance_rate",
+)
+
+
+def metric_deltas(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, metric, before, after, delta) of every metric of two runs; a metric or a run that is missing counts as zero, and of a
+    gap against control totals only the size counts."""
+    zero = F.lit(0).cast(MONEY)
+
+    def figures(df: DataFrame, side: str) -> DataFrame:
+        known = [F.coalesce(F.col(m).cast(MONEY), zero) if m in df.columns else zero for m in METRICS]
+        return df.select(*keys, F.struct(*[c.alias(m) for c, m in zip(known, METRICS, strict=True)]).alias(side))
+
+    def told(m: str) -> Column:
+        was, now = (F.coalesce(F.col(side)[m], zero) for side in ("_was", "_now"))
+        delta = F.abs(now) - F.abs(was) if m == "control_total_gap" else now - was
+        return F.struct(F.lit(m).alias("metric"), was.alias("before"), now.alias("after"), delta.cast(MONEY).alias("delta"))
+
+    both = figures(before, "_was").join(figures(after, "_now"), list(keys), "full")
+    return both.select(*keys, F.explode(F.array(*map(told, METRICS))).alias("_m")).select(*keys, "_m.*")
+
+
 def situation(amount: Column, key: Column, side: Column) -> Column:
     """Fingerprint of a difference: its sign, its size as a power of ten, the key's shape, its side."""
     value = amount.cast(MONEY)

@@ -176,6 +176,19 @@ def control_differences(rows: DataFrame, keys: Sequence[str], kind: str, amount:
     return told.withColumn("difference", F.col("detail") - F.col("control"))
 
 
+def import_status(imports: DataFrame, kind: str, status: str, rows: str, issues: str) -> DataFrame:
+    """(kind, status, snapshots, row_count, issue_count) of imports; what is not stated counts as none."""
+    stated = lambda c: F.coalesce(F.sum(F.col(c).cast("long")), F.lit(0))
+    return imports.groupBy(kind, status).agg(F.count("*").alias("snapshots"), stated(rows).alias("row_count"), stated(issues).alias("issue_count"))
+
+
+def scopes_certified(scopes: DataFrame, scope: Sequence[str], order: Sequence[str], results: DataFrame, key: str, by: Sequence[str]) -> DataFrame:
+    """(by, expected, certified): of each scope the latest entry is expected, and certified if a complete result has its key."""
+    done = results.select(F.col(key).alias("_done")).distinct()
+    told = latest(scopes, scope, order).join(done, F.col(key) == F.col("_done"), "left")
+    return told.groupBy(*by).agg(F.count("*").alias("expected"), F.count("_done").alias("certified"))
+
+
 def found_across(rows: DataFrame, test: Column, slices: Sequence[str], order: Sequence[Column], most: int) -> DataFrame:
     """The first `most` hits of every slice, each with the number of all hits there: the list ends, the count does not."""
     hit = rows.where(test)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from saldo.functions import text
 from saldo.functions.money import MONEY, money
-from saldo.operators import allocate, audit, link, people, reconcile, runs, statement
+from saldo.operators import allocate, audit, invariants, link, people, reconcile, runs, statement
 from saldo.plans.ledger import AMOUNT, GROSS, LINES, METRICS, NODES, ORDER, PRICE, number, with_store
 from saldo.plans.readmodels import ORDERS, orders_of
 from saldo.plans.registry import Tables, query
@@ -198,6 +198,54 @@ def gap_list(t: Tables) -> DataFrame:
     return audit.gaps(figures, ["store", "period"], "node", "v", "before", "n", "linked", "expected").select("store", "period", number("amount").alias("amount"), "kind")
 
 
+GAP_TESTS = "['missing', 'zero_with_rows', 'nothing_linked', 'dropped_to_zero', 'coverage', 'unlinked']"
+
+
+@query(f"""WITH m AS (SELECT o_custkey, COUNT(*) AS n, COUNT(*) FILTER (WHERE o_orderkey % 5 <> 0) AS linked, SUM(CASE WHEN o_orderstatus = 'P' THEN {GROSS} ELSE 0 END) AS v, SUM(CASE WHEN o_orderstatus = 'F' THEN {GROSS} ELSE 0 END) AS before FROM orders GROUP BY ALL),
+ k AS (SELECT *, unnest({GAP_TESTS}) AS kind, unnest([FALSE, v = 0, linked = 0, v = 0 AND before <> 0, linked < 4 * n // 5, linked < n]) AS hit FROM m)
+SELECT o_custkey, kind, CAST(v AS DOUBLE) AS amount FROM k WHERE hit""")
+def all_gaps(t: Tables) -> DataFrame:
+    spent = lambda status: F.sum(F.when(F.col("o_orderstatus") == status, money("o_totalprice")).otherwise(F.lit(0).cast(MONEY)))
+    rows = t.orders.groupBy("o_custkey").agg(F.count("*").alias("n"), F.count_if(F.col("o_orderkey") % 5 != 0).alias("linked"), spent("P").alias("v"), spent("F").alias("before"))
+    figures = rows.withColumns({"node": F.lit("pending"), "expected": F.floor(F.col("n") * 4 / 5)})
+    return audit.gaps(figures, ["o_custkey"], "node", "v", "before", "n", "linked", "expected", every=True).select("o_custkey", "kind", number("amount").alias("amount"))
+
+
+def run_of(t: Tables, year: int) -> DataFrame:
+    """A year's orders by priority as the summary of a run."""
+    status, price = F.col("o_orderstatus"), money("o_totalprice")
+    open_ = F.coalesce(F.sum(F.when(status == "P", price)), F.lit(0))
+    return t.orders.where(F.year("o_orderdate") == year).groupBy("o_orderpriority").agg(F.count_if(status == "P").alias("unresolved_count"), open_.alias("unresolved_amount_abs"), (F.count_if(status == "F") - F.count_if(status == "O")).alias("control_total_gap"), F.min((status == "F").cast("int")).alias("certifiable"))
+
+
+RUN = """(SELECT o_orderpriority, COUNT(*) FILTER (WHERE o_orderstatus = 'P') AS u, COALESCE(SUM({v}) FILTER (WHERE o_orderstatus = 'P'), 0) AS a, COUNT(*) FILTER (WHERE o_orderstatus = 'F') - COUNT(*) FILTER (WHERE o_orderstatus = 'O') AS g, MIN(CAST(o_orderstatus = 'F' AS INT)) AS c FROM orders WHERE year(o_orderdate) = {y} GROUP BY ALL)"""
+ABSENT = ", ".join(f"'{m}'" for m in invariants.METRICS if m not in ("unresolved_count", "unresolved_amount_abs", "control_total_gap", "certifiable"))
+
+
+@query(f"""WITH j AS (SELECT COALESCE(b.o_orderpriority, a.o_orderpriority) AS o_orderpriority, COALESCE(b.u, 0) AS bu, COALESCE(b.a, 0) AS ba, COALESCE(b.g, 0) AS bg, COALESCE(b.c, 0) AS bc, COALESCE(a.u, 0) AS au, COALESCE(a.a, 0) AS aa, COALESCE(a.g, 0) AS ag, COALESCE(a.c, 0) AS ac
+  FROM {RUN.format(v=GROSS, y=1996)} b FULL JOIN {RUN.format(v=GROSS, y=1997)} a ON a.o_orderpriority = b.o_orderpriority)
+SELECT o_orderpriority, unnest(['unresolved_count', 'unresolved_amount_abs', 'control_total_gap', 'certifiable']) AS metric, unnest([CAST(bu AS DOUBLE), CAST(ba AS DOUBLE), bg, bc]) AS before, unnest([CAST(au AS DOUBLE), CAST(aa AS DOUBLE), ag, ac]) AS after, unnest([CAST(au - bu AS DOUBLE), CAST(aa - ba AS DOUBLE), ABS(ag) - ABS(bg), ac - bc]) AS delta FROM j
+UNION ALL SELECT o_orderpriority, unnest([{ABSENT}]), 0, 0, 0 FROM j""")
+def experiment_metrics(t: Tables) -> DataFrame:
+    out = invariants.metric_deltas(run_of(t, 1996), run_of(t, 1997), ["o_orderpriority"])
+    return out.select("o_orderpriority", "metric", *[number(c).alias(c) for c in ("before", "after", "delta")])
+
+
+@query("""SELECT 'kind' || l_linenumber AS kind, CASE WHEN l_linestatus = 'F' THEN 'passed' ELSE 'open' END AS status, COUNT(*) AS snapshots, CAST(SUM(l_partkey) AS BIGINT) AS row_count, CAST(SUM(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS issue_count FROM lineitem GROUP BY ALL""")
+def import_status(t: Tables) -> DataFrame:
+    imports = t.lineitem.select(F.concat(F.lit("kind"), "l_linenumber").alias("kind"), F.when(F.col("l_linestatus") == "F", "passed").otherwise("open").alias("status"), F.col("l_partkey").alias("n"), F.when(F.col("l_returnflag") == "R", 1).alias("issues"))
+    return runs.import_status(imports, "kind", "status", "n", "issues")
+
+
+@query("""WITH r AS (SELECT o_custkey % 97 AS store, date_trunc('month', o_orderdate) AS month, o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_custkey % 97, date_trunc('month', o_orderdate) ORDER BY o_orderdate DESC, o_orderkey DESC) AS place FROM orders WHERE o_orderstatus <> 'P')
+SELECT strftime(month, '%Y-%m') AS period, COUNT(*) AS expected, COUNT(*) FILTER (WHERE o_orderstatus = 'F') AS certified FROM r WHERE place = 1 GROUP BY ALL""")
+def expected_scopes(t: Tables) -> DataFrame:
+    """Scopes are a store's latest contract of a month; certified ones have a complete result."""
+    scopes = t.orders.where("o_orderstatus <> 'P'").select((F.col("o_custkey") % 97).alias("store"), text.period("o_orderdate").alias("period"), "o_orderkey", "o_orderdate")
+    results = t.orders.where("o_orderstatus = 'F'").select("o_orderkey")
+    return runs.scopes_certified(scopes, ["store", "period"], ["o_orderdate", "o_orderkey"], results, "o_orderkey", ["period"])
+
+
 @query("""SELECT DISTINCT c_mktsegment AS store, strftime(o_orderdate, '%Y-%m') AS period FROM orders JOIN customer ON o_custkey = c_custkey""")
 def slice_keys(t: Tables) -> DataFrame:
     return audit.slice_keys(orders_of(t), ["store", "period"])

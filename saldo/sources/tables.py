@@ -157,13 +157,76 @@ def _column(reference: str) -> int:
     return n - 1
 
 
+def _elements(book: zipfile.ZipFile, part: str, tag: str) -> Iterator[ElementTree.Element]:
+    """Elements of a part as they are read; none is kept."""
+    with book.open(part) as stream:
+        open_elements: list[ElementTree.Element] = []
+        for event, element in ElementTree.iterparse(stream, ("start", "end")):
+            if event == "start":
+                open_elements.append(element)
+                continue
+            open_elements.pop()
+            if element.tag == MAIN + tag:
+                yield element
+            if open_elements and not any(e.tag == MAIN + tag for e in open_elements):
+                open_elements[-1].remove(element)
+
+
+def _rows(book: zipfile.ZipFile, part: str, shared: list[str]) -> Iterator[tuple[int, dict[int, str | None]]]:
+    """(row number, cells by column) of a sheet; merged cells, which stand behind all rows, are read first, and a row is held at a time."""
+    merged: list[tuple[int, int, int, int]] = []
+    for m in _elements(book, part, "mergeCell"):
+        first, _, last = m.get("ref").partition(":")
+        top, bottom = (int(re.search("[0-9]+", x)[0]) for x in (first, last or first))
+        merged.append((top, bottom, _column(first), _column(last or first)))
+    merged.sort()
+    begun, filled, at_row = 0, [], 0  # filled: (last row, first column, last column, value) of merged cells that reach further down
+
+    def whole(r: int, at: dict[int, str | None]) -> tuple[int, dict[int, str | None]]:
+        nonlocal begun, filled
+        while begun < len(merged) and merged[begun][0] <= r:
+            top, bottom, left, right = merged[begun]
+            filled.append((bottom, left, right, at.get(left) if top == r else None))
+            begun += 1
+        for _, left, right, value in filled:
+            at.update(dict.fromkeys(range(left, right + 1), value))
+        filled = [f for f in filled if f[0] > r]
+        return r, at
+
+    def between(last: int) -> Iterator[tuple[int, dict[int, str | None]]]:
+        """Rows that only merged cells reach."""
+        r = at_row + 1
+        while r < last:
+            if filled or begun < len(merged) and merged[begun][0] == r:
+                yield whole(r, {})
+                r += 1
+            elif begun < len(merged):
+                r = merged[begun][0]
+            else:
+                return
+
+    for row in _elements(book, part, "row"):
+        r, at = int(row.get("r")), {}
+        for cell in row.iter(f"{MAIN}c"):
+            value = cell.findtext(f"{MAIN}v")
+            if cell.get("t") == "s" and value is not None:
+                value = shared[int(value)]
+            elif cell.get("t") == "inlineStr":
+                value = "".join(t.text or "" for t in cell.iter(f"{MAIN}t"))
+            at[_column(cell.get("r"))] = value
+        yield from between(r)
+        yield whole(r, at)
+        at_row = r
+    yield from between(max((m[1] for m in merged), default=0) + 1)
+
+
 def workbook(content: bytes) -> Iterator[tuple[str, int, list[str | None]]]:
     """(sheet, row number, cells) of a workbook; merged cells all hold the first one's value."""
     book = zipfile.ZipFile(io.BytesIO(content))
     names = set(book.namelist())
     shared = []
     if "xl/sharedStrings.xml" in names:
-        shared = ["".join(t.text or "" for t in item.iter(f"{MAIN}t")) for item in ElementTree.fromstring(book.read("xl/sharedStrings.xml"))]
+        shared = ["".join(t.text or "" for t in item.iter(f"{MAIN}t")) for item in _elements(book, "xl/sharedStrings.xml", "si")]
     parts = {}
     if RELATIONS in names:
         parts = {r.get("Id"): r for r in ElementTree.fromstring(book.read(RELATIONS))}
@@ -175,26 +238,8 @@ def workbook(content: bytes) -> Iterator[tuple[str, int, list[str | None]]]:
             part = posixpath.normpath(posixpath.join("/xl", parts[relation].get("Target"))).lstrip("/") if relation in parts else relation
         if part not in names:
             raise SourceError(f"sheet {name} has no part {part}")
-        sheet = ElementTree.fromstring(book.read(part))
-        rows: dict[int, dict[int, str | None]] = {}
-        for row in sheet.iter(f"{MAIN}row"):
-            at = rows.setdefault(int(row.get("r")), {})
-            for cell in row.iter(f"{MAIN}c"):
-                value = cell.findtext(f"{MAIN}v")
-                if cell.get("t") == "s" and value is not None:
-                    value = shared[int(value)]
-                elif cell.get("t") == "inlineStr":
-                    value = "".join(t.text or "" for t in cell.iter(f"{MAIN}t"))
-                at[_column(cell.get("r"))] = value
-        for merged in sheet.iter(f"{MAIN}mergeCell"):
-            first, _, last = merged.get("ref").partition(":")
-            top, bottom = (int(re.search("[0-9]+", x)[0]) for x in (first, last or first))
-            value = rows.get(top, {}).get(_column(first))
-            for r in range(top, bottom + 1):
-                for c in range(_column(first), _column(last or first) + 1):
-                    rows.setdefault(r, {})[c] = value
-        for r in sorted(rows):
-            yield name, r, [rows[r].get(c) for c in range(max(rows[r], default=-1) + 1)]
+        for r, at in _rows(book, part, shared):
+            yield name, r, [at.get(c) for c in range(max(at, default=-1) + 1)]
 
 
 class ArchiveError(ValueError):

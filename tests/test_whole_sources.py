@@ -52,3 +52,16 @@ def test_sheets_are_found_by_relation():
     del files["xl/worksheets/sheet7.xml"]
     with pytest.raises(SourceError):
         list(workbook(zipped(files)))
+
+
+def test_merged_cells_reach_over_rows_that_are_not_there():
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    cell = lambda ref, v: f'<c r="{ref}" t="inlineStr"><is><t>{v}</t></is></c>'
+    rows = f'<row r="2">{cell("A2", "a")}{cell("C2", "c")}</row><row r="3"><c r="B3"><v>7</v></c></row><row r="9">{cell("B9", "z")}</row>'
+    sheet = f'<worksheet xmlns="{main}"><sheetData>{rows}</sheetData><mergeCells><mergeCell ref="B9:C10"/><mergeCell ref="A2:A5"/><mergeCell ref="D7:E7"/></mergeCells></worksheet>'
+    book = f'<workbook xmlns="{main}"><sheets><sheet name="S" sheetId="1"/></sheets></workbook>'
+    got = list(workbook(zipped({"xl/workbook.xml": book, "xl/worksheets/sheet1.xml": sheet})))
+    assert got == [
+        ("S", 2, ["a", None, "c"]), ("S", 3, ["a", "7"]), ("S", 4, ["a"]), ("S", 5, ["a"]),
+        ("S", 7, [None] * 5), ("S", 9, [None, "z", "z"]), ("S", 10, [None, "z", "z"]),
+    ]
