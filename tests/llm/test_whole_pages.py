@@ -2,7 +2,7 @@
 
 import pytest
 
-from saldo.llm.html_text import extract
+from saldo.llm.html_text import extract, main_text
 
 P = "This is a paragraph of the article, and it has all of the words that one would expect to be in it, so it is good."
 Q = "And that is the second of the paragraphs that are in the article, which has as many words as the first one had."
@@ -39,3 +39,10 @@ def test_links():
     assert extract(f"<body><a name=top><p>{P}</p><p>{Q}</p></body>") == f"{P}\n\n{Q}"
     assert extract(f"<body><div><a href=x>Home</div><p>{P}</p><p>{Q}</p></body>") == f"{P}\n\n{Q}"
     assert extract(f"<body><a href=x><div><p>{P}</p></div></a></body>") == ""
+
+
+def test_extra_columns_of_clashing_names_change_nothing(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    wide = pages.selectExpr("'x' AS text", "*", "1 AS n_chars", "2 AS id", "null AS doc_id")
+    have, want = (sorted(map(tuple, main_text(p).collect())) for p in (wide, pages))
+    assert have == want and want
