@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from saldo.llm import bpe_words, decontaminate, fingerprint, html_text, neardup, oracles, pii, repeats, site_quality, token_counts, toxicity
+from saldo.llm import alignment, bpe_words, decontaminate, fingerprint, html_text, neardup, oracles, pii, repeats, site_quality, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,8 +54,13 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.removed(table(spark, sf_dir, "documents"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align(table(spark, sf_dir, "documents"), *paths)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_pii, op2_toxicity, op3_fingerprint, op4_neardup, op5_bpe, op6_html, op7_decontaminate, op8_token_counts, op9_site_quality, op10_repeats)
+    for f in (op1_pii, op2_toxicity, op3_fingerprint, op4_neardup, op5_bpe, op6_html, op7_decontaminate, op8_token_counts, op9_site_quality, op10_repeats, op13_alignment)
 }
 ORACLES: dict[str, str] = {"op4_neardup": oracles.NEARDUP, "op7_decontaminate": oracles.DECONTAMINATE, "op10_repeats": oracles.REPEATS}
