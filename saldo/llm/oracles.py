@@ -41,3 +41,23 @@ sums AS (SELECT doc_id, SUM(b - a + 1) AS n_removed, COUNT(*) AS n_spans FROM ru
 SELECT doc_id, CAST(len(b.h) // 2 AS BIGINT) AS n_bytes, CAST(COALESCE(n_removed, 0) AS BIGINT) AS n_removed, COALESCE(n_spans, 0) AS n_spans, sha256(unhex(COALESCE(kept.h, b.h))) AS kept_sha256
 FROM bytes b LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+MIXTURE = r"""
+WITH RECURSIVE quality AS (SELECT doc_id AS q_id, AVG(CASE quality WHEN 1 THEN 2.0 WHEN 0 THEN 0.5 END) AS w FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, COALESCE(w, 1.0) AS weight FROM documents LEFT JOIN quality ON doc_id = q_id),
+copies AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY doc_id, source, size) AS n FROM sized),
+keyed AS (SELECT *, -ln((CAST('0x' || md5('mix:' || COALESCE(CAST(doc_id AS VARCHAR), '') || ':' || n)[1:13] AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE) / weight AS k FROM copies),
+sources AS (SELECT source, CAST(SUM(size) AS BIGINT) AS source_size, CASE (ROW_NUMBER() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS share FROM sized GROUP BY source),
+rounds AS (
+  SELECT 0 AS k, CAST(SUM(source_size) AS HUGEINT) AS rest, CAST(SUM(share) AS HUGEINT) AS weights, CAST(-1 AS HUGEINT) AS n FROM sources
+  UNION ALL
+  SELECT k + 1, total - taken, every - gone, found FROM (
+    SELECT r.k, r.n, CAST(SUM(source_size) AS HUGEINT) AS total, CAST(SUM(share) AS HUGEINT) AS every, CAST(COALESCE(SUM(3 * source_size) FILTER (rest * share > 3 * source_size * weights), 0) AS HUGEINT) AS taken,
+      CAST(COALESCE(SUM(share) FILTER (rest * share > 3 * source_size * weights), 0) AS HUGEINT) AS gone, CAST(COUNT(*) FILTER (rest * share > 3 * source_size * weights) AS HUGEINT) AS found FROM rounds r, sources GROUP BY r.k, r.n, r.rest, r.weights) WHERE found > n),
+last AS (SELECT rest, weights FROM rounds ORDER BY k DESC LIMIT 1),
+targets AS (SELECT source, source_size, CASE WHEN rest * share > 3 * source_size * weights THEN CAST(3 * source_size AS DOUBLE) ELSE CAST(rest AS DOUBLE) * CAST(share AS DOUBLE) / CAST(weights AS DOUBLE) END AS target FROM sources, last),
+plan AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target) AS BIGINT) // source_size ELSE 0 END AS epochs FROM targets),
+summed AS (SELECT *, SUM(size) OVER (PARTITION BY source ORDER BY k, doc_id, n, size ROWS UNBOUNDED PRECEDING) - size AS before FROM keyed)
+SELECT doc_id, size, source_size, target, CAST(epochs * size + least(size, greatest(0, CAST(floor(target) AS BIGINT) - epochs * source_size - before)) AS BIGINT) AS taken
+FROM summed JOIN plan ON summed.source IS NOT DISTINCT FROM plan.source
+"""
