@@ -61,3 +61,34 @@ summed AS (SELECT *, SUM(size) OVER (PARTITION BY source ORDER BY k, doc_id, n,
 SELECT doc_id, size, source_size, target, CAST(epochs * size + least(size, greatest(0, CAST(floor(target) AS BIGINT) - epochs * source_size - before)) AS BIGINT) AS taken
 FROM summed JOIN plan ON summed.source IS NOT DISTINCT FROM plan.source
 """
+
+# `crc` is the table of CRC-32 by byte; each round of `best` puts one row of every conversation behind the cheapest ways to the four states.
+CONVERSATIONS = r"""
+WITH RECURSIVE crc AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS v FROM range(256) r(i))),
+named AS (SELECT conv_id, turn, COALESCE(role, ' ') AS role, COALESCE(text, ' ') AS text, COALESCE(CAST(conv_id AS VARCHAR), ' ') || ':' || COALESCE(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+sums AS (SELECT name, xor(list_reduce([4294967295] || list_transform(string_split(name, ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS how FROM (SELECT DISTINCT name FROM named), crc),
+rows_ AS (SELECT conv_id, turn, CASE how WHEN 4 THEN 'user' ELSE role END AS role, CASE how WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text FROM named JOIN sums USING (name), range(CASE how WHEN 3 THEN 2 ELSE 1 END) WHERE how <> 0),
+ids AS (SELECT conv_id, ROW_NUMBER() OVER () AS c FROM (SELECT DISTINCT conv_id FROM conversations)),
+placed AS (SELECT c, turn, role, text, ROW_NUMBER() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text) AS i FROM rows_ JOIN ids ON rows_.conv_id IS NOT DISTINCT FROM ids.conv_id),
+seen AS (SELECT *, role[1] AS initial, LAG(role[1]) OVER (PARTITION BY c ORDER BY i) AS last, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, ROW_NUMBER() OVER (PARTITION BY c, role, text ORDER BY i) > 1 AS again,
+  right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) NOT IN ('.', '!', '?') AS cut FROM placed),
+turns AS (SELECT *, blank OR again AS must, CAST(cut AS INT) AS extra FROM seen),
+faults AS (SELECT c, COALESCE(MAX(turn) - MIN(turn) + 1 - COUNT(DISTINCT turn), 0) AS gaps, COUNT(*) FILTER (blank) AS blank, COUNT(*) FILTER (again AND NOT blank) AS duplicate, COUNT(*) FILTER (cut AND NOT must) AS truncated,
+  COUNT(*) FILTER (i > 1 AND COALESCE(last, '') || COALESCE(initial, '') NOT IN ('su', 'ua', 'au')) AS illegal, MAX(i) AS n FROM turns GROUP BY c),
+runs(p, k, q, lines) AS (VALUES ('E', 0, 'E', []), ('S', 0, 'S', []), ('U', 0, 'U', []), ('A', 0, 'A', []), ('E', 1, 'U', ['user:']), ('S', 1, 'U', ['user:']), ('U', 1, 'A', ['assistant:']), ('A', 1, 'U', ['user:']),
+  ('E', 2, 'A', ['user:', 'assistant:']), ('S', 2, 'A', ['user:', 'assistant:']), ('U', 2, 'U', ['assistant:', 'user:']), ('A', 2, 'A', ['user:', 'assistant:'])),
+best AS (
+  SELECT c, CAST(0 AS BIGINT) AS i, 'E' AS state, CAST(0 AS BIGINT) AS cost, '' AS audit, CAST([] AS VARCHAR[]) AS lines FROM ids
+  UNION ALL
+  SELECT c, i, state, cost, audit, lines FROM (
+    SELECT b.c, t.i, b.audit || repeat('I', r.k) || e.edit AS audit, b.cost + 2 * r.k + CASE e.edit WHEN 'D' THEN 3 WHEN 'K' THEN extra ELSE 2 + extra END AS cost,
+      CASE WHEN e.edit = 'D' THEN r.q WHEN must THEN NULL WHEN e.edit = 'R' THEN CASE r.q WHEN 'U' THEN 'A' ELSE 'U' END WHEN initial = 's' AND r.q = 'E' THEN 'S' WHEN initial = 'u' AND r.q <> 'U' THEN 'U' WHEN initial = 'a' AND r.q = 'U' THEN 'A' END AS state,
+      b.lines || r.lines || CASE e.edit WHEN 'D' THEN [] WHEN 'K' THEN [t.role || ':' || t.text] ELSE [CASE r.q WHEN 'U' THEN 'assistant:' ELSE 'user:' END || t.text] END AS lines
+    FROM best b JOIN turns t ON t.c = b.c AND t.i = b.i + 1 JOIN runs r ON r.p = b.state, (VALUES ('D'), ('K'), ('R')) e(edit))
+  WHERE state IS NOT NULL QUALIFY ROW_NUMBER() OVER (PARTITION BY c, state ORDER BY cost, audit) = 1),
+ended AS (SELECT b.c, b.cost + 2 * k AS cost, b.audit || repeat('I', k) AS audit, b.lines || r.lines AS lines FROM best b JOIN faults f ON f.c = b.c AND f.n = b.i JOIN runs r ON r.p = b.state WHERE r.q = 'A' OR (b.state = 'E' AND k = 0)
+  QUALIFY ROW_NUMBER() OVER (PARTITION BY b.c ORDER BY b.cost + 2 * k, b.audit || repeat('I', k)) = 1)
+SELECT conv_id, COALESCE(gaps, 0) AS gaps, COALESCE(blank, 0) AS blank, COALESCE(duplicate, 0) AS duplicate, COALESCE(truncated, 0) AS truncated, COALESCE(illegal, 0) AS illegal, COALESCE(cost, 0) AS cost, COALESCE(audit, '') AS audit,
+  sha256(COALESCE(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM ids LEFT JOIN faults USING (c) LEFT JOIN ended USING (c)
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from saldo.llm import alignment, bpe_words, decontaminate, fingerprint, html_text, mixture, neardup, oracles, pii, repeats, site_quality, token_counts, toxicity
+from saldo.llm import alignment, bpe_words, conversations, decontaminate, fingerprint, html_text, mixture, neardup, oracles, pii, repeats, site_quality, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,11 @@ def op11_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix(table(spark, sf_dir, "documents"), mixture.quality_weights(table(spark, sf_dir, "labels")))
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return conversations.repair(conversations.damage(turns), turns.select("conv_id").distinct())
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
     return alignment.align(table(spark, sf_dir, "documents"), *paths)
@@ -65,6 +70,6 @@ def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_pii, op2_toxicity, op3_fingerprint, op4_neardup, op5_bpe, op6_html, op7_decontaminate, op8_token_counts, op9_site_quality, op10_repeats, op11_mixture, op13_alignment)
+    for f in (op1_pii, op2_toxicity, op3_fingerprint, op4_neardup, op5_bpe, op6_html, op7_decontaminate, op8_token_counts, op9_site_quality, op10_repeats, op11_mixture, op12_conversations, op13_alignment)
 }
-ORACLES: dict[str, str] = {"op4_neardup": oracles.NEARDUP, "op7_decontaminate": oracles.DECONTAMINATE, "op10_repeats": oracles.REPEATS, "op11_mixture": oracles.MIXTURE}
+ORACLES: dict[str, str] = {"op4_neardup": oracles.NEARDUP, "op7_decontaminate": oracles.DECONTAMINATE, "op10_repeats": oracles.REPEATS, "op11_mixture": oracles.MIXTURE, "op12_conversations": oracles.CONVERSATIONS}
