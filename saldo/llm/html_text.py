@@ -2,9 +2,11 @@
 
 Pass one cuts the page into blocks at block-level tags and judges each by its
 length, its density of stop words and its share of link characters: good, bad,
-or undecided (short, or near good). Pass two gives an undecided block the label
-of the nearest decided neighbours. The edges of an article or main element count
-as good neighbours of the blocks inside it; menus, headers, footers, side bars,
+or undecided (short, near good, or full of links inside an article). Pass two gives
+an undecided block the label of the nearest decided neighbour; of two as near, a
+heading takes that of the block behind it and any other block that of the one before.
+A page without a good block keeps its undecided ones. The edges of an article or main
+element count as good neighbours of the blocks inside it; menus, headers, footers, side bars,
 notices, adverts, forms and reader comments are bad by their tag or class; a class
 is no reason if the element holds the page's article.
 
@@ -74,6 +76,7 @@ ANCHOR = re.compile(r"<(/?)a(?![A-Za-z0-9:-])", re.I)
 LINK = re.compile(r"\bhref\s*=", re.I)
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 PART = re.compile(r"[A-Za-z]+")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Paragraphs and headings: inside an article a class alone does not make a long text of theirs a menu or an advert.
 PHRASES = frozenset("p blockquote h1 h2 h3 h4 h5 h6".split())
 BEYOND_LATIN = re.compile(r"[\u0370-\u1fff\u2c80-\ua7ff\uac00-\ud7ff\U00020000-\U0003ffff]")
@@ -168,12 +171,12 @@ class Named:
     phrase: bool
 
 
-Block = tuple[str, int, int, bool, int]
+Block = tuple[str, int, int, bool, int, bool]
 
 
 def blocks(page: str, named: list[Named]) -> Iterator[Block]:
     """(text, characters in links, articles around, in what surrounds one, number of the innermost element around it that
-    surrounds by its class alone, or -1) of every block in page order; such elements are put into `named`."""
+    surrounds by its class alone, or -1, whether a heading) of every block in page order; such elements are put into `named`."""
     text: list[str] = []
     linked, anchors, at = 0, 0, 0
     loose, anchor_depth = False, 0
@@ -181,6 +184,7 @@ def blocks(page: str, named: list[Named]) -> Iterator[Block]:
     held: Counter[str] = Counter()
     around = inside = 0
     innermost = -1
+    heading = False
     ends: dict[int, int] | None = None
 
     def block() -> Iterator[Block]:
@@ -189,7 +193,7 @@ def blocks(page: str, named: list[Named]) -> Iterator[Block]:
             joined = " ".join(html.unescape("".join(text)).split())
             text.clear()
             if joined:
-                yield joined, linked, inside, around > 0, innermost
+                yield joined, linked, inside, around > 0, innermost, heading
 
     def opened(tag: str, level: int) -> None:
         nonlocal around, innermost
@@ -244,7 +248,7 @@ def blocks(page: str, named: list[Named]) -> Iterator[Block]:
             text.append(" ")
         elif tag in BLOCK:
             yield from block()
-            linked = 0
+            linked, heading = 0, not closing and tag in HEADINGS
             if loose:
                 anchors = 0
             if tag in OPTIONAL_END:
@@ -276,7 +280,7 @@ def _rescued(found: list[Block], labels: list[int], named: list[Named]) -> list[
     such, or is a paragraph of good text itself, and so do all around it."""
     outside = 0
     own, deepest = [0] * len(named), [0] * len(named)
-    for (joined, _, inside, hard, k), label in zip(found, labels, strict=True):
+    for (joined, _, inside, hard, k, _), label in zip(found, labels, strict=True):
         if label > 0 and not hard:
             if k < 0:
                 outside += len(joined)
@@ -311,15 +315,15 @@ def extract(page: str | None) -> str:
     """Good blocks of a page, joined by an empty line."""
     named: list[Named] = []
     found = list(blocks(page, named)) if page else []
-    judged = [None if hard or linked > LINKED * len(joined) and len(joined) < 4 * LONG or len(joined) < SHORT else _density(joined) for joined, linked, _, hard, _ in found]
+    judged = [None if hard or linked > LINKED * len(joined) and len(joined) < 4 * LONG or len(joined) < SHORT else _density(joined) for joined, linked, _, hard, *_ in found]
     # In a language without a list, length and links decide alone.
     read = [(len(b[0]), d) for b, d in zip(found, judged, strict=True) if d is not None]
     unlisted = sum(n * d for n, d in read) < STOP_NONE * sum(n for n, _ in read) and sum(n for n, _ in read) > 3 * LONG
     labels: list[int] = []  # 1 good, -1 bad, 0 undecided
-    for (joined, linked, inside, hard, _), density in zip(found, judged, strict=True):
+    for (joined, linked, inside, hard, *_), density in zip(found, judged, strict=True):
         n = len(joined)
         if hard or linked > LINKED * n and n < 4 * LONG:
-            labels.append(-1)
+            labels.append(0 if inside and not hard else -1)
         elif density is None:
             labels.append(1 if n >= SHORT // 2 and linked == 0 and _foreign(joined) else 0)
         elif density < STOP_LOW and (unlisted or _foreign(joined)):
@@ -328,27 +332,37 @@ def extract(page: str | None) -> str:
             labels.append(1 if density >= STOP_HIGH or n > LONG and density >= STOP_LOW else 0 if inside or density >= STOP_LOW else -1)
     if named:
         kept_around = _rescued(found, labels, named)
-        labels = [label if k < 0 or kept_around[k] else -1 for label, (*_, k) in zip(labels, found, strict=True)]
-    # Nearest decided label before and after each block; an article's edge is a good neighbour.
-    kept, before = [], 0
-    after = [0] * len(found)
-    label = was = 0
+        labels = [label if k < 0 or kept_around[k] else -1 for label, (*_, k, _) in zip(labels, found, strict=True)]
+    if 1 not in labels:
+        return "\n\n".join([b[0] for b, label in zip(found, labels, strict=True) if not label])
+    # The nearest decided label on either side and how far it is; an article's edge is a good neighbour.
+    kept, after = [], [(0, 0)] * len(found)
+    label, at, was = 0, len(found), False
     for i in range(len(found) - 1, -1, -1):
         if found[i][2] and not was:
-            label = 1
+            label, at = 1, i + 1
         was = found[i][2] > 0
-        label = labels[i] or label
-        after[i] = label
-    was = False
-    for i, (joined, _, inside, *_) in enumerate(found):
+        if labels[i]:
+            label, at = labels[i], i
+        after[i] = label, at - i
+    label, at, was = 0, -1, False
+    for i, (joined, _, inside, _, _, heading) in enumerate(found):
         if inside and not was:
-            before = 1
+            label, at = 1, i - 1
         was = inside > 0
         if labels[i]:
-            before = labels[i]
-        elif before > 0 and after[i] > 0 or inside and before + after[i] >= 0 and (before > 0 or after[i] > 0):
-            labels[i] = 2
-        if labels[i] > 0:
+            label, at = labels[i], i
+            if label > 0:
+                kept.append(joined)
+            continue
+        (behind, far), near = after[i], i - at
+        if inside:
+            good = label + behind >= 0 and (label > 0 or behind > 0)
+        elif not label or not behind:
+            good = label + behind > 0
+        else:
+            good = (behind if far < near or far == near and heading else label) > 0
+        if good:
             kept.append(joined)
     return "\n\n".join(kept)
 

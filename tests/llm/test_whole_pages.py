@@ -46,3 +46,25 @@ def test_extra_columns_of_clashing_names_change_nothing(spark, sf_dir):
     wide = pages.selectExpr("'x' AS text", "*", "1 AS n_chars", "2 AS id", "null AS doc_id")
     have, want = (sorted(map(tuple, main_text(p).collect())) for p in (wide, pages))
     assert have == want and want
+
+
+LONG_TEXT = "The story of the day is that it was in the news and that the people of the town had been there with all of their friends for the first time. It was good."
+
+
+def test_linked_entries_of_an_article_stay():
+    page = f"<nav><a href=x>Home</a></nav><article><p>{LONG_TEXT}</p><ul><li><a href=a>First source of the story</a></li><li>Second</li></ul><p>{LONG_TEXT}</p></article><footer><a href=i>Imprint</a></footer>"
+    assert extract(page) == "\n\n".join([LONG_TEXT, "First source of the story", "Second", LONG_TEXT])
+
+
+def test_headings_and_short_ends_outside_an_article_element_stay():
+    menu, foot = "<ul class=menu><li><a href=x>Home</a></li></ul>", "<div class=footer>All rights</div>"
+    body = f"<h1>A heading</h1><p>{LONG_TEXT}</p><h2>Second</h2><p>Short end.</p>"
+    want = "\n\n".join(["A heading", LONG_TEXT, "Second", "Short end."])
+    assert extract(body) == want
+    assert extract(f"{menu}<h1>A heading</h1><p>{LONG_TEXT}</p><p>Short end.</p>{foot}") == "\n\n".join(["A heading", LONG_TEXT, "Short end."])
+
+
+def test_a_page_of_short_paragraphs_alone():
+    assert extract("<nav><a href=x>Home</a></nav><p>One short paragraph.</p><footer>Imprint</footer>") == "One short paragraph."
+    assert extract("<p>One.</p><p>Two.</p>") == "One.\n\nTwo."
+    assert extract("<nav>Home</nav>") == extract("") == extract(None) == ""
