@@ -5,20 +5,24 @@ its edges) and of the word; a linear softmax on it gives the word's evidence.
 Vectors and softmax are trained together in numpy, first on words that stand for
 their documents' labels, then with each toxic document speaking through the words
 that score highest. A document's score is a logistic function of what that softmax
-says of its averaged bag and of its two strongest words, fitted on documents that
-the vectors have not seen: one word makes a long text toxic, which its average hides.
+says of its averaged bag and of its three strongest words, and of how many different
+words it has, fitted on documents that the vectors have not seen: a few words make a
+long text toxic, which its average hides, but the more words a text has, the stronger
+is the strongest of them by mere chance.
 A misspelling shares most n-grams with the word it hides.
 
 The model is fitted on a bounded sample of labelled rows: the `most` documents of
 each label whose ids have the least hash. Scores use the text alone.
 
 Edge cases: null and empty texts get the score of a text without evidence; a table
-without labels of both kinds gives every text the score 0; repeated rows get equal
+without labels of both kinds gives every text a score next to 0 (under 1e-8); repeated rows get equal
 scores; a label given more than once counts as toxic if any of them does.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -37,11 +41,13 @@ BUCKETS, DIMENSIONS, SHORTEST, LONGEST = 1 << 17, 4, 3, 6
 #: Documents of each label that the model is fitted on.
 MOST = 2000
 THRESHOLD = 0.7
-#: Passes over the words in each of the turns of training. This and the two below were chosen on training rows alone:
+#: Passes over the words in each turn of training, and turns. These and what is below were chosen on training rows alone:
 #: fitted on those of remainder 0, tried on those of remainder 2.
-ROUNDS = 6
-#: Where the weights of the strongest word, the second, the averaged bag and the constant start, and how much they are held there.
-START, PULL = np.array([2.0, 0.2, 0.5, 0.0]), np.array([1.0, 5.0, 1.0, 0.01])
+ROUNDS, TURNS = 6, 3
+#: Where the weights of the three strongest words, the averaged bag, the number of words and the constant start, and how much they are held there.
+START, PULL = np.array([1.0, 0.5, 0.5, 0.5, 0.0, 0.0]), np.array([0.3, 0.3, 0.3, 0.3, 0.3, 0.01])
+#: No word of a text counts as weaker than this among its strongest.
+FLOOR = -3.0
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -87,14 +93,15 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(documents @ self.slope + self.bias, -40, 40)))
 
 
-#: What a text without words, or a second word where there is one only, counts as.
+#: What a text without words says on average.
 NOTHING = -8.0
 
 
-def described(values: list[float]) -> tuple[float, float, float]:
-    """What a document's distinct words say: the two highest evidences, and the averaged bag's, which is the words' mean as the softmax is linear."""
-    top = sorted(values, reverse=True)[:2]
-    return (*(*top, NOTHING, NOTHING)[:2], sum(values) / len(values) if values else NOTHING)
+def described(values: list[float]) -> tuple[float, ...]:
+    """What a document's distinct words say: the three highest evidences, the averaged bag's, which is the words' mean as the softmax is linear, and
+    the logarithm of their number."""
+    top = [max(v, FLOOR) for v in heapq.nlargest(3, values)]
+    return (*top, *[FLOOR] * (3 - len(top)), sum(values) / len(values) if values else NOTHING, math.log1p(len(values)))
 
 
 #: Words whose n-grams are made at once, which bounds memory.
@@ -165,7 +172,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     def evidence() -> np.ndarray:
         return state["vectors"] @ (state["output"][:, 1] - state["output"][:, 0]) + state["bias"][1] - state["bias"][0]
 
-    for turn in range(3 if len(clean) else 0):
+    for turn in range(TURNS if len(clean) else 0):
         toxic = np.zeros(len(clean))
         scores = bags.evidence(evidence()) if turn else toxic
         for index, i in zip(bags.documents, first, strict=True):
@@ -183,7 +190,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     model = Model(evidence().astype(np.float32), START[:-1], 0.0)
     others = Bags([texts[i] for i in second])
     known = others.evidence(model.evidence)
-    features = np.array([described(known[b].tolist()) for b in others.documents]).reshape(-1, 3)
+    features = np.array([described(known[b].tolist()) for b in others.documents]).reshape(-1, len(START) - 1)
     return _logistic(model, features, labels_[second])
 
 
@@ -235,7 +242,7 @@ def _scorer(model):
         for w in every:
             if w not in kept:
                 kept.put(w, known[w])
-        features = np.array([described([known[w] for w in b]) for b in bags], float).reshape(-1, 3)
+        features = np.array([described([known[w] for w in b]) for b in bags], float).reshape(-1, len(START) - 1)
         return model.value.score(features)
 
     return score
