@@ -18,9 +18,11 @@ parse's places put them in corpus order: all but the first are repeats. Equal wi
 have equal cores, so no class is torn apart by the groups.
 
 A core that stands in more than CROWD phrases, as of a passage in a third of the
-documents, is not sorted in one task: its group is split into bands of one window,
-whose core is the window itself, so that a group is a class already and partial
-aggregates find its first place.
+documents, is not sorted in one task: its group is split into single windows, which
+partial aggregates bring together by digest to find the first place of each. The same
+aggregate compares the bytes of a digest's windows; digests of several strings, if
+there ever are any, are gone through again by their bytes. What joins hot triggers or
+windows to their first places is spread over SALTS tasks.
 
 Equal texts are parsed once. A document is told apart by its id; documents come
 in ascending order of id, rows of equal id and text count as one document.
@@ -50,6 +52,8 @@ from saldo.llm.shared import forget, staged
 WINDOW, TRIGGER, BANDS = 100, 32, 4
 #: Phrases of a group that are sorted together, and windows that are sorted at once, which bounds memory.
 CROWD, SORTED = 1000, 200_000
+#: Tasks over which the copies of a hot phrase or window are spread.
+SALTS = 32
 
 
 def phrases(data: np.ndarray, offsets: np.ndarray, prefix: np.ndarray, window: int, trigger: int) -> tuple[np.ndarray, ...]:
@@ -101,6 +105,10 @@ def suffix_order(data: np.ndarray, starts: np.ndarray, groups: np.ndarray, windo
     return order, np.append(False, (ranked[1:] == ranked[:-1]) & (of[1:] == of[:-1]))
 
 
+def window_digests(text: np.ndarray, start: np.ndarray, window: int) -> np.ndarray:
+    return span_hash(prefix_hash(text), start, start + window).view(np.int64)
+
+
 def repeated_suffixes(batch: pa.RecordBatch, window: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(row, bytes from the phrase's start) of the windows that stand earlier in their group, for whole groups of (key, id, at, more,
     bytes) in corpus order."""
@@ -170,16 +178,19 @@ def removed(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_
     # Triggers that occur again, and how many phrases they have.
     again = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("whole").alias("low"), F.max("whole").alias("high")).where("n > 1")
     # Kept apart, so that the join has a plain shuffle on either side, and a hot trigger's partition can be split.
-    again = staged(again.select("gram", (F.col("low") < F.col("high")).alias("differ")))
+    again = staged(again.select("gram", (F.col("low") < F.col("high")).alias("differ"), (F.col("n") > CROWD).alias("hot")))
     repeated = staged(found.join(again, "gram"))
     # The dictionary: each phrase of a repeated trigger where it stands first; later copies are repeats.
-    dictionary = repeated.groupBy("gram", "whole").agg(F.min(F.struct("id", "at")).alias("first"), F.first("more").alias("more"), F.first("lead").alias("lead"), F.first("core").alias("core"), F.first("differ").alias("differ"), F.count("*").alias("n"))
-    dictionary = staged(dictionary.select("gram", "whole", "first.id", "first.at", "more", "lead", "core", "differ", "n"))
-    known = dictionary.where("n > 1").select("gram", "whole", F.col("id").alias("first_id"), F.col("at").alias("first_at"))
-    later = repeated.join(known, ["gram", "whole"]).where("id <> first_id or at <> first_at").select("id", "at", "more")
+    dictionary = repeated.groupBy("gram", "whole").agg(F.min(F.struct("id", "at")).alias("first"), F.first("more").alias("more"), F.first("lead").alias("lead"), F.first("core").alias("core"), F.first("differ").alias("differ"), F.first("hot").alias("hot"), F.count("*").alias("n"))
+    dictionary = staged(dictionary.select("gram", "whole", "first.id", "first.at", "more", "lead", "core", "differ", "hot", "n"))
+    salt = F.pmod(F.xxhash64("id", "at"), F.lit(SALTS)).cast("int")
+    salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    known = dictionary.where("n > 1").select("gram", "whole", F.col("id").alias("first_id"), F.col("at").alias("first_at"), F.explode(F.when(F.col("hot"), salts).otherwise(F.array(F.lit(0)))).alias("salt"))
+    spread = repeated.withColumn("salt", F.when(F.col("hot"), salt).otherwise(0))
+    later = spread.join(known, ["gram", "whole", "salt"]).where("id <> first_id or at <> first_at").select("id", "at", "more")
 
     def phrase_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Phrases of groups that are sorted with their bytes; of crowded ones each window's digest."""
+        """Phrases of groups that are sorted with their bytes; of crowded ones each window (more: -1) with its digest and bytes."""
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
             kind_ = batch.schema.field(0).type
@@ -193,10 +204,10 @@ def removed(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_
                 crowded = [np.arange(s["at"], s["at"] + s["more"] + 1) for s in spans if s["crowded"]]
                 if crowded:
                     start = np.unique(np.concatenate(crowded))
-                    value = span_hash(prefix_hash(text), start, start + window).view(np.int64)
+                    value, rows_ = window_digests(text, start, window), np.lib.stride_tricks.sliding_window_view(text, window)
                     for i in range(0, len(start), 1 << 16):
                         n = len(start[i : i + (1 << 16)])
-                        yield pa.RecordBatch.from_arrays([pa.array(value[i : i + n]), pa.array([own] * n, kind_), pa.array(start[i : i + n].astype(np.int32)), pa.array(np.zeros(n, np.int32)), pa.nulls(n, pa.binary())], names=["key", "id", "at", "more", "bytes"])
+                        yield pa.RecordBatch.from_arrays([pa.array(value[i : i + n]), pa.array([own] * n, kind_), pa.array(start[i : i + n].astype(np.int32)), pa.array(np.full(n, -1, np.int32)), pa.array([x.tobytes() for x in rows_[start[i : i + n]]], pa.binary())], names=["key", "id", "at", "more", "bytes"])
             types = (pa.int64(), kind_, pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["key", "id", "at", "more", "bytes"])
 
@@ -224,11 +235,24 @@ def removed(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_
     banded = banded.join(shared, ["gram", "band", "part"]).select("id", F.xxhash64("gram", "band", "part").alias("key"), (F.col("at") + start).alias("at"), (end - start).alias("more"), (F.col("phrases") > CROWD).alias("crowded"))
     unsure = banded.groupBy("id").agg(F.collect_list(F.struct("key", "at", "more", "crowded")).alias("spans"))
     each = staged(parsed.join(unsure, "id").select("id", "text", "spans").mapInArrow(phrase_bytes, f"key long, id {kind}, at int, more int, bytes binary"))
-    dealt = each.where("bytes is not null").repartition("key").sortWithinPartitions("key", "id", "at")
+    dealt = each.where("more >= 0").repartition("key").sortWithinPartitions("key", "id", "at")
     sorted_ = dealt.mapInArrow(sort_groups, f"id {kind}, at int").select("id", "at", F.lit(0).alias("more"))
-    crowded = each.where("bytes is null").select("key", "id", "at")
-    first = crowded.groupBy("key").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", F.col("first.id").alias("first_id"), F.col("first.at").alias("first_at"))
-    single = sorted_.union(crowded.join(first, "key").where("id <> first_id or at <> first_at").select("id", "at", F.lit(0).alias("more")))
+    crowded = each.where("more < 0").select("key", "id", "at", "bytes")
+
+    def placed(rows: DataFrame, *by: str) -> DataFrame:
+        return rows.groupBy(*by).agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("n"), F.min("bytes").alias("low"), F.max("bytes").alias("high")).where("n > 1")
+
+    def behind(rows: DataFrame, first: DataFrame, *by: str) -> DataFrame:
+        known = first.select(*by, F.col("first.id").alias("first_id"), F.col("first.at").alias("first_at"), F.explode(salts).alias("salt"))
+        met = rows.select(*by, "id", "at", salt.alias("salt")).join(known, [*by, "salt"])
+        return met.where("id <> first_id or at <> first_at").select("id", "at", F.lit(0).alias("more"))
+
+    digests = staged(placed(crowded, "key"))
+    single = sorted_.union(behind(crowded, digests.where("low = high"), "key"))
+    mixed = digests.where("low <> high").select("key")
+    if mixed.limit(1).count():
+        again_ = crowded.join(mixed, "key").withColumn("window", F.col("bytes"))
+        single = single.union(behind(again_, placed(again_, "key", "window"), "key", "window"))
     marks = later.union(single).groupBy("id").agg(F.collect_list(F.struct("at", "more")).alias("spans"), F.lit(False).alias("copy"))
     marks = staged(marks.unionByName(copies.select("id", F.lit(None).cast("array<struct<at:int,more:int>>").alias("spans"), F.lit(True).alias("copy"))))
 
@@ -252,5 +276,5 @@ def removed(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_
                 out[3].append(hashlib.sha256(own[~gone].tobytes()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(o, pa.int64()) for o in out[:3]), pa.array(out[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    forget(each, again, repeated, dictionary)
+    forget(each, again, repeated, dictionary, digests)
     return rows.join(marks, "id", "left").select("own", "text", "spans", "copy").mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
