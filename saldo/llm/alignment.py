@@ -26,6 +26,7 @@ import json
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -96,7 +97,7 @@ class Cutter:
     """
 
     #: Ids that a task keeps before it starts anew, and characters that are tokenised in one go.
-    KEPT, RUN = 4_000_000, 2_000
+    KEPT, RUN = 1_000_000, 2_000
 
     def __init__(self, a_path: str, b_path: str) -> None:
         self.tools = [tokenizer(a_path), tokenizer(b_path)]
@@ -155,13 +156,11 @@ class Cutter:
         if max(map(len, self.ids)) > self.KEPT:
             self.begin()
         chunks = [[] if not t else [" " + t] if self.odd.search(t) else CHUNKS.findall(" " + t) for t in texts]
-        every = dict.fromkeys(c for x in chunks for c in x)
-        if fresh := every.keys() - self.known.keys():
+        flat = list(chain.from_iterable(chunks))
+        if fresh := set(flat).difference(self.known):
             self.learn_all(fresh)
-        for n, c in enumerate(every):
-            every[c] = n
-        numbers = [np.fromiter(map(every.__getitem__, x), np.int32, len(x)) for x in chunks]
-        own, sides = np.fromiter(map(self.known.__getitem__, every), np.int64, len(every)), []
+        own, numbers = np.unique(np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat)), return_inverse=True)
+        numbers, sides = np.split(numbers.astype(np.int32), np.cumsum([len(x) for x in chunks])[:-1]), []
         for ids, bounds, sizes in zip(self.ids, self.bounds, self.sizes, strict=True):
             start = bounds[own]
             n = bounds[own + 1] - start
@@ -193,7 +192,7 @@ def tokens(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", te
 
     A chunk has ids (`a`), their byte ends (`a_end`) and the token of each byte (`a_at`), and so for b.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 3)
     a_name, b_name = shipped(docs.sparkSession, a_path), shipped(docs.sparkSession, b_path)
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -235,9 +234,16 @@ def chunk_aligned(c: Column) -> Column:
 
     def described(ends: Column) -> Column:
         pairs = F.zip_with(sides(c.a, c.a_end, c.b_at), sides(c.b, c.b_end, c.a_at), lambda x, y: F.concat(x, F.lit("|"), y))
-        return F.struct(F.size(ends).alias("n"), F.array_join(F.slice(pairs, 1, F.size(ends)), ";").alias("text"), F.transform(F.array_union(c.a_end, c.b_end), pair).alias("links"))
+        links = F.transform(F.array_union(c.a_end, c.b_end), pair)
+        return F.struct(F.size(ends).alias("n"), F.array_join(F.slice(pairs, 1, F.size(ends)), ";").alias("text"), links.alias("links"))
 
-    return let(F.array_intersect(c.a_end, c.b_end), described)
+    def one_to_one(ends: Column) -> Column:
+        text = F.array_join(F.zip_with(c.a, c.b, lambda x, y: F.concat(x.cast("string"), F.lit("|"), y.cast("string"))), ";")
+        links = F.zip_with(c.a, c.b, lambda x, y: x.cast("long") * WIDTH + y)
+        return F.struct(F.size(ends).alias("n"), text.alias("text"), links.alias("links"))
+
+    all_alone = lambda ends: (F.size(ends) == F.size(c.a)) & (F.size(ends) == F.size(c.b))
+    return let(F.array_intersect(c.a_end, c.b_end), lambda ends: F.when(all_alone(ends), one_to_one(ends)).otherwise(described(ends)))
 
 
 def aligned(cut: DataFrame) -> DataFrame:
@@ -268,12 +274,13 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
     """One row per input row: tokens, groups and links, how many links are their first id's most frequent, the sum of the links' counts."""
     told = aligned(tokens(docs, a_path, b_path, id_col, text_col))
     groups = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
-    kept = staged(told.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "n_a", "n_b", "n_groups", groups, "links", *["groups"] * keep_groups))
+    row = F.monotonically_increasing_id().alias("_row")
+    kept = staged(told.select(row, "doc_id", "n_a", "n_b", "n_groups", F.size("links").cast("long").alias("n_links"), groups, "links", *["groups"] * keep_groups))
     counts = pair_counts(kept)
     if counts.count() <= BROADCAST_PAIRS:
         counts = F.broadcast(counts)
     links = kept.select("_row", F.explode("links").alias("pair")).join(counts, "pair")
     sums = links.groupBy("_row").agg(F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("n_docs").alias("count_sum"))
-    out = kept.join(sums, "_row", "left")
+    out = kept.drop("links").join(sums, "_row", "left")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    return out.select("doc_id", "n_a", "n_b", "n_groups", F.size("links").cast("long").alias("n_links"), zero("n_best"), zero("count_sum"), "groups_sha256", *["groups"] * keep_groups)
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", zero("n_best"), zero("count_sum"), "groups_sha256", *["groups"] * keep_groups)
