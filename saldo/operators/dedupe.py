@@ -76,11 +76,16 @@ def numbered(df: DataFrame, order: Sequence[str], name: str = "row_no", parts: i
     return kept.join(F.broadcast(offsets), F.col("_part") == F.col("_p")).withColumn(name, F.col("_first") + F.col("_in")).drop("_part", "_p", "_in", "_first")
 
 
-def multiset_digest(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """(keys, rows, digest) that are equal for equal multisets of rows in any order.
-
-    Row digests are added up as numbers, so nothing is gathered or sorted.
-    """
+def digest_sums(columns: Sequence[str]) -> list[Column]:
+    """Aggregates from which `digest_of` makes the digest of a multiset of rows: their digests added up as numbers, so nothing is gathered or sorted."""
     one = fingerprint(columns)
-    part = lambda i: F.sum(F.conv(F.substring(one, 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)"))
-    return df.groupBy(*keys).agg(F.count("*").alias("rows"), F.sha2(F.concat_ws(":", *[part(i).cast("string") for i in range(4)]), 256).alias("digest"))
+    return [F.sum(F.conv(F.substring(one, 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")).alias(f"_part{i}") for i in range(4)]
+
+
+def digest_of(parts: Sequence[Column]) -> Column:
+    return F.sha2(F.concat_ws(":", *[p.cast("string") for p in parts]), 256)
+
+
+def multiset_digest(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, rows, digest) that are equal for equal multisets of rows in any order."""
+    return df.groupBy(*keys).agg(F.count("*").alias("rows"), digest_of(digest_sums(columns)).alias("digest"))

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from saldo.sources.shared import new_folder
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -15,7 +17,13 @@ class Tables:
     """Tables of a folder by name, read when they are asked for."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder
+        self.spark, self.folder, self.folders = spark, folder, {}
+
+    def folder_of(self, name: str) -> str:
+        """A folder of this run's own, the same for the same name."""
+        if name not in self.folders:
+            self.folders[name] = new_folder(self.spark)
+        return self.folders[name]
 
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")

@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saldo.functions.money import MONEY
-from saldo.functions.text import clean_cell, guarded
+from saldo.functions.text import guarded
 from saldo.operators.dedupe import fingerprint
+from saldo.sources.tables import read_csv
 
 # How a comment line states a control total, and the side that its label means.
 CONTROL = r"^#\s*([^：:]{2,12})\s*[：:]\s*(?:(-?[\d,]+)\s*笔\s*[，,]?\s*)?(?:共\s*)?(-?[\d,]+\.?\d*)\s*元"
@@ -21,12 +22,11 @@ DIRECTIONS = {"支出合计": "outgo", "收入合计": "income"}
 
 def typed_csv(spark: SparkSession, path: str, types: Mapping[str, str]) -> DataFrame:
     """A CSV file with a header as the named columns of the given types, trimmed; what cannot be one is null."""
-    raw = spark.read.option("header", True).option("multiLine", False).csv(path)
-    named = {c.lstrip("\ufeff").strip(): c for c in raw.columns}
-    lacking = [c for c in types if c not in named]
+    raw = read_csv(spark, path)
+    lacking = [c for c in types if c not in raw.columns]
     if lacking:
         raise ValueError(f"{path} lacks the columns {lacking}")
-    return raw.select(*[clean_cell(F.col(f"`{named[c]}`")).try_cast(kind).alias(c) for c, kind in types.items()])
+    return raw.select(*[F.col(f"`{c}`").try_cast(kind).alias(c) for c, kind in types.items()])
 
 
 TABLES = {

@@ -37,13 +37,19 @@ def shuffles_freed(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(CLEANUP, before)
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A folder of its own in the shared one; it is deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/saldo-{uuid.uuid4().hex}"
+    _STAGED[path] = spark
+    return path
+
+
 def staged(df: DataFrame) -> DataFrame:
     """The table written to the shared folder and read again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/saldo-{uuid.uuid4().hex}"
+    path = new_folder(spark)
     with shuffles_freed(spark):
         df.write.option("compression", "zstd").parquet(path)
-    _STAGED[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out

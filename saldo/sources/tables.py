@@ -1,10 +1,11 @@
 """Exports as DataFrames with a file and row lineage, and content-addressed results.
 
-CSV goes through Spark's own readers; only the first lines of each file are looked at on
-the driver to learn encoding, preamble, delimiter and header. Workbooks and archives have
-no Spark reader: each file is read whole inside a task, so one file is the unit of
-parallelism, and must fit in a task's memory; larger files than `most_mbytes` and files of
-an unknown kind raise an error.
+CSV goes through Spark's own readers by one rule (RFC 4180) in every encoding. A first pass in
+tasks learns each file's encoding, preamble, delimiter and header, and whether a quoted cell holds a
+line break; files without such a cell are split among tasks, the others are read a file to a task.
+Workbooks and archives have no Spark reader: each file is read whole inside a task, so one file is
+the unit of parallelism, and must fit in a task's memory; larger files than `most_mbytes` and
+files of an unknown kind raise an error.
 """
 
 from __future__ import annotations
@@ -16,36 +17,58 @@ import re
 import zipfile
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from urllib.parse import unquote
 from xml.etree import ElementTree
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saldo.functions.text import clean_cell
 
-# Encodings in the order they are tried, and delimiters of a header line.
-ENCODINGS = ("utf-8-sig", "gb18030", "utf-16")
+# Marks of encodings, encodings in the order in which equal ones are taken, and delimiters of a header line.
+MARKS = {b"\xef\xbb\xbf": "utf-8-sig", b"\xff\xfe": "utf-16", b"\xfe\xff": "utf-16"}
+ENCODINGS = ("utf-8-sig", "gb18030", "big5", "utf-16")
 DELIMITERS = ",\t;|"
+#: Spark's names of encodings, and what a file's first bytes are at most.
+CHARSETS = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "gb18030": "GB18030", "big5": "Big5", "utf-16": "UTF-16"}
+HEAD = 65536
 CELLS = "file string, sheet string, row_no long, cells array<string>"
 RELATIONS = "xl/_rels/workbook.xml.rels"
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
+def _usual(char: str) -> bool:
+    """Whether a character beyond ASCII is one that people write: the first level of a Chinese set, its marks and forms, kana, a Latin letter."""
+    if "\u4e00" <= char <= "\u9fff":
+        # The first level of either set holds its frequent characters: rows B0 to D7 of the one, A4 to C6 of the other.
+        simple, full = char.encode("gb2312", "ignore"), char.encode("big5", "ignore")
+        return bool(simple) and simple[0] <= 0xD7 or bool(full) and full[0] <= 0xC6
+    return "\u3000" <= char <= "\u30ff" or "\uff00" <= char <= "\uffef" or "\u2010" <= char <= "\u203b" or "\xa0" <= char <= "\u024f" or char == "\u20ac"
+
+
+def quality(text: str) -> float:
+    """Share of characters beyond ASCII that are usual ones; control characters count as unusual."""
+    odd = [c for c in text if c > "\x7e" or c < " " and c not in "\t\r\n"]
+    return sum(map(_usual, odd)) / len(odd) if odd else 1.0
+
+
+def _decoded(head: bytes, encoding: str) -> str | None:
+    try:
+        return head.decode(encoding)
+    except UnicodeDecodeError as e:
+        return head[: e.start].decode(encoding) if 0 < e.start and e.start >= len(head) - 4 else None  # a character cut off at the end
+
+
 def sniffed(head: bytes) -> tuple[str, str, int]:
-    """(encoding, delimiter, lines before the header) from a file's first bytes."""
-    for encoding in ENCODINGS:
-        try:
-            text = head.decode(encoding)
-            break
-        except UnicodeDecodeError as e:
-            if e.start >= len(head) - 4:  # a character cut off at the end
-                text = head[: e.start].decode(encoding)
-                break
-    else:
-        encoding, text = "utf-8", head.decode("utf-8", "replace")
-    lines = text.splitlines()
+    """(encoding, delimiter, lines before the header) from a file's first bytes: by its mark, or else the decoding of the best quality."""
+    marked = [e for mark, e in MARKS.items() if head.startswith(mark)]
+    told = {e: text for e in marked or ENCODINGS if (text := _decoded(head, e)) is not None}
+    encoding = max(told, key=lambda e: quality(told[e]), default="utf-8")
+    lines = told.get(encoding, head.decode("utf-8", "replace")).splitlines()
     skip = next((i for i, line in enumerate(lines[:30]) if line.strip() and not line.startswith("#")), 0)
     header = lines[skip] if lines else ""
     return encoding, max(DELIMITERS, key=header.count), skip
@@ -55,16 +78,6 @@ class SourceError(ValueError):
     """A file that cannot be read whole."""
 
 
-def _head(spark: SparkSession, path: str, n: int = 65536) -> bytes:
-    """A file's first bytes, through Spark's file systems."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    stream = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).open(place)
-    try:
-        return bytes(stream.readNBytes(n))
-    finally:
-        stream.close()
-
-
 def _names(head: bytes, encoding: str, delimiter: str, skip: int) -> tuple[str, ...]:
     lines = head.decode(encoding, "ignore").splitlines(keepends=True)[skip:]
     return tuple(n.lstrip("\ufeff").strip() for n in next(csv.reader(lines, delimiter=delimiter), []))
@@ -75,79 +88,86 @@ def _literal(path: str) -> str:
     return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
 
 
+def csv_layouts(spark: SparkSession, path: str) -> DataFrame:
+    """(uri, encoding, delimiter, names, broken) of every CSV file that is not empty, found in tasks; broken: some quoted cell may hold a line break."""
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("value").cast("binary"), "_metadata.file_path", "_metadata.file_block_start")
+
+    def looked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row for each run of lines of a file: its head if it is the file's start, and whether a line has an odd number of quotes."""
+        now, head = None, None
+        for batch in batches:
+            value, uri, start = batch.columns
+            odd = pc.fill_null(pc.equal(pc.bit_wise_and(pc.count_substring(value, '"'), 1), 1), False)
+            cuts = [0, *(i + 1 for i in np.flatnonzero(pc.or_(pc.not_equal(uri[1:], uri[:-1]), pc.not_equal(start[1:], start[:-1])).to_numpy(zero_copy_only=False))), len(batch)]
+            out = []
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if (at := (uri[a].as_py(), start[a].as_py())) != now:
+                    now, head = at, bytearray() if at[1] == 0 else None
+                if head is not None:
+                    for i in range(a, b):
+                        if len(head) >= HEAD:
+                            break
+                        head += value[i].as_py()[:HEAD] + b"\n"
+                    out.append((at[0], bytes(head[:HEAD]), pc.any(odd[a:b]).as_py()))
+                    if len(head) >= HEAD:
+                        head = None
+                else:
+                    out.append((at[0], None, pc.any(odd[a:b]).as_py()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.binary(), pa.bool_()))], names=["uri", "head", "odd"])
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for uri, head, odd in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                encoding, delimiter, skip = sniffed(head)
+                rows.append((uri, encoding, delimiter, list(_names(head, encoding, delimiter, skip)), odd or encoding == "utf-16"))
+            types = (pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["uri", "encoding", "delimiter", "names", "broken"])
+
+    # A head that goes on in a later batch is the longer one.
+    longest = F.max_by("head", F.length("head"))
+    files = lines.mapInArrow(looked, "uri string, head binary, odd boolean").groupBy("uri").agg(longest.alias("head"), F.bool_or("odd").alias("odd"))
+    return files.mapInArrow(told, "uri string, encoding string, delimiter string, names array<string>, broken boolean")
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """A CSV export with all columns as cleaned text; comment lines and blank rows are left out.
 
-    Files are sniffed one by one, and those of one layout are read together; a column that a
-    file has not is null there. Spark splits the files among tasks, but for GB18030 files with
-    quoted line breaks, which are read a file to a task.
+    Files of one layout are read together (a line of each comes to the driver); a column that
+    a file has not is null there. Quotes, doubled quotes, line breaks and backslashes inside quotes are
+    read alike in every encoding. Spark splits the files among tasks, but for those in UTF-16
+    and those with quoted line breaks, which are read a file to a task.
     """
-    layouts: dict[tuple, list[tuple[str, str]]] = defaultdict(list)
-    for place, uri in sorted(tuple(r) for r in spark.read.format("binaryFile").load(path).select("path", "_metadata.file_path").collect()):
-        layout = sniffed(head := _head(spark, place))
-        layouts[*layout, _names(head, *layout)].append((place, uri))
+    layouts: dict[tuple, list[str]] = defaultdict(list)
+    for r in csv_layouts(spark, path).collect():
+        layouts[r["encoding"], r["delimiter"], tuple(r["names"]), r["broken"]].append(unquote(r["uri"]))
     if not layouts:
         raise SourceError(f"no files in {path}")
     out = None
-    for (encoding, delimiter, skip, names), files in layouts.items():
-        if encoding == "gb18030":
-            part = _gb18030(spark, dict(files), delimiter, skip, names)
-        else:
-            part = _spark_csv(spark, path if len(layouts) == 1 else [_literal(place) for place, _ in files], encoding, delimiter)
+    for (encoding, delimiter, _, broken), files in sorted(layouts.items()):
+        part = _spark_csv(spark, path if len(layouts) == 1 else [_literal(place) for place in sorted(files)], encoding, delimiter, broken)
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out.select(*[c for c in out.columns if c != "file"], "file")
 
 
-def _spark_csv(spark: SparkSession, path: str | list[str], encoding: str, delimiter: str) -> DataFrame:
-    charset = {"utf-8-sig": "UTF-8", "utf-16": "UTF-16", "utf-8": "UTF-8"}[encoding]
-    raw = spark.read.csv(path, header=True, sep=delimiter, encoding=charset, comment="#", inferSchema=False, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+def charset_of(spark: SparkSession, encoding: str) -> str:
+    """Spark's name of an encoding. Those beyond Unicode need a setting of the session, which has to last until the rows are read."""
+    if not encoding.startswith("utf"):
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    return CHARSETS[encoding]
+
+
+def _spark_csv(spark: SparkSession, path: str | list[str], encoding: str, delimiter: str, broken: bool) -> DataFrame:
+    raw = spark.read.csv(path, header=True, sep=delimiter, encoding=charset_of(spark, encoding), comment="#", quote='"', escape='"', multiLine=broken, inferSchema=False, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
     cells = raw.select(*[clean_cell(F.col(f"`{c}`")).alias(c.lstrip("\ufeff").strip()) for c in raw.columns], F.col("_metadata.file_name").alias("file"))
     return cells.where(F.coalesce(*[F.col(f"`{c}`") for c in cells.columns if c != "file"]).isNotNull())
 
 
-def _gb18030(spark: SparkSession, files: dict[str, str], delimiter: str, skip: int, names: tuple[str, ...]) -> DataFrame:
-    """Rows of GB18030 files of one layout: no byte of a longer character is a line break, so Spark's splits hold."""
-    lines = spark.read.text([_literal(place) for place in files]).select(F.col("value").cast("binary").alias("line"), F.col("_metadata.file_path").alias("uri"), F.col("_metadata.file_block_start").alias("start"))
-
-    def left_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # The first line of a quoted line break is read from its beginning, so none is missed.
-        for batch in batches:
-            uris = set()
-            for line, uri in zip(batch.column("line").to_pylist(), batch.column("uri").to_pylist(), strict=True):
-                reader = csv.reader([line.decode("gb18030", "replace"), ""], delimiter=delimiter)
-                next(reader)
-                if reader.line_num > 1:
-                    uris.add(uri)
-            yield pa.RecordBatch.from_arrays([pa.array(sorted(uris), pa.string())], names=["uri"])
-
-    quoted = lines.where(F.instr(F.col("line").cast("string"), '"') > 0)
-    whole = {r["uri"] for r in quoted.mapInArrow(left_open, "uri string").distinct().collect()}
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, header = None, False
-        for batch in batches:
-            found: list[tuple[str, list[str]]] = []
-            for line, uri, start in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if uri in whole:
-                    continue
-                if (uri, start) != at:
-                    at, header = (uri, start), start == 0
-                row = next(csv.reader([line.decode("gb18030", "replace").lstrip("\ufeff")], delimiter=delimiter), [])
-                if not row or row[0].startswith("#"):
-                    continue
-                if header:
-                    header = "".join(row).strip() == ""
-                    continue
-                found.append((uri, row))
-            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.string()), pa.array([r for _, r in found], pa.list_(pa.string()))], names=["uri", "cells"])
-
-    file_of = {uri: posixpath.basename(place) for place, uri in files.items()}
-    name = F.udf(file_of.get, "string")
-    cells = _cleaned(lines.mapInArrow(scan, "uri string, cells array<string>")).select(name("uri").alias("file"), F.lit("").alias("sheet"), F.lit(0).cast("long").alias("row_no"), "cells")
-    if whole:
-        kept = spark.read.format("binaryFile").load([_literal(place) for place, uri in files.items() if uri in whole])
-        cells = cells.unionByName(_whole_files(kept, 256, _delimited).where(F.col("row_no") > skip + 1))
-    return bound(cells, {n: i for i, n in enumerate(names)}).select(*[F.col(f"`{n}`") for n in names], "file")
+def write_csv(df: DataFrame, path: str, encoding: str = "utf-8-sig") -> None:
+    """A table as CSV files with a header in one of the encodings that `read_csv` tells; cells with quotes or line breaks are quoted."""
+    df.write.csv(path, header=True, encoding=charset_of(df.sparkSession, encoding), quote='"', escape='"', quoteAll=False)
 
 
 def _column(reference: str) -> int:
@@ -313,20 +333,10 @@ def _whole_files(found: DataFrame, most_mbytes: int, cells: Callable[[str, bytes
 
 
 def read_sheets(spark: SparkSession, path: str, most_mbytes: int = 256) -> DataFrame:
-    """(file, sheet, row_no, cells) of workbooks, CSV files and archives of them; file_sha addresses their content."""
+    """(file, sheet, row_no, cells) of workbooks, CSV files and archives of them."""
     return _whole_files(spark.read.format("binaryFile").load(path), most_mbytes, _cells)
 
 
 def bound(cells: DataFrame, columns: dict[str, int]) -> DataFrame:
     """Cells by position under the roles that a template gives them, with their lineage."""
     return cells.select("file", "sheet", "row_no", *[F.get("cells", F.lit(i)).alias(role) for role, i in columns.items()])
-
-
-def write_artifact(df: DataFrame, folder: str) -> tuple[str, str]:
-    """Write a result under the digest of its rows, whatever their order; the path and the digest."""
-    from saldo.operators.dedupe import multiset_digest
-
-    digest = multiset_digest(df, df.columns).first()["digest"]
-    path = f"{folder.rstrip('/')}/sha256={digest}"
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return path, digest

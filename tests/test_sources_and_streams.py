@@ -11,7 +11,8 @@ from saldo.functions.money import cents, half_even, ratio
 from saldo.functions.predicates import PredicateError, checked
 from saldo.operators import allocate, statement
 from saldo.sources.guard import GuardError, run_guarded
-from saldo.sources.tables import ArchiveError, bound, members, read_csv, read_sheets, write_artifact
+from saldo.sources.artifacts import write_artifact
+from saldo.sources.tables import ArchiveError, bound, members, read_csv, read_sheets
 from saldo.streaming import ledger
 
 SHEET = """<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>
