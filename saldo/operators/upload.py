@@ -13,22 +13,43 @@ from saldo.functions.text import norm_key, parse_number
 from saldo.operators.dedupe import fingerprint, first_wins
 
 FINE = "decimal(24,6)"
-# Words of a direction that turn an amount over.
-OUTGOING = ("支出", "退款", "out", "refund", "debit")
-
-
-def canonical(df: DataFrame, key: str, at: str, amount: str, direction: str, order: Sequence[str], zone: str = "Asia/Shanghai", defaults: Mapping[str, object] | None = None) -> DataFrame:
-    """Rows with a normalised key, a UTC time, an amount of six decimals whose sign follows the direction, defaults for empty cells and
-    the digest of the business content; of equal digests the first in order stays."""
-    value = F.abs(parse_number(F.col(amount).cast("string")).cast(FINE))
+#: A time of day with the zone that stands behind it.
+ZONED = r"(?s)^.*\d:\d{2}.*?(Z|z|[+-]\d{2}:?\d{2})$"
+
+
+def utc(c: Column | str, zone: str) -> Column:
+    """The UTC time, without a zone, of a text: by its own offset, or else as a time of the given zone, whatever the session's is."""
+    text = F.trim(column(c).cast("string"))
+    offset = F.regexp_extract(text, ZONED, 1)
+    local = F.translate(F.substring(text, F.lit(1), F.length(text) - F.length(offset)), "/", "-").try_cast("timestamp_ntz")
+    digits = F.translate(offset, "+-:", "")
+    minutes = (F.substring(digits, 1, 2).try_cast("int") * 60 + F.substring(digits, 3, 2).try_cast("int")) * F.when(offset.startswith("-"), -1).otherwise(1)
+    shifted = local - F.make_dt_interval(mins=F.coalesce(minutes, F.lit(0)))
+    return F.when(offset != "", shifted).otherwise(F.convert_timezone(F.lit(zone), F.lit("UTC"), local))
+
+
+def canonical(df: DataFrame, key: str, at: str, amounts: Mapping[str, str], dedupe: Sequence[str], order: Sequence[str], zone: str = "UTC", defaults: Mapping[str, object] | None = None) -> DataFrame:
+    """Rows as an upload keeps them; of equal values of `dedupe` the first in order stays, and `row_hash` is their digest.
+
+    business_key is the normalised key, occurred_at the UTC time. Amounts have six decimals and the
+    sign that they came with; those declared "negative" are turned over, the others are "as_is". A column that is
+    not there is 0, as is an empty or unreadable cell; `unread` counts the cells that are filled and cannot be read.
+    """
+    unknown = {c: how for c, how in amounts.items() if how not in ("as_is", "negative")}
+    if unknown:
+        raise ValueError(f"no directions: {unknown}")
+    blank = lambda c: F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == ""
+    read = {c: parse_number(F.col(c).cast("string")) for c in amounts if c in df.columns}
+    value = lambda c: F.coalesce(read[c], F.lit(0)) if c in read else F.lit(0)
+    unread = [F.when(v.isNull() & ~blank(c), 1).otherwise(0) for c, v in read.items()]
     told = df.withColumns({
         "business_key": norm_key(key),
-        "occurred_at": F.to_utc_timestamp(F.try_to_timestamp(F.col(at).cast("string")), zone),
-        "signed_amount": F.when(F.lower(F.trim(direction)).isin(*OUTGOING), -value).otherwise(value).cast(FINE),
-        **{c: F.coalesce(F.nullif(F.trim(F.col(c).cast("string")), F.lit("")), F.lit(v)) for c, v in (defaults or {}).items()},
+        "occurred_at": utc(at, zone),
+        **{c: (-value(c) if how == "negative" else value(c)).cast(FINE) for c, how in amounts.items()},
+        **{c: F.when(blank(c), F.lit(v)).otherwise(F.trim(F.col(c).cast("string"))) for c, v in (defaults or {}).items()},
+        "unread": reduce(lambda a, b: a + b, unread, F.lit(0)),
     })
-    told = told.withColumn("row_hash", fingerprint(["business_key", "occurred_at", "signed_amount"]))
-    return first_wins(told, ["row_hash"], order)
+    return first_wins(told.withColumn("row_hash", fingerprint(dedupe)), ["row_hash"], order)
 
 
 def upload_gates(df: DataFrame, key: str, at: str, amount: str, scope: Sequence[str], known: DataFrame | None = None) -> DataFrame:

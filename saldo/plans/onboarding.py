@@ -11,7 +11,8 @@ from saldo.operators import invariants, profile, upload
 from saldo.plans.ledger import AMOUNT, GROSS, PRICE, number
 from saldo.plans.readmodels import ORDERS, orders_of
 from saldo.plans.registry import Tables, query
-from saldo.sources import model
+from saldo.sources import model, tables
+from saldo.sources.shared import new_folder
 
 KEY = "CAST(l_orderkey AS VARCHAR)"
 
@@ -133,12 +134,14 @@ def claimed_facts(t: Tables) -> DataFrame:
     return profile.claimed(facts, metrics).select("event_id", "metric_id")
 
 
-@query(f"""WITH r AS (SELECT user_id % 50 AS k, date_trunc('hour', ts) AS h, {AMOUNT.format("ROUND(value, 0)")} AS v, event_type, event_id FROM events), s AS (SELECT k, h, CASE WHEN event_type = 'error' THEN -ABS(v) ELSE ABS(v) END AS v, event_id FROM r)
-SELECT MIN(event_id) AS event_id, CAST(k AS VARCHAR) AS business_key, epoch_us(h) - 28800000000 AS at_us, CAST(v AS DOUBLE) AS signed_amount, 'CNY' AS currency FROM s GROUP BY k, h, v""")
+@query(f"""WITH r AS (SELECT user_id % 50 AS k, date_trunc('hour', ts) - CASE WHEN event_id % 3 = 2 THEN INTERVAL 0 HOUR ELSE INTERVAL 8 HOUR END AS h, {AMOUNT.format("ROUND(value, 0)")} AS v, event_id, event_type FROM events)
+SELECT MIN(event_id) AS event_id, CAST(k AS VARCHAR) AS business_key, strftime(h, '%Y-%m-%d %H:%M:%S') AS occurred_at, CAST(v - 20 AS DOUBLE) AS paid, CAST(-v AS DOUBLE) AS fee, 0.0::DOUBLE AS freight, 'CNY' AS currency, CAST(arg_min(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END, event_id) AS BIGINT) AS unread FROM r GROUP BY k, h, v""")
 def canonical_upload(t: Tables) -> DataFrame:
-    rows = t.events.select("event_id", F.concat(F.lit("@"), (F.col("user_id") % 50).cast("string"), F.lit(".0")).alias("key"), F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd HH:mm:ss").alias("at"), F.concat(F.lit("¥"), F.round("value", 0).cast("decimal(20,4)")).alias("amount"), F.when(F.col("event_type") == "error", " Refund").otherwise("in").alias("direction"), F.lit(" ").alias("currency"))
-    out = upload.canonical(rows, "key", "at", "amount", "direction", ["event_id"], defaults={"currency": "CNY"})
-    return out.select("event_id", "business_key", F.unix_micros("occurred_at").alias("at_us"), number("signed_amount").alias("signed_amount"), "currency")
+    local = F.date_format(F.date_trunc("hour", "ts"), "yyyy/M/d HH:mm:ss")
+    at = F.when(F.col("event_id") % 3 == 0, local).when(F.col("event_id") % 3 == 1, F.concat(F.translate(local, "/ ", "-T"), F.lit("+08:00"))).otherwise(F.concat(local, F.lit("Z")))
+    rows = t.events.select("event_id", F.concat(F.lit("@"), (F.col("user_id") % 50).cast("string"), F.lit(".0")).alias("key"), at.alias("at"), F.concat(F.lit("¥"), F.round("value", 0).cast("decimal(20,4)") - 20).alias("paid"), F.round("value", 0).cast("decimal(20,4)").alias("fee"), F.when(F.col("event_type") == "error", "n/k").otherwise(" ").alias("tip"), F.lit(" ").alias("currency"))
+    out = upload.canonical(rows, "key", "at", {"paid": "as_is", "fee": "negative", "freight": "as_is", "tip": "as_is"}, ["business_key", "occurred_at", "paid"], ["event_id"], zone="Asia/Shanghai", defaults={"currency": "CNY"})
+    return out.select("event_id", "business_key", F.substring(F.col("occurred_at").cast("string"), 1, 19).alias("occurred_at"), *[number(c).alias(c) for c in ("paid", "fee", "freight")], "currency", F.col("unread").cast("bigint").alias("unread"))
 
 
 @query("""SELECT * FROM (VALUES ('row_count', (SELECT COUNT(*) FROM orders)::DOUBLE, true), ('valid_time', (SELECT ROUND(AVG(CASE WHEN o_orderkey % 4 <> 0 THEN 1.0 ELSE 0.0 END), 6) FROM orders), false), ('amount_format', 1.0, true), ('scope', 1.0, true), ('key_present', 1.0, true), ('duplicate_keys', (SELECT COUNT(*) - COUNT(DISTINCT o_custkey) FROM orders)::DOUBLE, false), ('amount_signs', 1.0, true),
@@ -238,3 +241,19 @@ def trust_tier_amounts(t: Tables) -> DataFrame:
     price = F.col("o_totalprice")
     tier = invariants.trust_tier(F.col("o_orderstatus") == "F", price > 1000, price > 400000, F.col("o_orderpriority").startswith("1"))
     return t.orders.groupBy(tier.alias("tier")).agg(F.count("*").alias("n"), number(F.sum(money("o_totalprice"))).alias("amount"))
+
+
+NOTE = """'"' || o_orderpriority || '" said:' || chr(10) || 'a, b \\ ' || o_orderstatus"""
+
+
+@query(f"""SELECT o_orderkey % 3 AS encoding, {NOTE} AS note, COUNT(*) AS n, CAST(SUM({AMOUNT.format("o_totalprice")}) AS DOUBLE) AS paid FROM orders GROUP BY ALL""")
+def dirty_exports_read_back(t: Tables) -> DataFrame:
+    """Orders written as CSV in three encodings, with quotes, line breaks and backslashes in a cell, and read by one rule."""
+    note = F.concat(F.lit('"'), "o_orderpriority", F.lit('" said:\na, b \\ '), "o_orderstatus")
+    rows = t.orders.select((F.col("o_orderkey") % 3).alias("encoding"), note.alias("note"), money("o_totalprice").alias("paid"))
+    read = []
+    for k, encoding in enumerate(("utf-8-sig", "gb18030", "utf-16")):
+        tables.write_csv(rows.where(F.col("encoding") == k), path := new_folder(t.spark), encoding)
+        read.append(tables.read_csv(t.spark, path))
+    out = read[0].unionByName(read[1]).unionByName(read[2])
+    return out.groupBy(F.col("encoding").cast("bigint").alias("encoding"), "note").agg(F.count("*").alias("n"), number(F.sum(F.col("paid").cast(MONEY))).alias("paid"))
