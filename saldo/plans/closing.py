@@ -10,7 +10,8 @@ from saldo.functions.money import MONEY, money
 from saldo.operators import allocate, audit, invariants, link, people, reconcile, runs, statement
 from saldo.plans.ledger import AMOUNT, GROSS, LINES, METRICS, NODES, ORDER, PRICE, number, with_store
 from saldo.plans.readmodels import ORDERS, orders_of
-from saldo.plans.registry import Tables, query
+from saldo.plans.registry import ORACLES, Tables, query
+from saldo.sources import artifacts
 
 #: A spine with gaps: a fifth of the orders is not on it.
 SPINE = "(SELECT * FROM lineitem WHERE l_orderkey % 5 <> 0)"
@@ -447,6 +448,34 @@ def published_snapshot(t: Tables) -> DataFrame:
     return runs.published(old, new, ["o_orderkey"], "snapshot", "period").select("o_orderkey", "src")
 
 
+@query(ORACLES["published_snapshot"])
+def snapshot_on_files(t: Tables) -> DataFrame:
+    """The same by months that are replaced where they lie."""
+    rows = t.orders.select("o_orderkey", text.period("o_orderdate").alias("period"), "o_orderstatus", "o_orderdate")
+    old, new = rows.where(F.year("o_orderdate") < 1997).withColumn("src", F.lit("old")), rows.where("o_orderstatus <> 'P' and o_orderdate >= '1996-06-01'").withColumn("src", F.lit("new"))
+    for part in (old, new):
+        artifacts.publish_snapshot(part, path := t.folder_of("snapshot"), ["period"])
+    return t.spark.read.parquet(path).select("o_orderkey", "src")
+
+
+@query(ORACLES["published_increment"])
+def increment_on_files(t: Tables) -> DataFrame:
+    rows = t.orders.select("o_orderkey", text.period("o_orderdate").alias("period"), "o_orderstatus", "o_orderdate")
+    old, new = rows.where(F.year("o_orderdate") < 1997).withColumn("src", F.lit("old")), rows.where("o_orderstatus <> 'P' and o_orderdate >= '1996-06-01'").withColumn("src", F.lit("new"))
+    for part in (old, new):
+        artifacts.publish_increment(part, path := t.folder_of("increment"), ["period"], ["o_orderkey"])
+    return t.spark.read.parquet(path).select("o_orderkey", "src")
+
+
+@query("""SELECT event_type, COUNT(*) AS n, CAST(COUNT(DISTINCT user_id) AS BIGINT) AS users, true AS same FROM events GROUP BY ALL""")
+def artifact_read_back(t: Tables) -> DataFrame:
+    """Events as an artifact, written again in another order under the same digest, and read by its manifest."""
+    rows = t.events.select("event_id", "user_id", "event_type", "ts")
+    path, _ = artifacts.write_artifact(rows, folder := t.folder_of("artifact"))
+    again, _ = artifacts.write_artifact(rows.repartition(5, "user_id"), folder)
+    return artifacts.read_artifact(t.spark, path).groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"), F.lit(path == again).alias("same"))
+
+
 @query("""WITH c AS (SELECT l_orderkey, COUNT(DISTINCT l_returnflag) AS d, MIN(l_linenumber::BIGINT * 1000000000 + l_partkey * 10000 + l_suppkey) AS first, COUNT(*) FILTER (WHERE l_linestatus = 'F') AS nf, MIN(l_linenumber::BIGINT * 1000000000 + l_partkey * 10000 + l_suppkey) FILTER (WHERE l_linestatus = 'F') AS cf FROM lineitem GROUP BY ALL)
 SELECT l_orderkey, CASE WHEN d = 1 THEN 'identical' WHEN nf = 1 THEN 'finished' ELSE 'ambiguous' END AS reason, CASE WHEN d = 1 THEN first WHEN nf = 1 THEN cf END AS chosen FROM c""")
 def candidate_choice(t: Tables) -> DataFrame:
