@@ -76,8 +76,8 @@ def orphan_majors(rows: DataFrame, metrics: DataFrame, platform: str, major: str
     known = metrics.select(F.col(major).alias("_known")).distinct()
     covered = metrics.select(F.col(platform).alias("_p"), F.col(major).alias("_m")).distinct()
     once = rows.where(F.col(major).isNotNull() & (F.col(major) != "")).groupBy(*anchor, platform, major).agg(F.min(F.col(amount).cast(MONEY)).alias("_amount"))
-    lost = once.join(F.broadcast(known), F.col(major) == F.col("_known"), "left_semi")
-    lost = lost.join(F.broadcast(covered), (F.col(platform) == F.col("_p")) & (F.col(major) == F.col("_m")), "left_anti")
+    lost = once.join(known, F.col(major) == F.col("_known"), "left_semi")
+    lost = lost.join(covered, (F.col(platform) == F.col("_p")) & (F.col(major) == F.col("_m")), "left_anti")
     return lost.groupBy(platform, major).agg(F.count("*").alias("rows"), F.sum("_amount").alias("amount"))
 
 

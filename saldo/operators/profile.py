@@ -146,4 +146,4 @@ def narrowed(facts: DataFrame, **wanted: str | None) -> DataFrame:
 def claimed(facts: DataFrame, metrics: DataFrame) -> DataFrame:
     """Facts that their metric claims: metrics (metric_id, major) with a category own the facts of that category only, others all."""
     named = metrics.select(F.col("metric_id").alias("_id"), F.col("major").alias("_major"))
-    return facts.join(F.broadcast(named), (F.col("metric_id") == F.col("_id")) & (F.col("_major").isNull() | (F.col("_major") == F.col("major"))), "left_semi")
+    return facts.join(named, (F.col("metric_id") == F.col("_id")) & (F.col("_major").isNull() | (F.col("_major") == F.col("major"))), "left_semi")

@@ -51,9 +51,19 @@ def empty_items(json: str, path: str = "$.items") -> Column:
 
 
 def requirements(checklist: DataFrame, periods: DataFrame, since: str, until: str, start: str, end: str, keys: Sequence[str]) -> DataFrame:
-    """Checklist entries that hold at some time of a period; an open end holds for good. The checklist is a dimension."""
-    overlap = (F.col(since) <= F.col(end)) & (F.col(until).isNull() | (F.col(until) >= F.col(start)))
-    return periods.join(checklist, [*[periods[k] == checklist[k] for k in keys], overlap]).drop(*[checklist[k] for k in keys])
+    """Checklist entries that hold at some time of a period; an open end holds for good.
+
+    Both sides are spread over their months and meet by month; a pair is kept in the first month that they share,
+    so it comes once. An open end reaches to the last period's end, the one value that comes to the driver.
+    """
+    last = periods.agg(F.max(end)).first()[0]
+    months = lambda low, high: F.explode(F.sequence(F.trunc(low, "month"), F.trunc(high, "month"), F.expr("interval 1 month")))
+    wanted = checklist.withColumn("_until", F.coalesce(until, F.lit(last))).where(F.col(since) <= F.col("_until"))
+    wanted = wanted.withColumn("_month", months(since, "_until")).withColumnsRenamed({k: f"_{k}" for k in keys})
+    spread = periods.where(F.col(start) <= F.col(end)).withColumn("_m", months(start, end))
+    overlap = (F.col(since) <= F.col(end)) & (F.col("_until") >= F.col(start)) & (F.col("_m") == F.trunc(F.greatest(since, start), "month"))
+    met = spread.join(wanted, [F.col("_m") == F.col("_month"), *[F.col(k) == F.col(f"_{k}") for k in keys]])
+    return met.where(overlap).drop("_m", "_month", "_until", *[f"_{k}" for k in keys])
 
 
 def coverage(slices: DataFrame, keys: Sequence[str], needed: str, done: str, unresolved: str) -> DataFrame:
@@ -146,7 +156,7 @@ def published(ledger: DataFrame, batch: DataFrame, keys: Sequence[str], mode: st
     """A ledger after a publication: `incremental` appends rows whose keys it lacks, `snapshot` replaces the months that the batch has."""
     if mode == "snapshot":
         months = batch.select(F.col(period).alias("_period")).distinct()
-        return ledger.join(F.broadcast(months), F.col(period).eqNullSafe(F.col("_period")), "left_anti").unionByName(batch)
+        return ledger.join(months, F.col(period).eqNullSafe(F.col("_period")), "left_anti").unionByName(batch)
     have = ledger.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
     return ledger.unionByName(batch.join(have, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left_anti"))
 

@@ -339,10 +339,10 @@ PERIODS_SQL = "(SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS period, CAST(d
 @query(f"""SELECT period, n_name FROM {PERIODS_SQL}, (SELECT n_name, DATE '1993-01-15' + CAST(n_nationkey * 60 AS INT) AS since, CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE DATE '1994-03-10' + CAST(n_nationkey * 60 AS INT) END AS until FROM nation) WHERE since <= ends AND (until IS NULL OR until >= starts)""")
 def checklist_of_periods(t: Tables) -> DataFrame:
     day = F.to_date("o_orderdate")
-    periods = t.orders.select(text.period("o_orderdate").alias("period"), F.trunc(day, "month").alias("starts"), F.last_day(day).alias("ends"), F.lit(1).alias("one")).distinct()
+    periods = t.orders.select(text.period("o_orderdate").alias("period"), F.trunc(day, "month").alias("starts"), F.last_day(day).alias("ends")).distinct()
     days = (F.col("n_nationkey") * 60).cast("int")
-    checklist = t.nation.select("n_name", F.date_add(F.lit("1993-01-15").cast("date"), days).alias("since"), F.when(F.col("n_nationkey") % 3 != 0, F.date_add(F.lit("1994-03-10").cast("date"), days)).alias("until"), F.lit(1).alias("one"))
-    return runs.requirements(checklist, periods, "since", "until", "starts", "ends", ["one"]).select("period", "n_name")
+    checklist = t.nation.select("n_name", F.date_add(F.lit("1993-01-15").cast("date"), days).alias("since"), F.when(F.col("n_nationkey") % 3 != 0, F.date_add(F.lit("1994-03-10").cast("date"), days)).alias("until"))
+    return runs.requirements(checklist, periods, "since", "until", "starts", "ends", []).select("period", "n_name")
 
 
 @query(f"""SELECT store, period, COUNT(*) FILTER (WHERE o_orderpriority < '3') AS needed, COUNT(*) FILTER (WHERE o_orderpriority < '3' AND o_orderstatus = 'F') AS done,

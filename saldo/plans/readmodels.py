@@ -150,10 +150,11 @@ def certified_sql_guard_all(t: Tables) -> DataFrame:
     return run_guarded(t.spark, "SELECT o_orderstatus, COUNT(*) AS n FROM certified GROUP BY o_orderstatus ORDER BY o_orderstatus", {"certified": t.orders}, 100)
 
 
-@query("""SELECT DISTINCT store, strftime(m, '%Y-%m') AS period, COALESCE(n, 0) AS evidence FROM (SELECT DISTINCT c_mktsegment AS store FROM customer), (SELECT unnest(generate_series(TIMESTAMP '1996-01-01', TIMESTAMP '1996-12-01', INTERVAL 1 MONTH)) AS m)
+@query("""SELECT DISTINCT store, strftime(m, '%Y-%m') AS period, COALESCE(n, 0) AS evidence FROM (SELECT DISTINCT c_mktsegment AS store FROM customer), (SELECT unnest(generate_series(date_trunc('month', MIN(o_orderdate))::TIMESTAMP, date_trunc('month', MAX(o_orderdate))::TIMESTAMP, INTERVAL 1 MONTH)) AS m FROM orders)
 LEFT JOIN (SELECT c_mktsegment AS s, date_trunc('month', o_orderdate) AS om, COUNT(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL) ON s = store AND om = m""")
 def target_plan(t: Tables) -> DataFrame:
-    months = F.explode(F.sequence(F.lit("1996-01-01").cast("date"), F.lit("1996-12-01").cast("date"), F.expr("interval 1 month")))
+    low, high = t.orders.agg(*[f(F.trunc("o_orderdate", "month")) for f in (F.min, F.max)]).first()
+    months = F.explode(F.sequence(F.lit(low), F.lit(high), F.expr("interval 1 month")))
     grid = t.customer.select(F.col("c_mktsegment").alias("store")).distinct().select("store", months.alias("m")).select("store", text.period("m").alias("period"))
     seen = orders_of(t).groupBy("store", "period").agg(F.count("*").alias("n"))
     return grid.join(seen, ["store", "period"], "left").select("store", "period", F.coalesce("n", F.lit(0)).alias("evidence"))
