@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from saldo.functions.money import MONEY, column
+from saldo.sources.shared import staged
 
 KINDS = ("link_rate", "coverage", "unclassified", "orphan_major", "completeness", "tie_out", "unlinked")
 #: Gaps from the gravest to the lightest.
@@ -107,15 +108,47 @@ def slice_keys(facts: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def replayed(current: DataFrame, baseline: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
-    """(keys, path, was, now, change) of every field that differs between two runs: changed, added or removed."""
+    """(keys, path, was, now, change) of every field that differs between two runs: changed, or added or removed with its row; a field
+    that turns null has changed."""
 
     def flat(df: DataFrame, name: str) -> DataFrame:
-        entries = F.array(*[F.struct(F.lit(f).alias("path"), F.col(f).cast("string").alias(name)) for f in fields])
+        entries = F.array(*[F.struct(F.lit(f).alias("path"), F.col(f).cast("string").alias(name), F.lit(True).alias(f"_{name}")) for f in fields])
         return df.select(*keys, F.explode(entries).alias("_e")).select(*keys, "_e.*")
 
     both = flat(current, "now").join(flat(baseline, "was"), [*keys, "path"], "full")
-    change = F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed").otherwise("changed")
-    return both.where(~F.col("was").eqNullSafe(F.col("now"))).select(*keys, "path", "was", "now", change.alias("change"))
+    change = F.when(F.col("_was").isNull(), "added").when(F.col("_now").isNull(), "removed").otherwise("changed")
+    return both.where(~F.col("was").eqNullSafe(F.col("now")) | F.col("_was").isNull() | F.col("_now").isNull()).select(*keys, "path", "was", "now", change.alias("change"))
+
+
+def flattened(df: DataFrame, keys: Sequence[str], document: str) -> DataFrame:
+    """(keys, path, kind, value) of every leaf of JSON documents, however deep: its type and its JSON text.
+
+    A null in a document is a leaf of kind VOID, an empty object or array a leaf too; a text that is no JSON is one
+    of kind INVALID at the root; a null document has none. Each level of nesting is one step, kept in the shared folder.
+    """
+    raw = df.where(F.col(document).isNotNull()).select(*keys, F.lit("$").alias("path"), F.try_parse_json(document).alias("v"), F.col(document).alias("_raw"))
+    out = raw.where("v is null").select(*keys, "path", F.lit("INVALID").alias("kind"), F.col("_raw").alias("value"))
+    level = staged(raw.where("v is not null").drop("_raw"))
+    while True:
+        told = level.withColumns({"kind": F.regexp_extract(F.schema_of_variant("v"), "^[A-Z]+", 0), "value": F.to_json("v")})
+        inner = F.col("kind").isin("OBJECT", "ARRAY") & ~F.col("value").isin("{}", "[]")
+        out = out.unionByName(told.where(~inner).drop("v"))
+        if not told.where(inner).limit(1).count():
+            return out
+        named = ", ".join(f"`{k}`" for k in keys)
+        step = "CASE WHEN e.key IS NULL THEN concat('[', e.pos, ']') WHEN e.key RLIKE '^[A-Za-z_][A-Za-z0-9_]*$' THEN concat('.', e.key) ELSE concat('[', to_json(named_struct('k', e.key)), ']') END"
+        level = staged(df.sparkSession.sql(f"SELECT {named}, concat(path, {step}) AS path, e.value AS v FROM {{level}}, LATERAL variant_explode(v) AS e(pos, key, value)", level=told.where(inner).drop("kind", "value")))
+
+
+def replayed_documents(current: DataFrame, baseline: DataFrame, keys: Sequence[str], document: str) -> DataFrame:
+    """(keys, path, was, now, change) of every leaf that differs between two runs' JSON documents: added, removed, type or changed.
+
+    A leaf that is null is there: turning null is a change of type, and only a leaf that is gone is removed.
+    """
+    side = lambda df, name: flattened(df, keys, document).select(*keys, "path", F.struct("kind", "value").alias(name))
+    both = side(current, "now").join(side(baseline, "was"), [*keys, "path"], "full")
+    change = F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed").when(F.col("was.kind") != F.col("now.kind"), "type").when(F.col("was.value") != F.col("now.value"), "changed")
+    return both.select(*keys, "path", F.col("was.value").alias("was"), F.col("now.value").alias("now"), change.alias("change")).where("change is not null")
 
 
 def conserved(detail: DataFrame, summary: DataFrame, keys: Sequence[str], amount: str, rows: str) -> DataFrame:

@@ -260,6 +260,23 @@ def replay_differences(t: Tables) -> DataFrame:
     return audit.replayed(now, t.part.where("p_partkey % 10 <> 1"), ["p_partkey"], ["p_size", "p_brand"])
 
 
+@query("""SELECT event_id, '$.a.n' AS path, 'null' AS was, '5' AS now, 'type' AS change FROM events WHERE event_id % 4 = 0 UNION ALL SELECT event_id, '$.a.n', 'null', NULL, 'removed' FROM events WHERE event_id % 4 = 1
+ UNION ALL SELECT event_id, '$.a.b[2]', NULL, '9', 'added' FROM events WHERE event_id % 4 = 2 UNION ALL SELECT event_id, '$.k', CAST(event_id % 7 AS VARCHAR), '"7"', 'type' FROM events WHERE event_id % 4 = 3
+ UNION ALL SELECT event_id, '$.s', '"x"', '"y"', 'changed' FROM events WHERE event_id % 5 = 0 UNION ALL SELECT event_id, '$.a.b[1].c', CAST(event_id % 3 AS VARCHAR), '0', 'changed' FROM events WHERE event_id % 6 = 1""")
+def nested_replay_differences(t: Tables) -> DataFrame:
+    k = F.col("event_id")
+
+    def document(now: bool) -> F.Column:
+        when = lambda test, new, old: F.when(test, new).otherwise(old) if now else F.lit(old) if isinstance(old, str) else old
+        return F.concat(
+            F.lit('{"k": '), when(k % 4 == 3, F.lit('"7"'), (k % 7).cast("string")), F.lit(', "a": {"b": [1, {"c": '), when(k % 6 == 1, F.lit("0"), (k % 3).cast("string")), F.lit("}"), when(k % 4 == 2, F.lit(", 9"), ""), F.lit("]"),
+            when(k % 4 == 0, F.lit(', "n": 5'), ', "n": null') if not now else F.when(k % 4 == 0, ', "n": 5').when(k % 4 == 1, "").otherwise(', "n": null'), F.lit('}, "s": '), when(k % 5 == 0, F.lit('"y"'), '"x"'), F.lit("}"),
+        )
+
+    side = lambda now: t.events.select("event_id", document(now).alias("doc"))
+    return audit.replayed_documents(side(True), side(False), ["event_id"], "doc")
+
+
 @query(f"""SELECT l_returnflag, CAST(SUM({PRICE}) AS DOUBLE) AS found, COUNT(*) AS found_rows, l_returnflag = 'N' AS ok FROM lineitem GROUP BY ALL""")
 def detail_equals_summary(t: Tables) -> DataFrame:
     """Stated amounts are wrong for A, stated counts for R."""
