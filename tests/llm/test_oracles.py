@@ -9,7 +9,7 @@ from saldo.llm.queries import ORACLES, QUERIES
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_equals_sql(spark, sf01_dir, name):
     with duckdb.connect() as db:
-        for table in ("documents", "benchmark"):
+        for table in ("documents", "benchmark", "labels", "conversations"):
             db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf01_dir}/{table}.parquet'")
         want = db.execute(ORACLES[name])
         columns = [c[0] for c in want.description]

@@ -48,7 +48,7 @@ def folder(spark, sf_dir, tmp_path_factory):
     path = tmp_path_factory.mktemp("clash")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     docs.withColumns({c: F.lit("x") for c in CLASHING}).write.parquet(f"{path}/documents.parquet")
-    for name in ("labels", "benchmark"):
+    for name in ("labels", "benchmark", "conversations"):
         spark.read.parquet(f"{sf_dir}/{name}.parquet").withColumns({"_id": F.lit("y"), "_gone": F.lit(1)}).write.parquet(f"{path}/{name}.parquet")
     return str(path)
 
