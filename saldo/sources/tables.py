@@ -3,9 +3,9 @@
 CSV goes through Spark's own readers by one rule (RFC 4180) in every encoding. A first pass in
 tasks learns each file's encoding, preamble, delimiter and header, and whether a quoted cell holds a
 line break; files without such a cell are split among tasks, the others are read a file to a task.
-Workbooks and archives have no Spark reader: each file is read whole inside a task, so one file is
-the unit of parallelism, and must fit in a task's memory; larger files than `most_mbytes` and
-files of an unknown kind raise an error.
+`read_sheets` reads each workbook or archive whole inside a task, from any file system that Spark
+reads; larger files than `most_mbytes` and files of an unknown kind raise an error. `saldo.sources.books`
+reads them sheet by sheet in bounded memory.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ import posixpath
 import re
 import zipfile
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from typing import IO, NamedTuple
 from urllib.parse import unquote
 from xml.etree import ElementTree
 
@@ -192,7 +193,7 @@ def _elements(book: zipfile.ZipFile, part: str, tag: str) -> Iterator[ElementTre
                 open_elements[-1].remove(element)
 
 
-def _rows(book: zipfile.ZipFile, part: str, shared: list[str]) -> Iterator[tuple[int, dict[int, str | None]]]:
+def _rows(book: zipfile.ZipFile, part: str, shared: Sequence[str]) -> Iterator[tuple[int, dict[int, str | None]]]:
     """(row number, cells by column) of a sheet; merged cells, which stand behind all rows, are read first, and a row is held at a time."""
     merged: list[tuple[int, int, int, int]] = []
     for m in _elements(book, part, "mergeCell"):
@@ -240,17 +241,24 @@ def _rows(book: zipfile.ZipFile, part: str, shared: list[str]) -> Iterator[tuple
     yield from between(max((m[1] for m in merged), default=0) + 1)
 
 
-def workbook(content: bytes) -> Iterator[tuple[str, int, list[str | None]]]:
-    """(sheet, row number, cells) of a workbook; merged cells all hold the first one's value."""
-    book = zipfile.ZipFile(io.BytesIO(content))
-    names = set(book.namelist())
-    shared = []
-    if "xl/sharedStrings.xml" in names:
-        shared = ["".join(t.text or "" for t in item.iter(f"{MAIN}t")) for item in _elements(book, "xl/sharedStrings.xml", "si")]
-    parts = {}
+class Sheet(NamedTuple):
+    """A sheet of a workbook: the part that holds it, whether it is hidden, and whether the workbook counts days from 1904."""
+
+    name: str
+    part: str
+    hidden: bool
+    from_1904: bool
+
+
+def sheets(book: zipfile.ZipFile) -> list[Sheet]:
+    """The sheets of a workbook that have cells, in its order."""
+    names, parts, out = set(book.namelist()), {}, []
     if RELATIONS in names:
         parts = {r.get("Id"): r for r in ElementTree.fromstring(book.read(RELATIONS))}
-    for i, entry in enumerate(ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{MAIN}sheet"), 1):
+    root = ElementTree.fromstring(book.read("xl/workbook.xml"))
+    settings = root.find(f"{MAIN}workbookPr")
+    from_1904 = settings is not None and settings.get("date1904", "").lower() in ("1", "true")
+    for i, entry in enumerate(root.iter(f"{MAIN}sheet"), 1):
         name, part = entry.get("name"), f"xl/worksheets/sheet{i}.xml"
         if relation := next((v for k, v in entry.items() if k.endswith("}id")), None) if parts else None:
             if relation in parts and not parts[relation].get("Type", "/worksheet").endswith("/worksheet"):
@@ -258,24 +266,52 @@ def workbook(content: bytes) -> Iterator[tuple[str, int, list[str | None]]]:
             part = posixpath.normpath(posixpath.join("/xl", parts[relation].get("Target"))).lstrip("/") if relation in parts else relation
         if part not in names:
             raise SourceError(f"sheet {name} has no part {part}")
-        for r, at in _rows(book, part, shared):
-            yield name, r, [at.get(c) for c in range(max(at, default=-1) + 1)]
+        out.append(Sheet(name, part, entry.get("state", "visible") != "visible", from_1904))
+    return out
+
+
+def shared_strings(book: zipfile.ZipFile) -> Iterator[str]:
+    if "xl/sharedStrings.xml" in book.namelist():
+        for item in _elements(book, "xl/sharedStrings.xml", "si"):
+            yield "".join(t.text or "" for t in item.iter(f"{MAIN}t"))
+
+
+def sheet_rows(book: zipfile.ZipFile, part: str, shared: Sequence[str]) -> Iterator[tuple[int, list[str | None]]]:
+    """(row number, cells) of a sheet's part as it is read; merged cells all hold the first one's value."""
+    for r, at in _rows(book, part, shared):
+        yield r, [at.get(c) for c in range(max(at, default=-1) + 1)]
+
+
+def workbook(content: bytes) -> Iterator[tuple[str, int, list[str | None]]]:
+    """(sheet, row number, cells) of a workbook."""
+    book = zipfile.ZipFile(io.BytesIO(content))
+    shared = list(shared_strings(book))
+    for sheet in sheets(book):
+        yield from ((sheet.name, r, cells) for r, cells in sheet_rows(book, sheet.part, shared))
 
 
 class ArchiveError(ValueError):
     """An archive that the policy refuses."""
 
 
-def members(content: bytes, depth: int = 2, most_files: int = 1000, most_bytes: int = 1 << 30, most_ratio: int = 200) -> Iterator[tuple[str, bytes]]:
-    """(name, content) of an archive's files, archives inside it too; unsafe names, sizes and ratios are refused."""
-    archive = zipfile.ZipFile(io.BytesIO(content))
+def checked_entries(archive: zipfile.ZipFile, most_files: int, most_bytes: int, most_ratio: int) -> list[tuple[str, zipfile.ZipInfo]]:
+    """(name, entry) of an archive's files; unsafe names, sizes and ratios are refused."""
     entries = [e for e in archive.infolist() if not e.is_dir()]
     if len(entries) > most_files or sum(e.file_size for e in entries) > most_bytes:
         raise ArchiveError("too many or too large members")
+    out = []
     for e in entries:
         name = e.filename if e.flag_bits & 0x800 else e.filename.encode("cp437", "replace").decode("gbk", "replace")
         if name.startswith("/") or ".." in posixpath.normpath(name).split("/") or e.file_size > most_ratio * max(1, e.compress_size):
             raise ArchiveError(f"unsafe member {name}")
+        out.append((name, e))
+    return out
+
+
+def members(content: bytes, depth: int = 2, most_files: int = 1000, most_bytes: int = 1 << 30, most_ratio: int = 200) -> Iterator[tuple[str, bytes]]:
+    """(name, content) of an archive's files, archives inside it too; what the policy refuses is an error."""
+    archive = zipfile.ZipFile(io.BytesIO(content))
+    for name, e in checked_entries(archive, most_files, most_bytes, most_ratio):
         data = archive.read(e)
         if name.lower().endswith(".zip"):
             if depth <= 1:
@@ -299,11 +335,17 @@ def _cells(name: str, content: bytes) -> Iterator[tuple[str, str, int, list[str
 
 
 def _delimited(name: str, content: bytes) -> Iterator[tuple[str, str, int, list[str | None]]]:
-    encoding, delimiter, _ = sniffed(content[:65536])
-    text = io.StringIO(content.decode(encoding, "replace"), newline="")
-    for r, row in enumerate(csv.reader(text, delimiter=delimiter), 1):
-        if row and not row[0].startswith("#"):
-            yield name, "", r, row
+    yield from ((name, "", r, row) for r, row in delimited_rows(lambda: io.BytesIO(content)))
+
+
+def delimited_rows(opened: Callable[[], IO[bytes]]) -> Iterator[tuple[int, list[str | None]]]:
+    """(record number, cells) of delimited text as it is read, in its own encoding, without comments; the file is opened twice."""
+    with opened() as stream:
+        encoding, delimiter, _ = sniffed(stream.read(HEAD))
+    with opened() as stream, io.TextIOWrapper(stream, encoding, "replace", newline="") as text:
+        for r, row in enumerate(csv.reader(text, delimiter=delimiter), 1):
+            if row and not row[0].startswith("#"):
+                yield r, row
 
 
 def _cleaned(rows: DataFrame) -> DataFrame:
