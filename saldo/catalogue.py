@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from saldo.plans import closing, declared, intake, ledger, onboarding, readmodels, streams
+from saldo.plans import certification, closing, declared, intake, ledger, onboarding, readmodels, streams
 from saldo.plans.registry import ORACLES, QUERIES, Tables
 
-__all__ = ["ORACLES", "QUERIES", "closing", "declared", "intake", "ledger", "onboarding", "readmodels", "streams", "statement_by_store_month"]
+__all__ = ["ORACLES", "QUERIES", "certification", "closing", "declared", "intake", "ledger", "onboarding", "readmodels", "streams", "statement_by_store_month"]
 
 
 def statement_by_store_month(spark: SparkSession, sf_dir: str) -> DataFrame:

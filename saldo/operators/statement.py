@@ -122,6 +122,68 @@ def rolled_up(lines: DataFrame, store: str, sku: str, metric: str, amount: str,
     return lines.sparkSession.sql(sql, lines=lines)
 
 
+def certified(facts_: DataFrame, keys: Sequence[str], sku: str, metric: str, amount: str, components: Sequence[str]) -> DataFrame:
+    """Per keys a row '__store_total__', one for each product, and '__unassigned__' if some money has no product.
+
+    Columns: sku_key, a sum for each component (null where a row has no fact of it), profit (the sum of all
+    components; null unless all are there, and for what is unassigned), missing (names, comma-joined), and of the
+    total row only: products, complete_products, residual_<component> (the store's sum less its products') and
+    ready (every product complete, at least one, and no residual). Facts of other metrics are left out; a null
+    amount is a fact that is there and adds nothing; a blank product is none.
+
+    Products are summed first, over which the grouping sets and the gate are one more aggregate.
+    """
+    product = F.nullif(F.trim(F.col(sku).cast("string")), F.lit(""))
+    of = lambda m: F.col(metric) == m
+    zero = F.lit(0).cast("decimal(30,4)")
+    sums = [F.sum(F.when(of(m), F.coalesce(F.col(amount).cast(MONEY), zero))).cast("decimal(30,4)").alias(m) for m in components]
+    by_product = facts_.where(F.col(metric).isin(*components)).groupBy(*keys, product.alias("_sku")).agg(*sums)
+    whole = reduce(lambda a, b: a & b, [F.col(m).isNotNull() for m in components])
+    totals_ = [F.sum(m).cast("decimal(30,4)").alias(m) for m in components]
+    assigned = [F.sum(F.when(F.col("_sku").isNotNull(), F.col(m))).cast("decimal(30,4)").alias(f"_assigned_{m}") for m in components]
+    counts = [F.count_if(F.col("_sku").isNotNull()).alias("products"), F.count_if(F.col("_sku").isNotNull() & F.col("_whole")).alias("complete_products")]
+    sets = [[F.col(k) for k in keys], [*(F.col(k) for k in keys), F.col("_product")]]
+    told = by_product.withColumns({"_whole": whole, "_product": F.col("_sku")}).groupingSets(sets, *keys, "_product").agg(F.grouping("_product").alias("_total"), *totals_, *assigned, *counts)
+    total_row, unassigned = F.col("_total") == 1, (F.col("_total") == 0) & F.col("_product").isNull()
+    missing = F.concat_ws(",", *[F.when(F.col(m).isNull(), F.lit(m)) for m in components])
+    profit = F.when(~unassigned, reduce(lambda a, b: a + b, [F.col(m) for m in components])).cast("decimal(30,4)")
+    residual = {f"residual_{m}": F.when(total_row, F.coalesce(m, zero) - F.coalesce(f"_assigned_{m}", zero)).cast("decimal(30,4)") for m in components}
+    settled = reduce(lambda a, b: a & b, [F.col(r) == 0 for r in residual])
+    ready = F.when(total_row, (F.col("products") > 0) & (F.col("products") == F.col("complete_products")) & settled)
+    name = F.when(total_row, "__store_total__").when(unassigned, "__unassigned__").otherwise(F.col("_product"))
+    told = told.withColumns({"sku_key": name, "profit": profit, "missing": missing, **residual}).withColumn("ready", ready)
+    return told.select(*keys, "sku_key", *components, "profit", "missing", *[F.when(total_row, F.col(c)).alias(c) for c in ("products", "complete_products")], *residual, "ready")
+
+
+def with_products(facts_: DataFrame, order: str, metric: str, sku: str, sales: str, orders: Sequence[str] = ()) -> DataFrame:
+    """Facts with `sku` resolved: sales keep their own; other facts take the one product that all the sales of their orders
+    (the column `order` and those in `orders`) agree on, else their own if some sale has it, else none.
+
+    Each order's products are brought down to the least and the greatest before the join, and only known products join.
+    Facts without a key are spread over all tasks by a second one.
+    """
+    own = F.nullif(F.trim(F.col(sku).cast("string")), F.lit(""))
+    folded = lambda c: F.nullif(F.lower(F.trim(F.col(c).cast("string"))), F.lit(""))
+    sold = facts_.where((F.col(metric) == sales) & own.isNotNull()).select(folded(order).alias("_key"), own.alias("_own"))
+    of_order = sold.where("_key is not null").groupBy("_key").agg(F.min("_own").alias("_least"), F.max("_own").alias("_most"))
+    known = sold.where("_key is not null").select("_own").distinct().withColumn("_known", F.lit(True))
+    row = F.pmod(F.xxhash64(*[F.col(c) for c in facts_.columns]), F.lit(4096)).cast("int")
+
+    def looked_up(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+        spread = F.when(F.col(key).isNull(), row).otherwise(-1)
+        return rows.withColumn("_spread", spread).join(table.withColumn("_spread", F.lit(-1)), [key, "_spread"], "left").drop("_spread")
+
+    told = facts_.withColumn("_own", own)
+    tried = [order, *orders]
+    for i, c in enumerate(tried):
+        told = looked_up(told.withColumn("_key", folded(c)), of_order.withColumnsRenamed({"_least": f"_least{i}", "_most": f"_most{i}"}), "_key").drop("_key")
+    told = looked_up(told, known, "_own")
+    ends = [f"{e}{i}" for i in range(len(tried)) for e in ("_least", "_most")]
+    least, most = F.array_min(F.array(*ends)), F.array_max(F.array(*ends))
+    resolved = F.when(F.col(metric) == sales, F.col("_own")).when(least == most, least).when(F.col("_known"), F.col("_own"))
+    return told.withColumn(sku, resolved).drop("_own", "_known", *ends)
+
+
 def complete(df: DataFrame, keys: Sequence[str], metric: str, needed: Sequence[str]) -> DataFrame:
     """Which needed metrics each group lacks, and whether it is complete."""
     have = df.groupBy(*keys).agg(F.collect_set(F.when(F.col(metric).isin(*needed), F.col(metric))).alias("_have"))
