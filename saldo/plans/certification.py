@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from saldo.functions import text
 from saldo.functions.money import MONEY, money
-from saldo.operators import statement
+from saldo.operators import contracts, statement
 from saldo.plans.ledger import AMOUNT, GROSS, PRICE, number
 from saldo.plans.registry import Tables, query
 from saldo.sources import books
@@ -87,3 +85,100 @@ def orders_by_workbooks(t: Tables) -> DataFrame:
 def profiles_of_workbooks(t: Tables) -> DataFrame:
     told = books.sheet_profiles(order_books(t))
     return told.groupBy("width", "first_row", "header_row", F.concat_ws(",", "headers").alias("headers")).agg((F.sum("filled_rows") - F.count("*")).alias("data_rows"), (F.sum("filled_cells") - 5 * F.count("*")).alias("data_cells"), F.sum("numbers").alias("numbers"))
+
+
+CONTRACT = {"code": "orders-wallet-bank", "version": "1", "sources": {"export": {"side": "order"}, "settlement": {"side": "platform"}, "adjustment": {"side": "platform", "required": False}, "bank": {"side": "cash"}}}
+
+
+def contract_items(t: Tables) -> DataFrame:
+    """Orders as exported, their lines as settled, adjustments, and cash: of thirteen orders some lack a side, are excluded, are
+    one-sided by right or differ; of eight blocks of orders each is bridged to cash in another way."""
+    joined = t.lineitem.join(t.orders.select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    price, key = money("l_extendedprice"), F.col("o_orderkey")
+    m, block = key % 13, F.floor(key / 32)
+    way = block % 8
+    whole, own = block.cast("string"), F.concat_ws("-", block, key)
+    batch = F.when(way.isin(2, 3), own).when(way != 7, whole)
+    cash = F.when(way == 1, own).when(way == 3, F.concat_ws("-", block, F.lit("0"))).when(way != 7, whole)
+    item = lambda source, amount, route="two_sided": F.struct(F.lit(source).alias("source_type"), F.lit(route).alias("route"), amount.cast(MONEY).alias("amount"))
+    entries = [
+        F.when(m == 1, item("export", price, "excluded")).otherwise(item("export", price, "legal_single_sided")),
+        F.when(~m.isin(2, 3), item("settlement", price)),
+        F.when((m == 4) & (F.col("l_linenumber") == 1), item("adjustment", F.lit("-0.01"))),
+        F.when((m == 5) & (F.col("l_linenumber") == 1), item("adjustment", F.lit("2.5"))),
+        item("bank", price + F.when((way == 5) & (F.col("l_linenumber") == 1), F.lit("1").cast(MONEY)).otherwise(0)),
+    ]
+    # Orders of remainder 3 are two-sided but have no platform side.
+    told = joined.select(key.cast("string").alias("business_key"), m.alias("_m"), batch.alias("settlement_batch_key"), cash.alias("cash_bridge_key"), F.explode(F.array_compact(F.array(*entries))).alias("_i"))
+    route = F.when((F.col("_i.source_type") == "export") & (F.col("_m") == 3), "two_sided").otherwise(F.col("_i.route"))
+    return told.select("business_key", "settlement_batch_key", "cash_bridge_key", "_i.source_type", route.alias("route"), "_i.amount")
+
+
+ITEMS_OF_CONTRACT = f"""l AS (SELECT o_orderkey AS k, o_orderkey % 13 AS m, o_orderkey // 32 AS block, (o_orderkey // 32) % 8 AS c, l_linenumber AS n, {PRICE} AS price FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
+  o AS (SELECT k, price AS v FROM l WHERE m <> 1),
+  p AS (SELECT k, price AS v FROM l WHERE m NOT IN (2, 3) UNION ALL SELECT k, CASE m WHEN 4 THEN -0.01 ELSE 2.5 END FROM l WHERE m IN (4, 5) AND n = 1)"""
+
+
+@query(f"""WITH {ITEMS_OF_CONTRACT}, a AS (SELECT k, SUM(v) AS ov, COUNT(*) AS oc FROM o GROUP BY k), b AS (SELECT k, SUM(v) AS pv, COUNT(*) AS pc FROM p GROUP BY k),
+  j AS (SELECT k, COALESCE(ov, 0) AS ov, COALESCE(oc, 0) AS oc, COALESCE(pv, 0) AS pv, COALESCE(pc, 0) AS pc FROM a FULL JOIN b USING (k)),
+  t AS (SELECT *, CASE WHEN pc = 0 AND k % 13 = 2 THEN 'legal_single_sided' WHEN oc = 0 OR pc = 0 THEN 'missing_side' WHEN ABS(pv - ov) <= 0.01 THEN 'balanced' ELSE 'amount_mismatch' END AS status FROM j)
+SELECT CAST(k AS VARCHAR) AS business_key, CAST(ov AS DOUBLE) AS order_amount, CAST(pv AS DOUBLE) AS platform_amount, CAST(pv - ov AS DOUBLE) AS difference, CAST(oc AS BIGINT) AS orders, CAST(pc AS BIGINT) AS platforms,
+  CASE WHEN oc = 0 THEN 'right_only' WHEN pc = 0 THEN 'left_only' WHEN oc = 1 AND pc = 1 THEN '1:1' WHEN oc = 1 THEN '1:N' WHEN pc = 1 THEN 'N:1' ELSE 'N:M' END AS kind,
+  CASE WHEN oc = 0 THEN 'order' WHEN pc = 0 THEN 'platform' ELSE '' END AS missing, status, CAST(CASE WHEN status IN ('missing_side', 'amount_mismatch') THEN ABS(pv - ov) ELSE 0 END AS DOUBLE) AS exposure FROM t""")
+def contract_of_orders(t: Tables) -> DataFrame:
+    told = contracts.order_platform(contract_items(t), CONTRACT, route="route")
+    return told.select("business_key", *[number(c).alias(c) for c in ("order_amount", "platform_amount", "difference")], "orders", "platforms", "kind", "missing", "status", number("exposure").alias("exposure"))
+
+
+#: Batches and cash keys of an order by the way of its block: as items have them, and as bridges join them.
+BATCH = "CASE WHEN c IN (2, 3) THEN block || '-' || k WHEN c <> 7 THEN CAST(block AS VARCHAR) END"
+CASH = "CASE WHEN c = 1 THEN block || '-' || k WHEN c = 3 THEN block || '-0' WHEN c <> 7 THEN CAST(block AS VARCHAR) END"
+
+
+def contract_bridges(t: Tables) -> DataFrame:
+    """One batch to one cash row, to several, several to one, several to two, a pair told twice, one that differs; the last two blocks have none."""
+    keys = t.orders.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").select(F.col("o_orderkey").alias("k")).withColumn("block", F.floor(F.col("k") / 32)).withColumn("c", F.col("block") % 8)
+    whole, own = F.col("block").cast("string"), F.concat_ws("-", "block", "k")
+    pair = lambda a, b: F.struct(a.alias("settlement_batch_key"), b.alias("cash_bridge_key"))
+    of = F.col("c")
+    joined = F.when(of.isin(0, 5), F.array(pair(whole, whole))).when(of == 1, F.array(pair(whole, own))).when(of == 2, F.array(pair(own, whole)))
+    joined = joined.when(of == 3, F.array(*[pair(own, F.concat_ws("-", "block", F.lit(n))) for n in ("0", "1")])).when(of == 4, F.array(pair(whole, whole)))
+    distinct = keys.select("c", F.explode(joined).alias("_p")).select("c", "_p.*").distinct()
+    twice = distinct.where("c = 4")
+    return distinct.unionByName(twice).drop("c")
+
+
+@query(f"""WITH {ITEMS_OF_CONTRACT},
+  plat AS (SELECT k, block, c, price AS v FROM l WHERE m NOT IN (2, 3) UNION ALL SELECT k, block, c, CASE m WHEN 4 THEN -0.01 ELSE 2.5 END FROM l WHERE m IN (4, 5) AND n = 1),
+  keys AS (SELECT DISTINCT k, block, c FROM l),
+  node AS (SELECT c, block, CASE WHEN c = 7 THEN 'p:' || k ELSE 'b:' || {BATCH} END AS id, v, NULL AS w FROM plat UNION ALL SELECT c, block, CASE WHEN c = 7 THEN 'k:' || k ELSE 'c:' || {CASH} END, NULL, price + CASE WHEN c = 5 AND n = 1 THEN 1 ELSE 0 END FROM l
+    UNION ALL SELECT c, block, 'b:' || {BATCH}, NULL, NULL FROM keys WHERE c < 6 UNION ALL SELECT c, block, 'c:' || {CASH}, NULL, NULL FROM keys WHERE c < 6 UNION ALL SELECT c, block, 'c:' || block || '-1', NULL, NULL FROM keys WHERE c = 3),
+  g AS (SELECT c, CASE WHEN c > 5 THEN id ELSE CAST(block AS VARCHAR) END AS grp, MIN(id) AS component, COUNT(DISTINCT id) FILTER (WHERE id LIKE 'b:%') AS batches, COUNT(DISTINCT id) FILTER (WHERE id LIKE 'c:%') AS cashes,
+    COALESCE(SUM(v), 0) AS pv, COALESCE(SUM(w), 0) AS cv, COUNT(v) AS pc, COUNT(w) AS cc FROM node GROUP BY ALL),
+  t AS (SELECT *, CASE WHEN c IN (6, 7) THEN 'missing_cash_bridge' WHEN c = 4 OR batches > 1 AND cashes > 1 THEN 'ambiguous_cash_bridge' WHEN pc = 0 OR cc = 0 THEN 'missing_side' WHEN ABS(cv - pv) <= 0.01 THEN 'linked' ELSE 'cash_amount_mismatch' END AS status FROM g)
+SELECT component, batches, cashes, CAST(pv AS DOUBLE) AS platform_amount, CAST(cv AS DOUBLE) AS cash_amount, CAST(cv - pv AS DOUBLE) AS difference,
+  CASE WHEN c IN (6, 7) THEN NULL WHEN batches = 1 AND cashes = 1 THEN '1:1' WHEN batches = 1 THEN '1:N' WHEN cashes = 1 THEN 'N:1' ELSE 'N:M' END AS kind,
+  CASE WHEN c IN (6, 7) THEN 0 WHEN c = 4 THEN 2 ELSE batches * cashes END AS bridges, concat_ws(',', CASE WHEN pc = 0 THEN 'platform' END, CASE WHEN cc = 0 THEN 'cash' END) AS missing, status,
+  CAST(CASE status WHEN 'linked' THEN 0 WHEN 'missing_cash_bridge' THEN ABS(pv) + ABS(cv) ELSE ABS(cv - pv) END AS DOUBLE) AS exposure FROM t""")
+def contract_of_cash(t: Tables) -> DataFrame:
+    told = contracts.platform_cash(contract_items(t), contract_bridges(t), CONTRACT)
+    return told.select("component", "batches", "cashes", *[number(c).alias(c) for c in ("platform_amount", "cash_amount", "difference")], "kind", "bridges", "missing", "status", number("exposure").alias("exposure"))
+
+
+RULES = [{"mode": "required_source"}, {"mode": "control_total", "field": "amount", "dependency_field": "settled", "tolerance": "5000000"}, {"mode": "business_key", "field": "order_id", "dependency_field": "of_order", "allowed_unmatched": 25}, {"mode": "control_total", "field": "amount", "dependency_field": "settled", "applicable": False}]
+
+
+@query(f"""WITH mine AS (SELECT c_mktsegment AS store, strftime(o_orderdate, '%Y-%m') AS period, o_orderkey AS k, {GROSS} AS v FROM orders JOIN customer ON o_custkey = c_custkey),
+  theirs AS (SELECT store, period, k, SUM({PRICE}) AS w FROM mine JOIN lineitem ON l_orderkey = k WHERE l_returnflag <> 'R' AND period NOT LIKE '%-02' GROUP BY ALL),
+  a AS (SELECT store, period, SUM(v) AS v, COUNT(*) AS n FROM mine GROUP BY ALL), b AS (SELECT store, period, SUM(w) AS w, COUNT(*) AS hit FROM theirs GROUP BY ALL),
+  j AS (SELECT store, period, v, n, w, hit, hit IS NOT NULL AS there FROM a LEFT JOIN b USING (store, period))
+SELECT store, period, 0 AS rule, 'required_source' AS mode, CASE WHEN there THEN 'passed' ELSE 'pending' END AS status, CAST(NULL AS DOUBLE) AS actual, CAST(NULL AS DOUBLE) AS expected, CAST(NULL AS DOUBLE) AS difference FROM j
+UNION ALL SELECT store, period, 1, 'control_total', CASE WHEN NOT there THEN 'pending' WHEN ABS(v - w) <= 5000000 THEN 'passed' ELSE 'failed' END, CASE WHEN there THEN CAST(v AS DOUBLE) END, CAST(w AS DOUBLE), CAST(v - w AS DOUBLE) FROM j
+UNION ALL SELECT store, period, 2, 'business_key', CASE WHEN NOT there THEN 'pending' WHEN n - hit <= 25 THEN 'passed' ELSE 'failed' END, CAST(hit AS DOUBLE), CASE WHEN there THEN CAST(n AS DOUBLE) END, CAST(n - hit AS DOUBLE) FROM j
+UNION ALL SELECT store, period, 3, 'control_total', 'not_applicable', NULL, NULL, NULL FROM j""")
+def rules_between_sources(t: Tables) -> DataFrame:
+    mine = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_mktsegment").alias("store"), text.period("o_orderdate").alias("period"), F.col("o_orderkey").alias("order_id"), money("o_totalprice").alias("amount"))
+    lines = t.lineitem.where("l_returnflag <> 'R'").join(mine, F.col("l_orderkey") == F.col("order_id")).where("period not like '%-02'")
+    theirs = lines.select("store", "period", F.col("l_orderkey").alias("of_order"), money("l_extendedprice").alias("settled"))
+    told = contracts.cross_source(mine, theirs, RULES, ["store", "period"])
+    return told.select("store", "period", "rule", "mode", "status", *[number(c).alias(c) for c in ("actual", "expected", "difference")])
