@@ -82,9 +82,10 @@ def orphan_majors(rows: DataFrame, metrics: DataFrame, platform: str, major: str
     return lost.groupBy(platform, major).agg(F.count("*").alias("rows"), F.sum("_amount").alias("amount"))
 
 
-def gaps(figures: DataFrame, keys: Sequence[str], node: str, value: str, before: str, rows: str, linked: str, expected: str, blocking: str | None = None, every: bool = False) -> DataFrame:
+def gaps(figures: DataFrame, keys: Sequence[str], node: str, value: str, before: str, rows: str, linked: str, expected: str, blocking: str | None = None, every: bool = False, unclassified: str | None = None) -> DataFrame:
     """The gravest gap of every (keys, node): a blocking finding, missing, empty, zero though it has rows, nothing linked, money last month
-    but none now, or fewer linked rows than expected; none where all is well. With `every`, all its gaps, a row each."""
+    but none now, fewer linked rows than expected, rows that no rule claims (the column `unclassified` counts them), or rows
+    that are not linked; none where all is well. With `every`, all its gaps, a row each."""
     v, n = F.col(value), F.coalesce(F.col(rows), F.lit(0))
     kinds = [
         ("blocking", F.col(blocking) if blocking else F.lit(False)),
@@ -94,6 +95,7 @@ def gaps(figures: DataFrame, keys: Sequence[str], node: str, value: str, before:
         ("nothing_linked", (n > 0) & (F.col(linked) == 0)),
         ("dropped_to_zero", (v == 0) & (F.coalesce(F.col(before), F.lit(0)) != 0)),
         ("coverage", F.col(linked) < F.col(expected)),
+        ("unclassified", F.col(unclassified) > 0 if unclassified else F.lit(False)),
         ("unlinked", F.col(linked) < n),
     ]
     found = [F.when(F.coalesce(test, F.lit(False)), F.lit(k)) for k, test in kinds]

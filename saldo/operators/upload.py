@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -73,6 +74,49 @@ def upload_gates(df: DataFrame, key: str, at: str, amount: str, scope: Sequence[
     return told.union(lost.agg(F.lit("cross_source").alias("gate"), F.count("*").cast("double").alias("value"), (F.count("*") == 0).alias("passed")))
 
 
+def declared_gates(df: DataFrame, rules: Sequence[Mapping], keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, rule, gate, status, value, least, most) of each group and each declared rule, all in one aggregate.
+
+    A rule is {type, ...}: required_field and non_negative (field; value: the rows that break it), unique (fields; value:
+    the rows beyond the first of their values, a null being a value), row_count and order_count (min, max; field: the orders'
+    key), expected_volume (expected, tolerance: a share, 0.20), control_total (field, expected, tolerance: 0.01). Status is passed or
+    failed, or not_applicable for a rule on amounts whose field the table has not and for a volume or total without an
+    expected one; a required field that the table has not is failed. A group without rows has no row; an empty table
+    without keys has one for each rule.
+    """
+    out, n = [], F.count("*")
+    zero = F.lit(0).cast("decimal(30,4)")
+    for i, r in enumerate(rules):
+        kind, name = r["type"], r.get("field")
+        there = name in df.columns
+        least = most = value = None
+        if kind == "required_field":
+            value, most = n - F.count(name) if there else n, 0
+        elif kind == "non_negative" and there:
+            value, most = F.count_if(F.col(name) < 0), 0
+        elif kind == "unique":
+            value, most = n - F.count_distinct(F.struct(*[F.col(c) for c in r["fields"]])), 0
+        elif kind in ("row_count", "order_count"):
+            value, least, most = n if kind == "row_count" else F.count_distinct(name), r.get("min", 0), r.get("max")
+        elif kind == "expected_volume" and r.get("expected"):
+            share = Decimal(str(r.get("tolerance", "0.20")))
+            value, least, most = n, int(r["expected"] * (1 - share)), int(r["expected"] * (1 + share))
+        elif kind == "control_total" and there and r.get("expected") is not None:
+            expected, off = Decimal(str(r["expected"])), Decimal(str(r.get("tolerance", "0.01")))
+            value, least, most = F.coalesce(F.sum(F.col(name)), zero), expected - off, expected + off
+        elif kind not in ("non_negative", "expected_volume", "control_total"):
+            raise ValueError(f"no rule {kind}")
+        amount = lambda x: (F.lit(None) if x is None else F.lit(str(x)) if not isinstance(x, Column) else x).cast("decimal(30,4)")
+        low, high, told = amount(least), amount(most), amount(value)
+        passed = F.coalesce(told >= low, F.lit(True)) & F.coalesce(told <= high, F.lit(True))
+        if kind == "required_field" and not there:
+            passed = F.lit(False)
+        status = F.when(passed, "passed").otherwise("failed") if value is not None else F.lit("not_applicable")
+        gate = f"{kind}:{name}" if name and kind != "order_count" else f"{kind}:{','.join(r['fields'])}" if kind == "unique" else kind
+        out.append(F.struct(F.lit(i).alias("rule"), F.lit(gate).alias("gate"), status.alias("status"), told.alias("value"), low.alias("least"), high.alias("most")))
+    return df.groupBy(*keys).agg(F.array(*out).alias("_g")).select(*keys, F.explode("_g").alias("_g")).select(*keys, "_g.*")
+
+
 def upload_summary(df: DataFrame, keys: Sequence[str], key: str, at: str, amount: str) -> DataFrame:
     """Per group rows, distinct keys, first and last time, and incoming, outgoing and net money."""
     value = F.col(amount)

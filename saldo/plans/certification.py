@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from saldo.functions import text
 from saldo.functions.money import MONEY, money
-from saldo.operators import contracts, statement
+from saldo.operators import audit, contracts, profile, roles, statement, upload
 from saldo.plans.ledger import AMOUNT, GROSS, PRICE, number
 from saldo.plans.registry import Tables, query
 from saldo.sources import books
@@ -182,3 +182,58 @@ def rules_between_sources(t: Tables) -> DataFrame:
     theirs = lines.select("store", "period", F.col("l_orderkey").alias("of_order"), money("l_extendedprice").alias("settled"))
     told = contracts.cross_source(mine, theirs, RULES, ["store", "period"])
     return told.select("store", "period", "rule", "mode", "status", *[number(c).alias(c) for c in ("actual", "expected", "difference")])
+
+
+GATES = [
+    {"type": "required_field", "field": "ordered_at"}, {"type": "required_field", "field": "nowhere"}, {"type": "non_negative", "field": "amount"}, {"type": "non_negative", "field": "nowhere"}, {"type": "unique", "fields": ["o_custkey", "day"]},
+    {"type": "row_count", "min": 1}, {"type": "order_count", "field": "o_custkey", "max": 800}, {"type": "expected_volume", "expected": 3000, "tolerance": "0.02"}, {"type": "expected_volume"}, {"type": "control_total", "field": "amount", "expected": 0, "tolerance": "200000000"},
+]
+
+
+@query(f"""WITH r AS (SELECT o_orderpriority, o_custkey, CAST(o_orderdate AS DATE) AS day, CASE WHEN o_orderkey % 1009 <> 0 THEN 1 END AS ordered, CASE WHEN o_orderkey % 7 = 0 THEN -{GROSS} ELSE {GROSS} END AS amount FROM orders),
+  g AS (SELECT o_orderpriority, COUNT(*) AS n, COUNT(*) - COUNT(ordered) AS lost, COUNT(*) FILTER (WHERE amount < 0) AS negative, COUNT(*) - COUNT(DISTINCT (o_custkey, day)) AS again, COUNT(DISTINCT o_custkey) AS orders, SUM(amount) AS total FROM r GROUP BY ALL),
+  u AS (SELECT o_orderpriority, unnest([0, 1, 2, 3, 4, 5, 6, 7, 8, 9]) AS rule, unnest(['required_field:ordered_at', 'required_field:nowhere', 'non_negative:amount', 'non_negative:nowhere', 'unique:o_custkey,day', 'row_count', 'order_count', 'expected_volume', 'expected_volume', 'control_total:amount']) AS gate,
+    unnest([lost::DOUBLE, n, negative, NULL, again, n, orders, n, NULL, total]) AS value, unnest([NULL::DOUBLE, NULL, NULL, NULL, NULL, 1, 0, 2940, NULL, -200000000]) AS least, unnest([0::DOUBLE, 0, 0, NULL, 0, NULL, 800, 3060, NULL, 200000000]) AS most FROM g)
+SELECT o_orderpriority, rule, gate, CASE WHEN rule IN (3, 8) THEN 'not_applicable' WHEN value >= COALESCE(least, value) AND value <= COALESCE(most, value) THEN 'passed' ELSE 'failed' END AS status, value, least, most FROM u""")
+def gates_declared(t: Tables) -> DataFrame:
+    amount = F.when(F.col("o_orderkey") % 7 == 0, -money("o_totalprice")).otherwise(money("o_totalprice"))
+    rows = t.orders.select("o_orderpriority", "o_custkey", F.to_date("o_orderdate").alias("day"), F.when(F.col("o_orderkey") % 1009 != 0, F.col("o_orderdate")).alias("ordered_at"), amount.alias("amount"))
+    told = upload.declared_gates(rows, GATES, ["o_orderpriority"])
+    return told.select("o_orderpriority", "rule", "gate", "status", *[number(c).alias(c) for c in ("value", "least", "most")])
+
+
+@query(f"""WITH m AS (SELECT c_custkey, COUNT(o_orderkey) AS n, COUNT(o_orderkey) FILTER (WHERE o_orderkey % 5 > 1) AS linked, SUM(CASE WHEN o_orderstatus = 'P' THEN {GROSS} WHEN o_orderstatus IS NOT NULL THEN 0 END) AS v, COALESCE(SUM(CASE WHEN o_orderstatus = 'F' THEN {GROSS} ELSE 0 END), 0) AS before,
+    COUNT(o_orderkey) FILTER (WHERE o_orderpriority = '4-NOT SPECIFIED') AS unclaimed, COALESCE(BOOL_OR(o_totalprice > 400000), false) AS blocked FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL),
+  k AS (SELECT *, unnest(['blocking', 'missing', 'empty', 'zero_with_rows', 'nothing_linked', 'dropped_to_zero', 'coverage', 'unclassified', 'unlinked']) AS kind,
+    unnest([blocked, n = 0, v IS NULL, COALESCE(v = 0, false) AND n > 0, n > 0 AND linked = 0, COALESCE(v = 0, false) AND before <> 0, linked < n // 2 + 1, unclaimed > 0, linked < n]) AS hit, unnest([1, 2, 3, 4, 5, 6, 7, 8, 9]) AS severity FROM m)
+SELECT c_custkey, kind, severity, CAST(v AS DOUBLE) AS amount FROM k WHERE hit""")
+def gaps_of_customers(t: Tables) -> DataFrame:
+    orders, price = t.orders, money("o_totalprice")
+    rows = t.customer.join(orders, F.col("o_custkey") == F.col("c_custkey"), "left").groupBy("c_custkey").agg(
+        F.count("o_orderkey").alias("n"), F.count_if(F.col("o_orderkey") % 5 > 1).alias("linked"), F.sum(F.when(F.col("o_orderstatus") == "P", price).when(F.col("o_orderstatus").isNotNull(), F.lit(0).cast(MONEY))).alias("v"),
+        F.sum(F.when(F.col("o_orderstatus") == "F", price)).alias("before"), F.count_if(F.col("o_orderpriority") == "4-NOT SPECIFIED").alias("unclaimed"), F.bool_or(F.col("o_totalprice") > 400000).alias("blocked"),
+    )
+    figures = rows.withColumns({"node": F.lit("pending"), "expected": F.floor(F.col("n") / 2) + 1})
+    told = audit.gaps(figures, ["c_custkey"], "node", "v", "before", "n", "linked", "expected", blocking="blocked", every=True, unclassified="unclaimed")
+    return told.select("c_custkey", "kind", "severity", number("amount").alias("amount"))
+
+
+ROLES = {
+    "order_id": {"names": ["order id", "order number"], "kind": "id", "required": True}, "paid": {"names": ["paid amount"], "kind": "number", "required": True},
+    "ordered_at": {"names": ["date of order", "order date"], "kind": "time"}, "refund": {"names": ["refund"], "kind": "number", "required": True}, "remark": {"names": ["notes"], "kind": "text"},
+}
+
+
+@query("""SELECT name, role, reason, n_rows, CASE WHEN name = 'paid amount' THEN paid ELSE n_rows END AS filled FROM (VALUES ('order id', 'order_id', 'named as order id, holds id'), ('paid amount', 'paid', 'named as paid amount, holds number'), ('order date', 'ordered_at', 'named as order date, holds time'), ('customer', NULL, 'unknown name, holds id, fits no role that is left'), ('note', 'remark', 'named like notes, holds text'))
+  AS v(name, role, reason), (SELECT COUNT(*) AS n_rows, COUNT(*) FILTER (WHERE o_orderkey % 3 > 0) AS paid FROM orders)""")
+def roles_of_an_export(t: Tables) -> DataFrame:
+    key = F.col("o_orderkey")
+    code = lambda mark, c: F.concat(F.lit(mark), F.lpad(F.col(c).cast("string"), 12, "0"))
+    export = t.orders.select(
+        code("1", "o_orderkey").alias("order id"), F.when(key % 3 > 0, money("o_totalprice").cast("string")).alias("paid amount"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("order date"),
+        code("2", "o_custkey").alias("customer"), F.concat_ws(" ", F.lit("made"), "o_orderpriority").alias("note"),
+    )
+    profiles = [r.asDict() for r in profile.profile(export, export.columns).collect()]  # a row for each column
+    draft = roles.assigned(profiles, ROLES)
+    rows = [(c.column, c.role, c.reason, p["rows"], p["filled"]) for c, p in zip(draft.choices, profiles, strict=True)]
+    return t.spark.createDataFrame(rows, "name string, role string, reason string, n_rows long, filled long")
