@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from saldo.functions.money import MONEY, money, ratio, total
 from saldo.functions.predicates import where
 
+# What gross profit is made of, receipts first, and what comes between it and a store's profit.
+GROSS_METRICS = ("transaction_receipt", "transaction_refund", "transaction_compensation", "software_service_fee", "marketing_expense", "shipping_expense", "order_cost", "reship_cost", "commission", "procurement")
+ADVERTISING = "advertising"
+
 
 def value(spec: Mapping) -> Column:
     """sum of columns (null counts as 0), product (null stays null), count, or a constant."""
@@ -155,6 +159,29 @@ def certified(facts_: DataFrame, keys: Sequence[str], sku: str, metric: str, amo
     return told.select(*keys, "sku_key", *components, "profit", "missing", *[F.when(total_row, F.col(c)).alias(c) for c in ("products", "complete_products")], *residual, "ready")
 
 
+def profit_view(entries: DataFrame, keys: Sequence[str], sku: str, name: str, metric: str, amount: str, certified_: str | None = None) -> DataFrame:
+    """Per keys and product its name, the sums of all profit metrics, gross and store profit and their margins on receipts.
+
+    A metric without entries is 0, a margin over no receipts null, null amounts add nothing. An entry that is not
+    certified, of an unknown metric or without a product stops the plan, as do two names of one product in a group.
+    One aggregate with a conditional sum for each metric, combined before the shuffle.
+    """
+    known = (*GROSS_METRICS, ADVERTISING)
+    refuse = lambda test, why, good: F.when(test, F.raise_error(why)).otherwise(good)
+    value = F.coalesce(F.col(amount).cast(MONEY), F.lit(0))
+    if certified_:
+        value = refuse(~F.coalesce(F.col(certified_), F.lit(False)), F.lit("an entry is not certified"), value)
+    kind = refuse(~F.coalesce(F.col(metric).isin(*known), F.lit(False)), F.concat(F.lit("no metric "), F.coalesce(metric, F.lit("null"))), F.col(metric))
+    product = refuse(F.coalesce(F.col(sku).cast("string"), F.lit("")) == "", F.lit("an entry has no product"), F.col(sku))
+    rows = entries.select(*keys, product.alias(sku), F.col(name).alias("_name"), kind.alias("_metric"), value.alias("_value"))
+    sums = [F.coalesce(F.sum(F.when(F.col("_metric") == m, F.col("_value"))), F.lit(0)).cast("decimal(30,4)").alias(m) for m in known]
+    told = rows.groupBy(*keys, sku).agg(F.min("_name").alias(name), F.max("_name").alias("_other"), *sums)
+    told = told.withColumn(name, refuse(F.col(name) != F.col("_other"), F.concat(F.lit("two names of "), F.col(sku).cast("string")), F.col(name)))
+    told = told.withColumn("gross_profit", total(*GROSS_METRICS).cast("decimal(30,4)")).withColumn("store_profit", (F.col("gross_profit") + F.col(ADVERTISING)).cast("decimal(30,4)"))
+    margins = {f"{m}_margin": ratio(f"{m}_profit", GROSS_METRICS[0]) for m in ("gross", "store")}
+    return told.withColumns(margins).select(*keys, sku, name, *GROSS_METRICS, "gross_profit", "gross_margin", ADVERTISING, "store_profit", "store_margin")
+
+
 def with_products(facts_: DataFrame, order: str, metric: str, sku: str, sales: str, orders: Sequence[str] = ()) -> DataFrame:
     """Facts with `sku` resolved: sales keep their own; other facts take the one product that all the sales of their orders
     (the column `order` and those in `orders`) agree on, else their own if some sale has it, else none.

@@ -237,3 +237,28 @@ def roles_of_an_export(t: Tables) -> DataFrame:
     draft = roles.assigned(profiles, ROLES)
     rows = [(c.column, c.role, c.reason, p["rows"], p["filled"]) for c, p in zip(draft.choices, profiles, strict=True)]
     return t.spark.createDataFrame(rows, "name string, role string, reason string, n_rows long, filled long")
+
+
+#: When a line makes an entry of each metric, and its amount, as the SQL says it.
+ENTRIES = {
+    "transaction_receipt": ("l_returnflag <> 'A'", PRICE), "transaction_refund": ("l_returnflag = 'R'", f"-{PRICE}"), "transaction_compensation": ("l_returnflag = 'R' AND l_linestatus = 'F'", "5"), "software_service_fee": ("true", f"-{AMOUNT.format('l_tax')}"),
+    "marketing_expense": ("true", f"-{AMOUNT.format('l_discount')}"), "shipping_expense": ("l_linenumber = 1", "-8"), "order_cost": ("true", f"-20 * {AMOUNT.format('l_quantity')}"), "reship_cost": ("l_linenumber = 2 AND l_returnflag = 'R'", "-3"),
+    "commission": ("l_linenumber > 3", "-1.25"), "procurement": ("l_linenumber % 2 = 0", "-2"), "advertising": ("l_linestatus = 'O'", "-1"),
+}
+VIEW = ", ".join(f"COALESCE(SUM({v}) FILTER (WHERE {w}), 0) AS {m}" for m, (w, v) in ENTRIES.items())
+
+
+@query(f"""WITH v AS (SELECT strftime(l_shipdate, '%Y-%m') AS period, l_partkey AS sku, 'part ' || l_partkey AS sku_name, {VIEW} FROM lineitem GROUP BY ALL), g AS (SELECT *, {" + ".join(list(ENTRIES)[:10])} AS gross FROM v)
+SELECT period, sku, sku_name, {", ".join(f"CAST({m} AS DOUBLE) AS {m}" for m in ENTRIES)}, CAST(gross AS DOUBLE) AS gross_profit, CAST(gross + advertising AS DOUBLE) AS store_profit,
+  round_even(gross / NULLIF(transaction_receipt, 0), 4)::DOUBLE AS gross_margin, round_even((gross + advertising) / NULLIF(transaction_receipt, 0), 4)::DOUBLE AS store_margin FROM g""")
+def profit_by_part_month(t: Tables) -> DataFrame:
+    price, flag, status, n = money("l_extendedprice"), F.col("l_returnflag"), F.col("l_linestatus"), F.col("l_linenumber")
+    entry = lambda metric, amount: F.struct(F.lit(metric).alias("metric"), amount.cast(MONEY).alias("amount"))
+    of_line = [
+        F.when(flag != "A", entry("transaction_receipt", price)), F.when(flag == "R", entry("transaction_refund", -price)), F.when((flag == "R") & (status == "F"), entry("transaction_compensation", F.lit(5))),
+        entry("software_service_fee", -money("l_tax")), entry("marketing_expense", -money("l_discount")), F.when(n == 1, entry("shipping_expense", F.lit(-8))), entry("order_cost", -(money("l_quantity") * 20)),
+        F.when((n == 2) & (flag == "R"), entry("reship_cost", F.lit(-3))), F.when(n > 3, entry("commission", F.lit("-1.25"))), F.when(n % 2 == 0, entry("procurement", F.lit(-2))), F.when(status == "O", entry("advertising", F.lit(-1))),
+    ]
+    entries = t.lineitem.select(text.period("l_shipdate").alias("period"), F.col("l_partkey").alias("sku"), F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("sku_name"), F.explode(F.array_compact(F.array(*of_line))).alias("_e"))
+    told = statement.profit_view(entries.select("period", "sku", "sku_name", "_e.*"), ["period"], "sku", "sku_name", "metric", "amount")
+    return told.select("period", "sku", "sku_name", *[number(c).alias(c) for c in told.columns if c not in ("period", "sku", "sku_name")])

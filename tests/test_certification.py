@@ -2,6 +2,9 @@
 
 from decimal import Decimal
 
+import pytest
+from pyspark.sql import functions as F
+
 from saldo.operators import statement
 
 COMPONENTS = ("sales", "refund", "cost")
@@ -41,3 +44,18 @@ def test_products_of_other_facts(spark):
     got = {(r["metric"], r["order_id"]): r["sku"] for r in statement.with_products(table, "order_id", "metric", "sku", "s", ["sub"]).collect()}
     assert len(got) == len(rows) and [got["s", o] for o in ("O1", "o2", "O2 ", None)] == ["p", "p", "q", "r"]
     assert [v for (m, _), v in sorted(got.items(), key=lambda x: x[0][0]) if m != "s"] == ["p", None, "q", "p", None, None, None]
+
+
+def test_profit_view(spark):
+    D = Decimal
+    rows = [("m", "p", "P", "transaction_receipt", D(100), True), ("m", "p", "P", "transaction_refund", D(-10), True), ("m", "p", "P", "order_cost", D("-33.3333"), True), ("m", "p", None, "advertising", D(-5), True), ("m", "p", "P", "commission", None, True), ("m", "q", "Q", "procurement", D(-2), True), ("n", "p", "P2", "advertising", D(-1), True)]
+    table = spark.createDataFrame(rows, "month string, sku string, name string, metric string, amount decimal(20,4), ok boolean")
+    view = lambda df: statement.profit_view(df, ["month"], "sku", "name", "metric", "amount", "ok").collect()
+    got = {(r["month"], r["sku"]): r for r in view(table)}
+    p, q, n = got["m", "p"], got["m", "q"], got["n", "p"]
+    assert (p["name"], p["gross_profit"], p["gross_margin"], p["store_profit"], p["store_margin"], p["commission"]) == ("P", D("56.6667"), D("0.5667"), D("51.6667"), D("0.5167"), 0)
+    assert (q["gross_profit"], q["gross_margin"], q["store_margin"]) == (-2, None, None) and (n["name"], n["gross_profit"], n["store_profit"]) == ("P2", 0, -1)
+    assert len(p.asDict()) == 3 + 11 + 4 and view(table.limit(0)) == []
+    for change, why in (({"ok": F.lit(False)}, "not certified"), ({"ok": F.lit(None).cast("boolean")}, "not certified"), ({"metric": F.lit("x")}, "no metric x"), ({"sku": F.lit("")}, "no product"), ({"month": F.lit("m")}, "two names of p")):
+        with pytest.raises(Exception, match=why):
+            view(table.withColumns(change))
