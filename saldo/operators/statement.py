@@ -194,17 +194,19 @@ def with_products(facts_: DataFrame, order: str, metric: str, sku: str, sales: s
     sold = facts_.where((F.col(metric) == sales) & own.isNotNull()).select(folded(order).alias("_key"), own.alias("_own"))
     of_order = sold.where("_key is not null").groupBy("_key").agg(F.min("_own").alias("_least"), F.max("_own").alias("_most"))
     known = sold.where("_key is not null").select("_own").distinct().withColumn("_known", F.lit(True))
-    row = F.pmod(F.xxhash64(*[F.col(c) for c in facts_.columns]), F.lit(4096)).cast("int")
+    row = F.pmod(F.xxhash64(*[F.col(c) for c in facts_.columns]), F.lit(4096)).cast("string")
+    # What has no key gets one of many that no table has.
+    spread = lambda key: F.coalesce(F.concat(F.lit("="), key), F.concat(F.lit("-"), row))
 
-    def looked_up(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
-        spread = F.when(F.col(key).isNull(), row).otherwise(-1)
-        return rows.withColumn("_spread", spread).join(table.withColumn("_spread", F.lit(-1)), [key, "_spread"], "left").drop("_spread")
+    def looked_up(rows: DataFrame, table: DataFrame, key: Column, name: str) -> DataFrame:
+        keyed = table.withColumn("_at", F.concat(F.lit("="), F.col(name))).drop(name)
+        return rows.withColumn("_at", spread(key)).join(keyed, "_at", "left").drop("_at")
 
     told = facts_.withColumn("_own", own)
     tried = [order, *orders]
     for i, c in enumerate(tried):
-        told = looked_up(told.withColumn("_key", folded(c)), of_order.withColumnsRenamed({"_least": f"_least{i}", "_most": f"_most{i}"}), "_key").drop("_key")
-    told = looked_up(told, known, "_own")
+        told = looked_up(told, of_order.withColumnsRenamed({"_least": f"_least{i}", "_most": f"_most{i}"}), folded(c), "_key")
+    told = looked_up(told, known, F.col("_own"), "_own")
     ends = [f"{e}{i}" for i in range(len(tried)) for e in ("_least", "_most")]
     least, most = F.array_min(F.array(*ends)), F.array_max(F.array(*ends))
     resolved = F.when(F.col(metric) == sales, F.col("_own")).when(least == most, least).when(F.col("_known"), F.col("_own"))
