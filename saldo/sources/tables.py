@@ -11,6 +11,7 @@ reads them sheet by sheet in bounded memory.
 from __future__ import annotations
 
 import csv
+import functools
 import io
 import posixpath
 import re
@@ -172,31 +173,54 @@ def write_csv(df: DataFrame, path: str, encoding: str = "utf-8-sig") -> None:
 
 
 def _column(reference: str) -> int:
+    return _number_of(reference.rstrip("0123456789"))
+
+
+@functools.lru_cache(1 << 14)
+def _number_of(letters: str) -> int:
     n = 0
-    for letter in re.match("[A-Z]+", reference)[0]:
+    for letter in letters:
         n = 26 * n + ord(letter) - 64
     return n - 1
 
 
+def _mentions(book: zipfile.ZipFile, part: str, word: bytes) -> bool:
+    """Whether a word stands anywhere in a part's bytes: tells parts that need no parsing for it."""
+    with book.open(part) as stream:
+        end = b""
+        while chunk := stream.read(1 << 20):
+            if word in end + chunk:
+                return True
+            end = chunk[1 - len(word) :]
+    return False
+
+
 def _elements(book: zipfile.ZipFile, part: str, tag: str) -> Iterator[ElementTree.Element]:
     """Elements of a part as they are read; none is kept."""
     with book.open(part) as stream:
+        wanted, inside = MAIN + tag, 0
         open_elements: list[ElementTree.Element] = []
         for event, element in ElementTree.iterparse(stream, ("start", "end")):
             if event == "start":
                 open_elements.append(element)
+                inside += element.tag == wanted
                 continue
             open_elements.pop()
-            if element.tag == MAIN + tag:
+            if element.tag == wanted:
+                inside -= 1
                 yield element
-            if open_elements and not any(e.tag == MAIN + tag for e in open_elements):
+            if open_elements and not inside:
                 open_elements[-1].remove(element)
 
 
 def _rows(book: zipfile.ZipFile, part: str, shared: Sequence[str]) -> Iterator[tuple[int, dict[int, str | None]]]:
     """(row number, cells by column) of a sheet; merged cells, which stand behind all rows, are read first, and a row is held at a time."""
     merged: list[tuple[int, int, int, int]] = []
-    for m in _elements(book, part, "mergeCell"):
+    # A sheet that is not plainly in an encoding of single bytes is parsed in any case.
+    with book.open(part) as stream:
+        mark = stream.read(2)
+        plain = mark[:1] == b"<" and mark[1:] != b"\0"
+    for m in _elements(book, part, "mergeCell") if not plain or _mentions(book, part, b"mergeCell") else ():
         first, _, last = m.get("ref").partition(":")
         top, bottom = (int(re.search("[0-9]+", x)[0]) for x in (first, last or first))
         merged.append((top, bottom, _column(first), _column(last or first)))

@@ -65,3 +65,16 @@ def test_merged_cells_reach_over_rows_that_are_not_there():
         ("S", 2, ["a", None, "c"]), ("S", 3, ["a", "7"]), ("S", 4, ["a"]), ("S", 5, ["a"]),
         ("S", 7, [None] * 5), ("S", 9, [None, "z", "z"]), ("S", 10, [None, "z", "z"]),
     ]
+
+
+@pytest.mark.parametrize("encoding", ["utf-8", "utf-8-sig", "utf-16", "utf-16-le", "utf-16-be"])
+def test_merged_cells_are_found_in_every_encoding(encoding):
+    """Also where the word lies across two of the chunks that are looked at."""
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    declared = f'<?xml version="1.0" encoding="{"utf-8" if encoding.startswith("utf-8") else "utf-16"}"?>'
+    for pad in (0, (1 << 20) - 230, (1 << 20) - 222):
+        sheet = f'{declared}<worksheet xmlns="{main}"><sheetData><row r="1"><c r="AB1" t="inlineStr"><is><t>{"x" * pad}</t></is></c></row></sheetData><mergeCells><mergeCell ref="AB1:AB2"/></mergeCells></worksheet>'
+        book = f'<workbook xmlns="{main}"><sheets><sheet name="S" sheetId="1"/></sheets></workbook>'
+        data = sheet.encode(encoding)
+        got = list(workbook(zipped({"xl/workbook.xml": book, "xl/worksheets/sheet1.xml": data})))
+        assert [(r, len(c), len(c[27])) for _, r, c in got] == [(1, 28, pad), (2, 28, pad)]
