@@ -188,7 +188,7 @@ def store_aliases(t: Tables) -> DataFrame:
 def platform_ladder(t: Tables) -> DataFrame:
     k = F.col("s_suppkey")
     rows = t.supplier.select("s_suppkey", F.when(k % 4 == 0, F.concat(F.lit("TM-"), k)).when(k % 4 == 1, F.concat(k, F.lit("-pdd"))).otherwise(" ").alias("name"), F.when(k % 4 == 2, F.concat(F.lit("1688_"), k)).otherwise(k.cast("string")).alias("store_id"))
-    return rows.select("s_suppkey", upload.platform_of("name", "store_id", [("starts", "TM-", "tmall"), ("ends", "-pdd", "pdd"), ("starts", "1688", "1688")]).alias("platform"))
+    return rows.select("s_suppkey", upload.platform_of("name", "store_id", [("starts", "TM-", "tmall"), ("ends", "-pdd", "pdd"), ("starts", "1688_", "1688")]).alias("platform"))
 
 
 @query("""SELECT c_custkey, arg_max(o_orderkey, o_orderkey) AS newest FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY ALL""")

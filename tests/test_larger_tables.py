@@ -33,3 +33,7 @@ def test_candidates_of_parts_with_more_digits(spark, tmp_path):
     lines = "SELECT * FROM (VALUES (1, 1, 200000, 5, 'R', 'F'), (1, 2, 1, 1, 'R', 'O'), (2, 1, 900000, 70000, 'N', 'F'), (2, 3, 4, 4, 'A', 'O')) AS v(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus)"
     lines = lines.replace("SELECT *", "SELECT l_orderkey::BIGINT AS l_orderkey, l_linenumber, l_partkey::BIGINT AS l_partkey, l_suppkey::BIGINT AS l_suppkey, l_returnflag, l_linestatus")
     assert_same(spark, tmp_path, "candidate_choice", lineitem=lines)
+
+
+def test_platforms_of_keys_that_begin_like_a_mark(spark, tmp_path):
+    assert_same(spark, tmp_path, "platform_ladder", supplier="SELECT s_suppkey FROM range(16870, 16900) AS r(s_suppkey) UNION ALL SELECT unnest([1687::BIGINT, 1688, 1689, 1690, 168803])")
