@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,6 +23,9 @@ PARTS = {"%Y": r"\d{4}", "%m": r"\d{1,2}", "%d": r"\d{1,2}", "%H": r"([01]?\d|2[
 #: The layouts without separators, which have two digits a part, and those with; no text has two of them.
 COMPACT = r"^\d{8}(([01]\d|2[0-3])[0-5]\d[0-5]\d)?$"
 LAID_OUT = "|".join(f"^{re.sub('%.', lambda m: PARTS[m[0]], layout.replace('.', '[.]'))}$" for layout in DATE_LAYOUTS if not layout.startswith("%Y%m"))
+#: A date as it is usually written, and how whatever `parse_date` reads begins.
+USUAL_DATE = r"^\d{4}-\d{2}-\d{2}( ([01]\d|2[0-3]):[0-5]\d(:[0-5]\d)?)?\z"
+DATE_BEGINS = r"^(\d{5}|\d{4}[-/.年]|20)"
 NUMBER_MARKS, QUOTES_AND_BLANKS = "¥￥$€£元, \t\n\u000b\f\r\u3000\ufeff", " \t\n\u000b\f\r\u3000\ufeff\"'`"
 WIDE_MARKS, NARROW_MARKS = "（）［］｛｝：，．／", "()[]{}:,./"
 # How a file's name tells its month, and the century that is left out.
@@ -55,30 +59,48 @@ def norm_key(c: Column | str) -> Column:
     return F.nullif(bare, F.lit(""))
 
 
+def once(c: Column, made: Callable[[Column], Column]) -> Column:
+    """What is made of a value that is worked out once, however often it is used; not compiled, so for the rarer cells."""
+    return F.get(F.transform(F.array(c), made), F.lit(0))
+
+
 def parse_number(c: Column | str) -> Column:
-    """A dirty number as an amount: currency marks, thousands, per cent and brackets are understood, else null."""
-    bare = F.translate(column(c), NUMBER_MARKS, "")
-    bracketed = (bare.startswith("(") & bare.endswith(")")) | (bare.startswith("（") & bare.endswith("）"))
-    inner = F.when(bracketed, F.substr(bare, F.lit(2), F.length(bare) - 2)).otherwise(bare)
-    percent = inner.endswith("%")
-    number = F.when(percent, F.left(inner, F.length(inner) - 1)).otherwise(inner).try_cast("decimal(30,10)")
-    signed = F.when(bracketed, -number).otherwise(number)
-    return F.when(percent, signed / 100).otherwise(signed).cast(MONEY)
+    """A dirty number as an amount: currency marks, thousands, per cent and brackets are understood, else null.
+
+    What is a number as it stands takes one cast; only other cells with a digit are looked at further.
+    """
+    text = column(c).cast("string")
+
+    def marked(bare: Column) -> Column:
+        bracketed = (bare.startswith("(") & bare.endswith(")")) | (bare.startswith("（") & bare.endswith("）"))
+        inner = F.when(bracketed, F.substr(bare, F.lit(2), F.length(bare) - 2)).otherwise(bare)
+        percent = inner.endswith("%")
+        number = F.when(percent, F.left(inner, F.length(inner) - 1)).otherwise(inner).try_cast("decimal(30,10)")
+        signed = F.when(bracketed, -number).otherwise(number)
+        return F.when(percent, signed / 100).otherwise(signed).cast(MONEY)
+
+    dirty = F.when(text.rlike(r"\p{Nd}"), once(F.translate(text, NUMBER_MARKS, ""), marked))
+    return F.coalesce(text.try_cast("decimal(30,10)").cast(MONEY), dirty)
 
 
 def parse_date(c: Column | str) -> Column:
     """A dirty date: one of the layouts, with or without a zone; a spreadsheet's day number; or else what begins as a date of this century.
 
-    One pattern chooses how the text is read, and one cast reads it.
+    The usual layout is told by one pattern and read by one cast. Of other cells those that begin like a date are
+    looked at further.
     """
-    text = clean_cell(c)
-    plain = F.trim(F.substring_index(F.translate(text, "T", " "), "+", 1))
-    compact = plain.rlike(COMPACT)
-    parted = F.regexp_replace(plain, r"(?s)^(\d{4})\D+(\d{1,2})\D+(\d{1,2}).*$", "$1-$2-$3")
-    whole = F.concat_ws("-", F.substring(plain, 1, 4), F.substring(plain, 5, 2), F.substring(plain, 7, 2))
-    serial = F.date_add(F.lit("1899-12-30").cast("date"), F.floor(plain.try_cast("double")).cast("int"))
-    dated = F.when(plain.startswith("20") | plain.rlike(LAID_OUT), parted.try_cast("date"))
-    return F.when(compact, whole.try_cast("date")).when(plain.rlike(r"^\d{5}(\.\d+)?$"), serial).otherwise(dated)
+    shown = column(c).cast("string")
+    plain = F.trim(F.substring_index(F.translate(clean_cell(shown), "T", " "), "+", 1))
+
+    def read(plain: Column) -> Column:
+        compact = plain.rlike(COMPACT)
+        parted = F.regexp_replace(plain, r"(?s)^(\d{4})\D+(\d{1,2})\D+(\d{1,2}).*$", "$1-$2-$3")
+        whole = F.concat_ws("-", F.substring(plain, 1, 4), F.substring(plain, 5, 2), F.substring(plain, 7, 2))
+        serial = F.date_add(F.lit("1899-12-30").cast("date"), F.floor(plain.try_cast("double")).cast("int"))
+        dated = F.when(plain.startswith("20") | plain.rlike(LAID_OUT), parted.try_cast("date"))
+        return F.when(compact, whole.try_cast("date")).when(plain.rlike(r"^\d{5}(\.\d+)?$"), serial).otherwise(dated)
+
+    return F.when(shown.rlike(USUAL_DATE), F.substring(shown, 1, 10).try_cast("date")).when(plain.rlike(DATE_BEGINS), once(plain, read))
 
 
 def period(c: Column | str) -> Column:
@@ -119,11 +141,28 @@ def mask(c: Column | str) -> Column:
     return F.when(text.rlike(r"^-?[0-9]+(\.[0-9]+)?$"), number).when(text.isNotNull(), F.concat(F.lit("<text:len="), F.length(text).cast("string"), F.lit(":"), digest, F.lit(">")))
 
 
+#: The kinds that a column's values may all be of, the first that does.
+KINDS = ("id", "number", "time")
+
+
+def kinds_of(value: Column | str) -> dict[str, Column]:
+    """Whether a cleaned cell is an id (11 digits or more), a number, a time; null where it is empty."""
+    v = column(value)
+    tests = (v.rlike(r"^[@'\"]?[0-9]{11,}$"), parse_number(v).isNotNull(), parse_date(v).isNotNull())
+    return {kind: F.when(v.isNotNull(), test) for kind, test in zip(KINDS, tests, strict=True)}
+
+
+def shape_of_kinds(flags: Mapping[str, Column]) -> Column:
+    """Aggregate: the kind that all of a column's cells are of by what `kinds_of` says of each, else text; empty if there are none."""
+    out = F.when(F.count(flags[KINDS[0]]) == 0, "empty")
+    for kind in KINDS:
+        out = out.when(F.bool_and(flags[kind]), kind)
+    return out.otherwise("text")
+
+
 def shape_of(c: Column | str) -> Column:
     """Aggregate: whether a column's values are ids (11 digits or more), numbers, times, text, or there are none."""
-    value = clean_cell(c)
-    every = lambda test: F.bool_and(F.when(value.isNotNull(), test))
-    return F.when(F.count(value) == 0, "empty").when(every(value.rlike(r"^[@'\"]?[0-9]{11,}$")), "id").when(every(parse_number(value).isNotNull()), "number").when(every(parse_date(value).isNotNull()), "time").otherwise("text")
+    return shape_of_kinds(kinds_of(clean_cell(c)))
 
 
 def repaired(c: Column | str) -> Column:

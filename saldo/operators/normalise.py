@@ -52,8 +52,11 @@ def precision_of(*names: str) -> Column:
 
 def spans_months(*names: str) -> Column:
     """Whether a cell names two months or more, as a range does."""
-    months = F.regexp_extract_all(F.coalesce(*map(cell, names)), F.lit(MONTHS), F.lit(1))
-    return F.coalesce(F.size(F.array_distinct(F.transform(months, lambda m: F.regexp_replace(m, r"\D", "")))) > 1, F.lit(False))
+    shown = F.coalesce(*map(cell, names))
+    months = F.regexp_extract_all(shown, F.lit(MONTHS), F.lit(1))
+    several = F.size(F.array_distinct(F.transform(months, lambda m: F.regexp_replace(m, r"\D", "")))) > 1
+    # Two months have twelve characters at least.
+    return F.coalesce(F.when(F.length(shown) >= 12, several), F.lit(False))
 
 
 @dataclass(frozen=True)
@@ -159,10 +162,15 @@ def category_control(month: str) -> Kind:
 
 def canonical(rows: DataFrame, kind: Kind, keep: tuple[str, ...] = ()) -> DataFrame:
     """One canonical row per row: the columns kept, then key, amount, day and, if it is refused, the issue."""
-    own = [F.when(F.coalesce(test, F.lit(False)), code) for code, test in kind.refused]
-    issue = F.coalesce(F.when(kind.key.isNull(), "missing_business_key"), *own, F.when(kind.day.isNull(), "missing_occurred_at"), F.when(kind.value.isNull(), "invalid_money"))
-    said = rows.select(
-        *keep, F.lit(kind.dataset).alias("dataset"), F.lit(kind.side).alias("side"), F.lit(kind.metric).alias("metric"), kind.key.alias("business_key"), kind.key_kind.alias("key_kind"),
-        kind.sku.alias("sku"), kind.day.alias("occurred_on"), kind.precision.alias("precision"), kind.value.cast(MONEY).alias("amount"), issue.alias("issue"),
+    # What is read of a row's cells is worked out once, in a projection of its own.
+    read = rows.select(
+        *keep, kind.key.alias("_key"), kind.key_kind.alias("_key_kind"), kind.sku.alias("_sku"), kind.day.alias("_day"), kind.precision.alias("_precision"), kind.value.cast(MONEY).alias("_value"),
+        *[F.coalesce(test, F.lit(False)).alias(f"_refused{i}") for i, (_, test) in enumerate(kind.refused)],
+    )
+    own = [F.when(F.col(f"_refused{i}"), code) for i, (code, _) in enumerate(kind.refused)]
+    issue = F.coalesce(F.when(F.col("_key").isNull(), "missing_business_key"), *own, F.when(F.col("_day").isNull(), "missing_occurred_at"), F.when(F.col("_value").isNull(), "invalid_money"))
+    said = read.select(
+        *keep, F.lit(kind.dataset).alias("dataset"), F.lit(kind.side).alias("side"), F.lit(kind.metric).alias("metric"), F.col("_key").alias("business_key"), F.col("_key_kind").alias("key_kind"),
+        F.col("_sku").alias("sku"), F.col("_day").alias("occurred_on"), F.col("_precision").alias("precision"), F.col("_value").alias("amount"), issue.alias("issue"),
     )
     return said.withColumn("amount", F.when(F.col("issue").isNull(), F.col("amount")))

@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from saldo.functions.text import TOTAL_MARKERS, clean_cell, fold_header, mask, parse_date, parse_number, shape_of
+from saldo.functions.text import KINDS, TOTAL_MARKERS, clean_cell, fold_header, kinds_of, mask, parse_date, parse_number, shape_of_kinds
 
 # Headers that tell what a file is for.
 PURPOSES = (("orders", frozenset(("order_id", "paid_amount"))), ("advertising", frozenset(("campaign", "spend"))), ("settlement", frozenset(("order_id", "income"))), ("product_cost", frozenset(("sku", "unit_cost"))), ("shipping", frozenset(("tracking_no", "freight"))))
@@ -20,12 +20,14 @@ PURPOSES = (("orders", frozenset(("order_id", "paid_amount"))), ("advertising",
 
 def profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(name, kind, rows, filled, empty_share, samples) of each column; samples are the least and the greatest masked value."""
+    # Each cell is cleaned once, and read once as each kind; the aggregate sees flags only.
+    cells = df.select(*[clean_cell(F.col(name).cast("string")).alias(f"_{i}") for i, name in enumerate(columns)])
+    read = cells.select(*[c.alias(f"_{i}_{what}") for i in range(len(columns)) for what, c in {**kinds_of(f"_{i}"), "mask": mask(f"_{i}")}.items()])
     out = []
-    for name in columns:
-        value = clean_cell(F.col(name).cast("string"))
-        seen = F.array_distinct(F.array_compact(F.array(F.min(mask(value)), F.max(mask(value)))))
-        out.append(F.struct(F.lit(name).alias("name"), shape_of(F.col(name).cast("string")).alias("kind"), F.count("*").alias("rows"), F.count(value).alias("filled"), seen.alias("samples")))
-    return df.agg(F.array(*out).alias("_p")).select(F.explode("_p").alias("_p")).select("_p.*").withColumn("empty_share", F.round(F.try_divide(F.col("rows") - F.col("filled"), F.col("rows")), 6))
+    for i, name in enumerate(columns):
+        seen = F.array_distinct(F.array_compact(F.array(F.min(f"_{i}_mask"), F.max(f"_{i}_mask"))))
+        out.append(F.struct(F.lit(name).alias("name"), shape_of_kinds({k: F.col(f"_{i}_{k}") for k in KINDS}).alias("kind"), F.count("*").alias("rows"), F.count(f"_{i}_mask").alias("filled"), seen.alias("samples")))
+    return read.agg(F.array(*out).alias("_p")).select(F.explode("_p").alias("_p")).select("_p.*").withColumn("empty_share", F.round(F.try_divide(F.col("rows") - F.col("filled"), F.col("rows")), 6))
 
 
 def structure(lines: DataFrame, file: str, line: str, delimiter: str = ",") -> DataFrame:
@@ -99,8 +101,10 @@ def total_gaps(df: DataFrame, marker: str, amounts: Sequence[str], keys: Sequenc
     """(keys, column, declared, found, gap) of columns whose total rows say something else than their details add up to, in one pass."""
     plain = F.trim(F.col(marker).cast("string"))
     detail = F.coalesce(~plain.isin("", *TOTAL_MARKERS), F.lit(False))
-    sums = [F.struct(F.lit(c).alias("column"), F.sum(F.when(~detail, parse_number(F.col(c).cast("string")))).alias("declared"), F.sum(F.when(detail, parse_number(F.col(c).cast("string")))).alias("found")) for c in amounts]
-    told = df.groupBy(*keys).agg(F.array(*sums).alias("_s")).select(*keys, F.explode("_s").alias("_s")).select(*keys, "_s.*")
+    read = df.select(*keys, detail.alias("_detail"), *[parse_number(F.col(c).cast("string")).alias(f"_{i}") for i, c in enumerate(amounts)])
+    of = lambda i, test: F.sum(F.when(test, F.col(f"_{i}")))
+    sums = [F.struct(F.lit(c).alias("column"), of(i, ~F.col("_detail")).alias("declared"), of(i, F.col("_detail")).alias("found")) for i, c in enumerate(amounts)]
+    told = read.groupBy(*keys).agg(F.array(*sums).alias("_s")).select(*keys, F.explode("_s").alias("_s")).select(*keys, "_s.*")
     return told.withColumn("gap", F.col("declared") - F.col("found")).where(F.abs("gap") >= 0.005)
 
 

@@ -37,3 +37,46 @@ def test_candidates_of_parts_with_more_digits(spark, tmp_path):
 
 def test_platforms_of_keys_that_begin_like_a_mark(spark, tmp_path):
     assert_same(spark, tmp_path, "platform_ladder", supplier="SELECT s_suppkey FROM range(16870, 16900) AS r(s_suppkey) UNION ALL SELECT unnest([1687::BIGINT, 1688, 1689, 1690, 168803])")
+
+
+def uses(df, function):
+    """How often a function stands in the plan as it is written."""
+    return df._jdf.queryExecution().analyzed().toString().count(f"{function}(")
+
+
+def test_reading_a_cell_stays_small(spark):
+    """What reads a cell is written out once, not once for each use: of each of these there were dozens."""
+    from saldo.functions import text
+
+    rows = spark.createDataFrame([("1",)], "v string")
+    number, date = rows.select(text.parse_number("v").alias("n")), rows.select(text.parse_date("v").alias("d"))
+    assert uses(number, "translate") == 1 and uses(date, "substring_index") <= 2
+
+
+def test_canonical_reads_a_day_once(spark):
+    from saldo.operators import normalise
+
+    names = "order_id sku paid_amount refund_amount business_date campaign entity_type spend_amount row_no quantity unit_cost tracking_number freight_amount".split()
+    rows = spark.createDataFrame([], ", ".join(f"{n} string" for n in names))
+    for kind in (normalise.orders(), normalise.advertising(), normalise.cost("2024-05"), normalise.freight(), normalise.order_freight()):
+        # Twice for each day: by its own column, and twice more where the key is made of it.
+        assert uses(normalise.canonical(rows, kind), "substring_index") <= 6, kind.dataset
+
+
+def test_profiles_and_gaps_read_a_cell_once(spark):
+    from saldo.operators import profile
+
+    rows = spark.createDataFrame([("A", "1", "2")], "g string, marker string, paid string")
+    assert uses(profile.total_gaps(rows, "marker", ["paid"], ["g"]), "translate") == 1
+    assert uses(profile.profile(rows, ["paid"]), "substring_index") <= 2
+
+
+def test_cells_read_as_before(spark):
+    from saldo.functions import text
+
+    numbers = {"12": 12, " 1e3": 1000, "(5)": -5, "(-5)": 5, "（7%）": -0.07, "¥1,234.50元": 1234.5, "5%": 0.05, "2.00005": 2.0001, "--5": None, "x": None, "": None, "２.５": 2.5, "1 2": 12}
+    dates = {"2024-05-03": "2024-05-03", "2024-05-03 23:59": "2024-05-03", "2024-02-30": None, "2024-05-03\n": "2024-05-03", "1999/1/2 3:04": "1999-01-02", "20240503": "2024-05-03", "45000.5": "2023-03-15", "20x5-1-2": None, "2024年5月3日": "2024-05-03", "2024-05-03T10:00:00+08:00": "2024-05-03", "12.5": None, "": None}
+    rows = spark.createDataFrame([(v,) for v in {*numbers, *dates}], "v string").select("v", text.parse_number("v").alias("n"), text.parse_date("v").alias("d"))
+    got = {r["v"]: r for r in rows.collect()}
+    assert {v: None if got[v]["n"] is None else float(got[v]["n"]) for v in numbers} == numbers
+    assert {v: got[v]["d"] and got[v]["d"].isoformat() for v in dates} == dates
