@@ -126,6 +126,12 @@ def rolled_up(lines: DataFrame, store: str, sku: str, metric: str, amount: str,
     return lines.sparkSession.sql(sql, lines=lines)
 
 
+def summed_of(value: str, metric: str, name: str) -> Column:
+    """The sum over the rows of one metric only. By a filter of the aggregate: a row touches the sum of its own metric, not those of all."""
+    quoted = name.replace("\\", "\\\\").replace("'", "\\'")
+    return F.expr(f"sum(`{value}`) FILTER (WHERE `{metric}` = '{quoted}')")
+
+
 def certified(facts_: DataFrame, keys: Sequence[str], sku: str, metric: str, amount: str, components: Sequence[str]) -> DataFrame:
     """Per keys a row '__store_total__', one for each product, and '__unassigned__' if some money has no product.
 
@@ -138,10 +144,9 @@ def certified(facts_: DataFrame, keys: Sequence[str], sku: str, metric: str, amo
     Products are summed first, over which the grouping sets and the gate are one more aggregate.
     """
     product = F.nullif(F.trim(F.col(sku).cast("string")), F.lit(""))
-    of = lambda m: F.col(metric) == m
     zero = F.lit(0).cast("decimal(30,4)")
-    sums = [F.sum(F.when(of(m), F.coalesce(F.col(amount).cast(MONEY), zero))).cast("decimal(30,4)").alias(m) for m in components]
-    by_product = facts_.where(F.col(metric).isin(*components)).groupBy(*keys, product.alias("_sku")).agg(*sums)
+    rows = facts_.where(F.col(metric).isin(*components)).select(*keys, product.alias("_sku"), F.col(metric).alias("_metric"), F.coalesce(F.col(amount).cast(MONEY), zero).alias("_value"))
+    by_product = rows.groupBy(*keys, "_sku").agg(*[summed_of("_value", "_metric", m).cast("decimal(30,4)").alias(m) for m in components])
     whole = reduce(lambda a, b: a & b, [F.col(m).isNotNull() for m in components])
     totals_ = [F.sum(m).cast("decimal(30,4)").alias(m) for m in components]
     assigned = [F.sum(F.when(F.col("_sku").isNotNull(), F.col(m))).cast("decimal(30,4)").alias(f"_assigned_{m}") for m in components]
@@ -174,7 +179,7 @@ def profit_view(entries: DataFrame, keys: Sequence[str], sku: str, name: str, me
     kind = refuse(~F.coalesce(F.col(metric).isin(*known), F.lit(False)), F.concat(F.lit("no metric "), F.coalesce(metric, F.lit("null"))), F.col(metric))
     product = refuse(F.coalesce(F.col(sku).cast("string"), F.lit("")) == "", F.lit("an entry has no product"), F.col(sku))
     rows = entries.select(*keys, product.alias(sku), F.col(name).alias("_name"), kind.alias("_metric"), value.alias("_value"))
-    sums = [F.coalesce(F.sum(F.when(F.col("_metric") == m, F.col("_value"))), F.lit(0)).cast("decimal(30,4)").alias(m) for m in known]
+    sums = [F.coalesce(summed_of("_value", "_metric", m), F.lit(0)).cast("decimal(30,4)").alias(m) for m in known]
     told = rows.groupBy(*keys, sku).agg(F.min("_name").alias(name), F.max("_name").alias("_other"), *sums)
     told = told.withColumn(name, refuse(F.col(name) != F.col("_other"), F.concat(F.lit("two names of "), F.col(sku).cast("string")), F.col(name)))
     told = told.withColumn("gross_profit", total(*GROSS_METRICS).cast("decimal(30,4)")).withColumn("store_profit", (F.col("gross_profit") + F.col(ADVERTISING)).cast("decimal(30,4)"))
