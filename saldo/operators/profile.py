@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from saldo.functions.text import KINDS, TOTAL_MARKERS, clean_cell, fold_header, kinds_of, mask, parse_date, parse_number, shape_of_kinds
 
-# Headers that tell what a file is for.
+# How many rows of a declaration are broadcast, and headers that tell what a file is for.
+MOST_BROADCAST = 100_000
 PURPOSES = (("orders", frozenset(("order_id", "paid_amount"))), ("advertising", frozenset(("campaign", "spend"))), ("settlement", frozenset(("order_id", "income"))), ("product_cost", frozenset(("sku", "unit_cost"))), ("shipping", frozenset(("tracking_no", "freight"))))
 
 
@@ -148,6 +149,11 @@ def narrowed(facts: DataFrame, **wanted: str | None) -> DataFrame:
 
 
 def claimed(facts: DataFrame, metrics: DataFrame) -> DataFrame:
-    """Facts that their metric claims: metrics (metric_id, major) with a category own the facts of that category only, others all."""
+    """Facts that their metric claims: metrics (metric_id, major) with a category own the facts of that category only, others all.
+
+    Metrics are counted first, and up to 100,000 of them go to the facts: dealt by metric, all facts of one would be one task's.
+    """
     named = metrics.select(F.col("metric_id").alias("_id"), F.col("major").alias("_major"))
+    if named.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        named = F.broadcast(named)
     return facts.join(named, (F.col("metric_id") == F.col("_id")) & (F.col("_major").isNull() | (F.col("_major") == F.col("major"))), "left_semi")

@@ -96,3 +96,8 @@ def test_a_fact_touches_its_own_sum_only(spark):
     got = {r["sku_key"]: (r["it's"], r["b\\'"], r["missing"]) for r in told.select("sku_key", "`it's`", "`b\\'`", "missing").collect()}
     assert got == {"a": (1, 2, ""), "b": (0, None, "b\\'"), "__unassigned__": (4, None, "b\\'"), "__store_total__": (5, 2, "")}
     assert told._jdf.queryExecution().analyzed().toString().count("FILTER (WHERE") == 2
+
+
+def test_facts_of_one_metric_are_not_one_tasks(spark, sf_dir):
+    plan = QUERIES["claimed_facts"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
