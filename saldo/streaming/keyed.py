@@ -1,4 +1,4 @@
-"""Streams with state of their own for each key: the source that owns a row's content, and the log of a period.
+"""Streams with state of their own for each key: the sources that own rows' contents, and the logs of periods.
 
 State lives in the RocksDB store, on the executors' disks and in the checkpoint, so it may be larger than
 memory and a restarted stream goes on where it was. State that is to be forgotten after some days
@@ -11,7 +11,7 @@ import contextlib
 import json
 from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -21,6 +21,8 @@ from saldo.operators.dedupe import fingerprint
 STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 DAY_MS = 86_400_000
+#: Keys of state over which contents or periods are dealt: each costs a batch that touches it some calls between Python and Spark.
+BUCKETS = 8_192
 
 
 @contextlib.contextmanager
@@ -35,25 +37,34 @@ def rocksdb(spark: SparkSession) -> Iterator[None]:
 
 
 class FirstSource(StatefulProcessor):
-    """Rows of the source that brought their content first; the owner is forgotten some time after it was last written."""
+    """Rows of the source that brought their content first; the owner is forgotten some time after it was last written.
+
+    A key is a bucket of contents: a batch costs it one read and one write, however many contents it brings. What a
+    batch brings is one element of the bucket's list, so that nothing is written twice and an element's age is its contents'.
+    """
 
     def __init__(self, source: str, order: Sequence[str], names: Sequence[str], kind: T.DataType, keep_ms: int | None) -> None:
         self.source, self.order, self.names, self.kind, self.keep_ms = source, list(order), list(names), kind, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.owner = handle.getValueState("owner", T.StructType([T.StructField("source", self.kind)]), self.keep_ms)
+        fields = [T.StructField("prints", T.ArrayType(T.StringType())), T.StructField("sources", T.ArrayType(self.kind))]
+        self.owners = handle.getListState("owners", T.StructType(fields), self.keep_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803  the base class's names
-        known = self.owner.get()
-        if known is not None:
-            owner = known[0]
-            yield from (self.out(r) for r in rows if r[self.source] == owner)
+        known = {p: owner for prints, sources in self.owners.get() for p, owner in zip(prints, sources, strict=True)}
+        # Only here are the rows of a content held: those of the batch in which it is seen first.
+        fresh: dict[str, list[Row]] = {}
+        for r in rows:
+            if r["_print"] not in known:
+                fresh.setdefault(r["_print"], []).append(r)
+            elif r[self.source] == known[r["_print"]]:
+                yield self.out(r)
+        if not fresh:
             return
-        # Only here are the rows of one content held: those of the batch in which it is seen first.
-        rows = list(rows)
-        owner = min(rows, key=lambda r: tuple((r[c] is not None, r[c]) for c in self.order))[self.source]
-        self.owner.update((owner,))
-        yield from (self.out(r) for r in rows if r[self.source] == owner)
+        owners = {p: min(held, key=lambda r: tuple((r[c] is not None, r[c]) for c in self.order))[self.source] for p, held in fresh.items()}
+        self.owners.appendList([(list(owners), list(owners.values()))])
+        for p, held in fresh.items():
+            yield from (self.out(r) for r in held if r[self.source] == owners[p])
 
     def out(self, r: Row) -> Row:
         return Row(**{c: r[c] for c in self.names})
@@ -62,15 +73,20 @@ class FirstSource(StatefulProcessor):
         pass
 
 
-def first_source(stream: DataFrame, columns: Sequence[str], source: str, order: Sequence[str], keep_days: int | None = None) -> DataFrame:
+def bucket(c: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(buckets)).cast("int")
+
+
+def first_source(stream: DataFrame, columns: Sequence[str], source: str, order: Sequence[str], keep_days: int | None = None, buckets: int = BUCKETS) -> DataFrame:
     """Rows from the source that delivered their content first, whatever comes later from others; repeats inside the owner stay.
 
     A batch may hold any run of the stream: inside it the first row by `order` decides, after it the state. With
-    `keep_days` an owner is forgotten that long after its content was first seen, by the clock.
+    `keep_days` an owner is forgotten that long after its content was first seen, by the clock. Contents are dealt over
+    `buckets`, a number that is fixed for a checkpoint: a batch reads the buckets that it touches whole.
     """
-    kept = stream.withColumn("_print", fingerprint(columns))
+    kept = stream.withColumn("_print", fingerprint(columns)).withColumn("_bucket", bucket(F.col("_print"), buckets))
     processor = FirstSource(source, order, stream.columns, stream.schema[source].dataType, keep_days and keep_days * DAY_MS)
-    return kept.groupBy("_print").transformWithState(processor, stream.schema, "Append", "ProcessingTime" if keep_days else "None")
+    return kept.groupBy("_bucket").transformWithState(processor, stream.schema, "Append", "ProcessingTime" if keep_days else "None")
 
 
 def told(log: Mapping[tuple[str, int, str | None], int]) -> tuple[str, int, int, int, int]:

@@ -35,3 +35,52 @@ def test_period_log_in_any_order(spark):
     out = streamed(parts, lambda s: keyed.period_log(s, ["account"]), "update")
     last = out.groupBy("account").agg(F.max_by(F.struct("state", "version", "revisions", "restatements", "refused"), "batch").alias("s")).select("account", "s.*")
     assert {r["account"]: tuple(r)[1:] for r in last.collect()} == want
+
+
+class Held:
+    """A list state in memory that counts its calls."""
+
+    def __init__(self):
+        self.elements, self.calls = [], 0
+
+    def get(self):
+        self.calls += 1
+        return iter(list(self.elements))
+
+    def appendList(self, elements):  # noqa: N802
+        self.calls += 1
+        self.elements += elements
+
+    def put(self, elements):
+        self.calls += 1
+        self.elements = list(elements)
+
+
+class Handle:
+    def __init__(self):
+        self.held = Held()
+
+    def getListState(self, *_):  # noqa: N802
+        return self.held
+
+
+def test_a_batch_reads_and_writes_a_bucket_of_contents_once():
+    from pyspark.sql import Row
+    from pyspark.sql import types as T
+
+    handle, processor = Handle(), keyed.FirstSource("src", ["n"], ["n", "src"], T.StringType(), None)
+    processor.init(handle)
+    first = [Row(n=i, src="ab"[i % 2], _print=str(i // 2)) for i in range(200)]
+    assert [r["n"] for r in processor.handleInputRows((0,), iter(first), None)] == list(range(0, 200, 2)) and handle.held.calls == 2
+    second = [Row(n=i, src="b", _print=str(i)) for i in range(50, 150)]
+    assert [r["n"] for r in processor.handleInputRows((0,), iter(second), None)] == list(range(100, 150)) and handle.held.calls == 4
+    assert not list(processor.handleInputRows((0,), iter(second[:50]), None)) and handle.held.calls == 5
+
+
+def test_first_source_of_few_buckets(spark):
+    rows = [(i, "abc"[i * 7 % 3], i % 40, None if i % 5 else 1) for i in range(160)]
+    df = spark.createDataFrame(rows, "n int, src string, what int, v int")
+    parts = [df.where((F.col("n") >= a) & (F.col("n") < a + 80)) for a in (0, 80)]
+    got = streamed(parts, lambda s: keyed.first_source(s, ["what", "v"], "src", ["n"], buckets=3))
+    want = dedupe.incremental(df, ["what", "v"], "src", ["n"])
+    assert sorted(r["n"] for r in got.collect()) == sorted(r["n"] for r in want.collect())
