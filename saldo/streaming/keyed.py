@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import contextlib
 import json
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +23,8 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 DAY_MS = 86_400_000
 #: Keys of state over which contents or periods are dealt: each costs a batch that touches it some calls between Python and Spark.
 BUCKETS = 8_192
+#: Batches whose entries a bucket of periods keeps apart.
+ELEMENTS = 16
 
 
 @contextlib.contextmanager
@@ -109,9 +111,10 @@ def told(log: Mapping[tuple[str, int, str | None], int]) -> tuple[str, int, int,
 
 
 class PeriodLog(StatefulProcessor):
-    """The log of one period, equal entries with their number, and what it comes to after each batch; a timer forgets finished periods.
+    """The logs of periods, equal entries with their number, and what each comes to after a batch; a timer forgets a finished period.
 
-    The log is one value, so that a batch costs a period one read and one write.
+    A key is a bucket of periods, or one period if it is to be forgotten. What a batch brings is one element of the key's
+    list, so that a batch costs a key one read and one write; after some batches the elements become one again.
     """
 
     def __init__(self, keys: Sequence[str], keep_days: int | None) -> None:
@@ -119,21 +122,36 @@ class PeriodLog(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.log = handle.getValueState("log", T.StructType([T.StructField("entries", T.StringType())]))
+        self.log = handle.getListState("log", T.StructType([T.StructField("entries", T.StringType())]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        kept = self.log.get()
-        log = {(action, at, entry): n for action, at, entry, n in json.loads(kept[0])} if kept is not None else {}
+        new: dict[str, dict] = {}
+        named = {}
         for r in rows:
-            entry = (r["action"], r["at"], r["id"])
-            log[entry] = log.get(entry, 0) + 1
-        self.log.update((json.dumps([[*entry, n] for entry, n in log.items()], separators=(",", ":")),))
-        state, version, revisions, restatements, refused = told(log)
-        if self.keep_days and state in ("finalized", "restated"):
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.keep_days * DAY_MS)
-        yield Row(**dict(zip(self.keys, key, strict=True)), state=state, version=version, revisions=revisions, restatements=restatements, refused=refused)
+            if r["_period"] not in named:
+                named[r["_period"]] = {k: r[k] for k in self.keys}
+                new[r["_period"]] = {}
+            count(new[r["_period"]], [(r["action"], r["at"], r["id"], 1)])
+        kept = [json.loads(entries) for (entries,) in self.log.get()]
+        if len(kept) < ELEMENTS:
+            self.log.appendList([(json.dumps(listed(new), separators=(",", ":")),)])
+        else:
+            whole: dict[str, dict] = {}
+            for logs in (*kept, listed(new)):
+                for period, entries in logs.items():
+                    count(whole.setdefault(period, {}), entries)
+            kept = []
+            new = {period: whole[period] for period in new}
+            self.log.put([(json.dumps(listed(whole), separators=(",", ":")),)])
+        for period, log in new.items():
+            for logs in kept:
+                count(log, logs.get(period, ()))
+            state, version, revisions, restatements, refused = told(log)
+            if self.keep_days and state in ("finalized", "restated"):
+                for timer in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.keep_days * DAY_MS)
+            yield Row(**named[period], state=state, version=version, revisions=revisions, restatements=restatements, refused=refused)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         self.log.clear()
@@ -143,14 +161,28 @@ class PeriodLog(StatefulProcessor):
         pass
 
 
-def period_log(stream: DataFrame, keys: Sequence[str], keep_days: int | None = None) -> DataFrame:
+def count(log: dict, entries: Iterable) -> None:
+    """Add entries (action, at, id, number) to a log."""
+    for action, at, entry, n in entries:
+        log[action, at, entry] = log.get((action, at, entry), 0) + n
+
+
+def listed(logs: Mapping[str, Mapping]) -> dict[str, list]:
+    return {period: [[*entry, n] for entry, n in log.items()] for period, log in logs.items()}
+
+
+def period_log(stream: DataFrame, keys: Sequence[str], keep_days: int | None = None, buckets: int = BUCKETS) -> DataFrame:
     """State and counters of each period that a batch touches, from its whole log of (at, action, id) so far.
 
     The rules are those of `periods.period_states`: revisions count until the first finalize after the first
     preclose and are refused from then on, adjustments count after it and restate. As the log is kept, late and
     disordered rows give what they would have given in order. With `keep_days` a finished period that
-    rests for so long is forgotten.
+    rests for so long is forgotten; timers go by key, so each period is then a key of its own. Without it periods are dealt
+    over `buckets`, a number that is fixed for a checkpoint.
     """
-    rows = stream.select(*keys, F.unix_micros(F.col("at").cast("timestamp")).alias("at"), "action", F.col("id").cast("string").alias("id"))
+    micros = [F.unix_micros(F.col(k)) if isinstance(stream.schema[k].dataType, T.TimestampType) else F.col(k) for k in keys]
+    period = F.to_json(F.struct(*[c.cast("string").alias(f"c{i}") for i, c in enumerate(micros)]), {"ignoreNullFields": "false"})
+    rows = stream.select(*keys, F.unix_micros(F.col("at").cast("timestamp")).alias("at"), "action", F.col("id").cast("string").alias("id"), period.alias("_period"))
+    dealt = rows.groupBy(*keys) if keep_days else rows.withColumn("_bucket", bucket(F.col("_period"), buckets)).groupBy("_bucket")
     out = T.StructType([*[stream.schema[k] for k in keys], T.StructField("state", T.StringType()), *[T.StructField(c, T.LongType()) for c in ("version", "revisions", "restatements", "refused")]])
-    return rows.groupBy(*keys).transformWithState(PeriodLog(keys, keep_days), out, "Update", "ProcessingTime" if keep_days else "None")
+    return dealt.transformWithState(PeriodLog(keys, keep_days), out, "Update", "ProcessingTime" if keep_days else "None")

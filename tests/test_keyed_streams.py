@@ -84,3 +84,31 @@ def test_first_source_of_few_buckets(spark):
     got = streamed(parts, lambda s: keyed.first_source(s, ["what", "v"], "src", ["n"], buckets=3))
     want = dedupe.incremental(df, ["what", "v"], "src", ["n"])
     assert sorted(r["n"] for r in got.collect()) == sorted(r["n"] for r in want.collect())
+
+
+def test_a_batch_reads_and_writes_a_bucket_of_periods_once(monkeypatch):
+    from pyspark.sql import Row
+
+    monkeypatch.setattr(keyed, "ELEMENTS", 4)
+    pick = random.Random(9)
+    handle, processor = Handle(), keyed.PeriodLog(["account"], None)
+    processor.init(handle)
+    logs: dict[int, dict] = {}
+    for batch in range(14):
+        rows = [Row(account=pick.randrange(30), at=pick.randrange(9), action=pick.choice(["revise", "adjust", "preclose", "finalize"]), id=pick.choice(["1", "2", None])) for _ in range(50)]
+        for r in rows:
+            keyed.count(logs.setdefault(r["account"], {}), [(r["action"], r["at"], r["id"], 1)])
+        got = {r["account"]: tuple(r)[1:] for r in processor.handleInputRows((0,), iter([Row(**r.asDict(), _period=f"p{r['account']}") for r in rows]), None)}
+        assert got == {r["account"]: keyed.told(logs[r["account"]]) for r in rows}
+        assert handle.held.calls == 2 * (batch + 1) and len(handle.held.elements) <= 4
+
+
+def test_period_log_of_few_buckets_and_null_keys(spark):
+    pick = random.Random(5)
+    rows = [(pick.choice(["p", "q", "", None]), pick.choice([1, None]), f"2024-05-{pick.randrange(1, 29):02} 10:00:00", pick.choice(["revise", "adjust", "preclose", "finalize"]), str(pick.randrange(3))) for _ in range(200)]
+    df = spark.createDataFrame(rows, "account string, shop int, at string, action string, id string").withColumn("at", F.col("at").cast("timestamp"))
+    want = {tuple(r)[:2]: tuple(r)[2:] for r in periods.period_states(df, ["account", "shop"]).collect()}
+    parts = [df.where(F.xxhash64(*df.columns) % 2 == 0), df.where(F.xxhash64(*df.columns) % 2 != 0)]
+    out = streamed(parts, lambda s: keyed.period_log(s, ["account", "shop"], buckets=2), "update")
+    last = out.groupBy("account", "shop").agg(F.max_by(F.struct("state", "version", "revisions", "restatements", "refused"), "batch").alias("s")).select("account", "shop", "s.*")
+    assert {tuple(r)[:2]: tuple(r)[2:] for r in last.collect()} == want and len(want) == 8
