@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from saldo.functions.money import MONEY
-from saldo.operators.allocate import exact, with_totals
+from saldo.operators.allocate import exact
 
 UNORDERED = "(no order)"
 
@@ -41,7 +41,9 @@ def by_person(lines: DataFrame, shares: DataFrame, keys: Sequence[str], amount:
 
 def order_parts(lines: DataFrame, order: str, total: str, net: str, paid: str, by: Sequence[Column | str]) -> DataFrame:
     """An order's amount over its lines, exactly: by net revenue if that is positive, else by what the buyer paid if that is not zero, else evenly."""
-    told = with_totals(lines, [order], _net=F.sum(F.col(net).cast(MONEY)), _paid=F.sum(F.col(paid).cast(MONEY)))
+    # Windows, as in `exact`: one shuffle by the order serves all, and nothing is joined back.
+    group = Window.partitionBy(order)
+    told = lines.withColumns({"_net": F.sum(F.col(net).cast(MONEY)).over(group), "_paid": F.sum(F.col(paid).cast(MONEY)).over(group)})
     branch = F.when(F.col("_net") > 0, "net_revenue").when(F.col("_paid") != 0, "buyer_paid").otherwise("equal")
     weight = F.when(F.col("branch") == "net_revenue", F.col(net).cast(MONEY)).when(F.col("branch") == "buyer_paid", F.col(paid).cast(MONEY)).otherwise(F.lit(1).cast(MONEY))
     told = told.withColumn("branch", branch).withColumn("_weight", weight)

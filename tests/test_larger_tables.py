@@ -101,3 +101,19 @@ def test_a_fact_touches_its_own_sum_only(spark):
 def test_facts_of_one_metric_are_not_one_tasks(spark, sf_dir):
     plan = QUERIES["claimed_facts"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_parts_of_orders_shuffle_lines_once(spark, sf_dir):
+    plan = plan_of(QUERIES["order_branches"](spark, sf_dir))
+    assert plan.count("Exchange hashpartitioning") <= 2
+
+
+def test_largest_part_is_rounded_as_its_sql_rounds_it(spark, tmp_path):
+    """A third of 7.4999 is 2.49996666, so 2; as a part of four decimals it is 2.5000."""
+    orders = "SELECT * FROM (VALUES (1::BIGINT, 1.50007::DOUBLE), (2, 7.4999), (5, 2.4999), (7, 10.0)) AS v(o_orderkey, o_totalprice)"
+    lines = "SELECT o::BIGINT AS l_orderkey, n::INT AS l_linenumber, n::BIGINT AS l_partkey, 1::BIGINT AS l_suppkey, 1.0 * n::DOUBLE AS l_quantity, p::DOUBLE AS l_extendedprice, 0.0::DOUBLE AS l_discount, 0.0::DOUBLE AS l_tax, 'R' AS l_returnflag, 'F' AS l_linestatus, TIMESTAMP '1996-01-01' AS l_shipdate FROM (VALUES (1, 1, 1), (1, 2, 1), (1, 3, 1), (2, 1, 1), (2, 2, 1), (2, 3, 1), (5, 1, 3), (5, 2, 1), (7, 1, 1), (7, 2, 1)) AS v(o, n, p)"
+    assert_same(spark, tmp_path, "order_branches", orders=orders, lineitem=lines)
