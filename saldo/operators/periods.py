@@ -11,32 +11,25 @@ def assignments(rows: DataFrame, first: str, last: str) -> DataFrame:
 
     On each day the highest tier that applies counts. The first day without any gives
     'missing', with a conflict or a person twice 'conflict', with shares that do not
-    make 1 'ratio'; if all days hold but differ, 'split', else 'ok'. A row is spread
-    over the days of one period only, and days are summed before products.
+    make 1 'ratio'; if all days hold but differ, 'split', else 'ok'. Only days on which
+    something begins or has ended are looked at, as the days up to the next are like them.
     """
     begin, end = F.to_date(F.lit(first)), F.to_date(F.lit(last))
     held = rows.where((F.col("since") <= end) & (F.col("until") >= begin))
-    days = held.withColumn("day", F.explode(F.sequence(F.greatest("since", begin), F.least("until", end))))
-    share = F.col("ratio").cast("decimal(10,4)")
+    held = held.select("product", "person", "tier", "status", F.col("ratio").cast("decimal(10,4)").alias("share"), F.greatest("since", begin).alias("_from"), F.least("until", end).alias("_to"))
+    marks = held.select(F.col("product").alias("_product"), F.explode(F.array(begin, "_from", F.date_add("_to", 1))).alias("day")).where(F.col("day") <= end).distinct()
+    days = marks.join(held, marks["_product"].eqNullSafe(held["product"]) & (F.col("_from") <= F.col("day")) & (F.col("_to") >= F.col("day")), "left").withColumn("product", F.col("_product"))
+    active = F.col("status") == "active"
     by_tier = days.groupBy("product", "day", "tier").agg(
-        F.sum(F.when(F.col("status") == "active", share)).alias("total"), F.count_if(F.col("status") == "conflict").alias("conflicts"), F.count_if(F.col("status") == "active").alias("n"),
-        F.count_distinct(F.when(F.col("status") == "active", F.col("person"))).alias("persons"), F.bit_xor(F.when(F.col("status") == "active", F.xxhash64("person", share))).alias("signature"),
+        F.count("_from").alias("held"), F.sum(F.when(active, F.col("share"))).alias("total"), F.count_if(F.col("status") == "conflict").alias("conflicts"), F.count_if(active).alias("n"),
+        F.count_distinct(F.when(active, F.col("person"))).alias("persons"), F.bit_xor(F.when(active, F.xxhash64("person", "share"))).alias("signature"),
     )
-    top = by_tier.groupBy("product", "day").agg(F.max_by(F.struct("total", "conflicts", "n", "persons", "signature"), "tier").alias("d"))
-    fault = F.when((F.col("d.conflicts") > 0) | (F.col("d.n") == 0) | (F.col("d.n") != F.col("d.persons")), "conflict").when(F.col("d.total") != 1, "ratio")
+    top = by_tier.groupBy("product", "day").agg(F.sum("held").alias("held"), F.max_by(F.struct("total", "conflicts", "n", "persons", "signature"), "tier").alias("d"))
+    fault = F.when(F.col("held") == 0, "missing").when((F.col("d.conflicts") > 0) | (F.col("d.n") == 0) | (F.col("d.n") != F.col("d.persons")), "conflict").when(F.col("d.total") != 1, "ratio")
     told = top.select("product", "day", "d.signature", fault.alias("fault"))
-    # The days of a product in order: the first whose number is not its place leaves a gap before it.
-    place = F.row_number().over(Window.partitionBy("product").orderBy("day"))
-    gap = F.date_add(begin, F.col("place") - 1)
-    told = told.withColumn("place", place).withColumn("gap", F.when(F.col("day") != gap, gap))
-    whole = told.groupBy("product").agg(
-        F.min("gap").alias("gap"), F.count("*").alias("days"), F.min(F.when(F.col("fault").isNotNull(), F.struct("day", "fault"))).alias("fault"), F.count_distinct("signature").alias("signatures")
-    )
-    missing = F.coalesce("gap", F.when(F.col("days") <= F.datediff(end, begin), F.date_add(begin, F.col("days").cast("int"))))
-    whole = whole.withColumn("missing", missing)
-    late = F.col("missing").isNotNull() & (F.col("fault").isNull() | (F.col("missing") < F.col("fault.day")))
-    status = F.when(late, "missing").when(F.col("fault").isNotNull(), F.col("fault.fault")).when(F.col("signatures") > 1, "split").otherwise("ok")
-    return whole.select("product", status.alias("status"), F.when(late, F.col("missing")).otherwise(F.col("fault.day")).alias("failed_on"))
+    whole = told.groupBy("product").agg(F.min(F.when(F.col("fault").isNotNull(), F.struct("day", "fault"))).alias("fault"), F.count_distinct("signature").alias("signatures"))
+    status = F.coalesce("fault.fault", F.when(F.col("signatures") > 1, "split").otherwise("ok"))
+    return whole.select("product", status.alias("status"), F.col("fault.day").alias("failed_on"))
 
 
 def period_states(actions: DataFrame, keys: list[str]) -> DataFrame:

@@ -117,3 +117,38 @@ def test_largest_part_is_rounded_as_its_sql_rounds_it(spark, tmp_path):
     orders = "SELECT * FROM (VALUES (1::BIGINT, 1.50007::DOUBLE), (2, 7.4999), (5, 2.4999), (7, 10.0)) AS v(o_orderkey, o_totalprice)"
     lines = "SELECT o::BIGINT AS l_orderkey, n::INT AS l_linenumber, n::BIGINT AS l_partkey, 1::BIGINT AS l_suppkey, 1.0 * n::DOUBLE AS l_quantity, p::DOUBLE AS l_extendedprice, 0.0::DOUBLE AS l_discount, 0.0::DOUBLE AS l_tax, 'R' AS l_returnflag, 'F' AS l_linestatus, TIMESTAMP '1996-01-01' AS l_shipdate FROM (VALUES (1, 1, 1), (1, 2, 1), (1, 3, 1), (2, 1, 1), (2, 2, 1), (2, 3, 1), (5, 1, 3), (5, 2, 1), (7, 1, 1), (7, 2, 1)) AS v(o, n, p)"
     assert_same(spark, tmp_path, "order_branches", orders=orders, lineitem=lines)
+
+
+def test_assignments_look_at_days_of_change_only(spark):
+    import random
+
+    from saldo.operators import periods
+
+    pick = random.Random(7)
+    day = lambda d: datetime.date(2024, 4, 20) + datetime.timedelta(d)
+    rows = [(200, "a", "1", 1, "active", day(0), day(24)), (200, "b", "1", 1, "active", day(25), day(60))]
+    for p in [None, *range(150)]:
+        for _ in range(pick.randrange(1, 5)):
+            since = pick.choice([0, 0, 11, 14, 25])
+            rows.append((p, pick.choice("ab"), pick.choice(["0.5", "1.0", "1"]), pick.choice([0, 1]), pick.choice(["active", "active", "active", "conflict"]), day(since), day(pick.choice([since, since + 3, 24, 60, 60]))))
+    df = spark.createDataFrame(rows, "product int, person string, ratio string, tier int, status string, since date, until date")
+    out = periods.assignments(df, "2024-05-01", "2024-05-31")
+    want = {}
+    for p in {r[0] for r in rows}:
+        signs, fault = set(), None
+        mine = [r for r in rows if r[0] == p and r[6] >= day(11) and r[5] <= day(41)]
+        for d in map(day, range(11, 42)):
+            on = [r for r in mine if r[5] <= d <= r[6]]
+            on = [r for r in on if r[3] == max(x[3] for x in on)]
+            active = [r for r in on if r[4] == "active"]
+            if not on:
+                fault = fault or ("missing", d)
+            elif len(active) < len(on) or len({r[1] for r in active}) < len(active):
+                fault = fault or ("conflict", d)
+            elif sum(float(r[2]) for r in active) != 1:
+                fault = fault or ("ratio", d)
+            signs.add(tuple(sorted((r[1], float(r[2])) for r in active)))
+        if mine:
+            want[p] = fault or ("split" if len(signs) > 1 else "ok", None)
+    assert {r["product"]: (r["status"], r["failed_on"]) for r in out.collect()} == want
+    assert set(s for s, _ in want.values()) == {"missing", "conflict", "ratio", "split", "ok"} and uses(out, "sequence") == 0
