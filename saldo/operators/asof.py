@@ -51,19 +51,36 @@ def with_fallback(rows: DataFrame, versions: DataFrame, key: str, group: str, at
     return told.select(*rows.columns, *[c.alias(v) for v, c in chosen.items()], level.alias("matched_by"))
 
 
+def segments(versions: DataFrame, key: str, since: str, until: str, value: str) -> DataFrame:
+    """(_k, _from, _to, _n, _v): the stretches of a key's time through which the same versions hold, how many they are, and the value of a single one.
+
+    A version adds its number in its key where it begins and takes it off where it ends, so that the sum of the numbers
+    tells which one it is where one holds.
+    """
+    named = versions.select(F.col(key).alias("_k"), F.col(since).alias("_from"), F.col(until).alias("_to"), F.col(value).alias("_v"))
+    named = named.where(F.col("_k").isNotNull() & F.col("_from").isNotNull() & (F.col("_to").isNull() | (F.col("_from") < F.col("_to"))))
+    named = named.withColumn("_id", F.row_number().over(Window.partitionBy("_k").orderBy("_from", "_to", "_v")).cast("long"))
+    edges = named.select("_k", "_id", F.posexplode(F.array("_from", "_to")).alias("_end", "_at")).where("_at is not null")
+    sign = 1 - 2 * F.col("_end")
+    steps = edges.groupBy("_k", "_at").agg(F.sum(sign).alias("_n"), F.sum(sign * F.col("_id")).alias("_only"))
+    running = Window.partitionBy("_k").orderBy("_at")
+    told = steps.select("_k", F.col("_at").alias("_from"), F.lead("_at").over(running).alias("_to"), F.sum("_n").over(running).alias("_n"), F.sum("_only").over(running).alias("_only")).where("_n > 0")
+    values = named.select(F.col("_k").alias("_vk"), F.col("_id").alias("_vid"), "_v")
+    return told.join(values, (F.col("_k") == F.col("_vk")) & (F.when(F.col("_n") == 1, F.col("_only")) == F.col("_vid")), "left").select("_k", "_from", "_to", "_n", "_v")
+
+
 def interval(rows: DataFrame, versions: DataFrame, key: str, at: str, since: str, until: str, value: str) -> DataFrame:
     """The one version whose half-open interval holds the time; none and several are reported as such.
 
-    The condition has an equality on the key, so it is a hash or merge join with a filter, and the
-    result is reduced per row by an aggregate on the version side first.
+    Versions are cut into segments that don't overlap, so that a row meets one at most: the rows are joined once, and
+    neither made distinct nor counted. The condition has an equality on the key; the segments of a task's keys are hashed
+    in memory, so that the rows, which are many more, are not sorted.
     """
-    other = versions.select(F.col(key).alias("_k"), F.col(since).alias("_from"), F.col(until).alias("_to"), F.col(value).alias("_v"))
-    times = rows.select(F.col(key).alias("_rk"), F.col(at).alias("_at")).distinct()
-    held = (F.col("_k") == F.col("_rk")) & (F.col("_from") <= F.col("_at")) & (F.col("_to").isNull() | (F.col("_at") < F.col("_to")))
-    told = times.join(other, held, "left").groupBy("_rk", "_at").agg(F.count("_k").alias("_n"), F.max("_v").alias("_v"))
-    out = rows.join(told, rows[key].eqNullSafe(told["_rk"]) & rows[at].eqNullSafe(told["_at"]))
-    status = F.when(F.col("_n") == 0, "absent").when(F.col("_n") > 1, "overlapping").otherwise("found")
-    return out.select(*rows.columns, F.when(F.col("_n") == 1, F.col("_v")).alias(value), status.alias("status"))
+    cut = segments(versions, key, since, until, value).hint("shuffle_hash")
+    held = (rows[key] == F.col("_k")) & (F.col("_from") <= rows[at]) & (F.col("_to").isNull() | (rows[at] < F.col("_to")))
+    out = rows.join(cut, held, "left")
+    status = F.when(F.col("_n").isNull(), "absent").when(F.col("_n") > 1, "overlapping").otherwise("found")
+    return out.select(*[rows[c] for c in rows.columns], F.col("_v").alias(value), status.alias("status"))
 
 
 def owners_at(owners: DataFrame, period: str, key: str, since: str, values: Sequence[str]) -> DataFrame:

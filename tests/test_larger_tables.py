@@ -107,6 +107,27 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_interval_joins_its_rows_once(spark):
+    """The rows are neither made distinct nor joined a second time, and what holds is what trying every version gives."""
+    import random
+
+    from saldo.operators import asof
+
+    pick = random.Random(6)
+    day = [None, *(datetime.date(2024, 5, d) for d in range(1, 13))]
+    rows = [(i, pick.choice("abcd"), pick.choice(day)) for i in range(300)] + [(300, None, day[3])]
+    versions = [(pick.choice("abc"), pick.choice(day), pick.choice(day), pick.choice([1, 2, None])) for _ in range(25)] + [(None, day[1], None, 9), ("c", day[2], day[2], 9)]
+    lines = spark.createDataFrame(rows, "i int, k string, at date")
+    out = asof.interval(lines, spark.createDataFrame(versions, "k string, since date, until date, v int"), "k", "at", "since", "until", "v")
+    assert out.columns == ["i", "k", "at", "v", "status"] and plan_of(out).count("Scan ExistingRDD[i#") == 1 and "ShuffledHashJoin" in plan_of(out)
+    got = {r["i"]: (r["v"], r["status"]) for r in out.collect()}
+    want = {}
+    for i, k, at in rows:
+        held = [v for vk, a, b, v in versions if None not in (k, at, vk, a) and vk == k and a <= at and (b is None or at < b)]
+        want[i] = (None, "absent") if not held else (None, "overlapping") if len(held) > 1 else (held[0], "found")
+    assert got == want and len({s for _, s in want.values()}) == 3
+
+
 def test_parts_of_orders_shuffle_lines_once(spark, sf_dir):
     plan = plan_of(QUERIES["order_branches"](spark, sf_dir))
     assert plan.count("Exchange hashpartitioning") <= 2
