@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from saldo.functions.money import MONEY, column
+from saldo.operators.profile import MOST_BROADCAST
 from saldo.sources.shared import staged
 
 KINDS = ("link_rate", "coverage", "unclassified", "orphan_major", "completeness", "tie_out", "unlinked")
@@ -73,13 +74,25 @@ def unmatched(rows: DataFrame, label: str, major: str, amount: str, anchor: Sequ
 
 
 def orphan_majors(rows: DataFrame, metrics: DataFrame, platform: str, major: str, amount: str, anchor: Sequence[str]) -> DataFrame:
-    """(platform, major, rows, amount) of categories for which some platform has a metric (platform, major), but not this one."""
+    """(platform, major, rows, amount) of categories for which some platform has a metric (platform, major), but not this one.
+
+    Metrics are counted first, and up to 100,000 of them go to the rows, of which few are then left to tell apart; more
+    of them choose among the categories' sums. Rows are never dealt by category, as there are few.
+    """
     known = metrics.select(F.col(major).alias("_known")).distinct()
     covered = metrics.select(F.col(platform).alias("_p"), F.col(major).alias("_m")).distinct()
-    once = rows.where(F.col(major).isNotNull() & (F.col(major) != "")).groupBy(*anchor, platform, major).agg(F.min(F.col(amount).cast(MONEY)).alias("_amount"))
-    lost = once.join(known, F.col(major) == F.col("_known"), "left_semi")
-    lost = lost.join(covered, (F.col(platform) == F.col("_p")) & (F.col(major) == F.col("_m")), "left_anti")
-    return lost.groupBy(platform, major).agg(F.count("*").alias("rows"), F.sum("_amount").alias("amount"))
+    few = metrics.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    if few:
+        known, covered = F.broadcast(known), F.broadcast(covered)
+
+    def lost(df: DataFrame) -> DataFrame:
+        some = df.join(known, F.col(major) == F.col("_known"), "left_semi")
+        return some.join(covered, (F.col(platform) == F.col("_p")) & (F.col(major) == F.col("_m")), "left_anti")
+
+    named = rows.where(F.col(major).isNotNull() & (F.col(major) != ""))
+    once = (lost(named) if few else named).groupBy(*anchor, platform, major).agg(F.min(F.col(amount).cast(MONEY)).alias("_amount"))
+    told = once.groupBy(platform, major).agg(F.count("*").alias("rows"), F.sum("_amount").alias("amount"))
+    return told if few else lost(told)
 
 
 def gaps(figures: DataFrame, keys: Sequence[str], node: str, value: str, before: str, rows: str, linked: str, expected: str, blocking: str | None = None, every: bool = False, unclassified: str | None = None) -> DataFrame:

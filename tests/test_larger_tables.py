@@ -173,3 +173,16 @@ def test_assignments_look_at_days_of_change_only(spark):
             want[p] = fault or ("split" if len(signs) > 1 else "ok", None)
     assert {r["product"]: (r["status"], r["failed_on"]) for r in out.collect()} == want
     assert set(s for s, _ in want.values()) == {"missing", "conflict", "ratio", "split", "ok"} and uses(out, "sequence") == 0
+
+
+def test_orphan_majors_never_deal_rows_by_category(spark, monkeypatch):
+    from saldo.operators import audit
+
+    rows = spark.createDataFrame([(1, "p", "x", 1), (1, "p", "x", 1), (2, "p", "y", 2), (3, "q", "x", 4), (4, None, "y", 8), (5, "q", "z", 16), (6, "q", None, 32)], "i int, platform string, major string, v int")
+    metrics = spark.createDataFrame([("p", "y"), ("q", "x"), ("r", "x")], "platform string, major string")
+    for most in (100_000, 2):
+        monkeypatch.setattr(audit, "MOST_BROADCAST", most, raising=False)
+        out = audit.orphan_majors(rows, metrics, "platform", "major", "v", ["i"])
+        if most > 2:
+            assert plan_of(out).count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan_of(out)
+        assert {(r["platform"], r["major"]): (r["rows"], r["amount"]) for r in out.collect()} == {("p", "x"): (1, 1), (None, "y"): (1, 8)}, most
