@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from saldo.functions.money import MONEY, money, ratio, total
@@ -126,6 +126,11 @@ def rolled_up(lines: DataFrame, store: str, sku: str, metric: str, amount: str,
     return lines.sparkSession.sql(sql, lines=lines)
 
 
+def ticked(name: str) -> str:
+    """A column's name inside SQL that is formatted with DataFrames."""
+    return "`" + name.replace("`", "``").replace("{", "{{").replace("}", "}}") + "`"
+
+
 def summed_of(value: str, metric: str, name: str) -> Column:
     """The sum over the rows of one metric only. By a filter of the aggregate: a row touches the sum of its own metric, not those of all."""
     quoted = name.replace("\\", "\\\\").replace("'", "\\'")
@@ -141,18 +146,18 @@ def certified(facts_: DataFrame, keys: Sequence[str], sku: str, metric: str, amo
     ready (every product complete, at least one, and no residual). Facts of other metrics are left out; a null
     amount is a fact that is there and adds nothing; a blank product is none.
 
-    Products are summed first, over which the grouping sets and the gate are one more aggregate.
+    Products are summed first, and stores over them: the products' rows are named once and read twice, not dealt again.
     """
-    product = F.nullif(F.trim(F.col(sku).cast("string")), F.lit(""))
+    product = own_product(F.col(sku))
     zero = F.lit(0).cast("decimal(30,4)")
-    rows = facts_.where(F.col(metric).isin(*components)).select(*keys, product.alias("_sku"), F.col(metric).alias("_metric"), F.coalesce(F.col(amount).cast(MONEY), zero).alias("_value"))
+    rows = facts_.where(F.col(metric).isin(*components)).select(*keys, product.alias("_sku"), F.col(metric).alias("_metric"), F.coalesce(F.col(amount).cast(MONEY), F.lit(0).cast(MONEY)).alias("_value"))
     by_product = rows.groupBy(*keys, "_sku").agg(*[summed_of("_value", "_metric", m).cast("decimal(30,4)").alias(m) for m in components])
-    whole = reduce(lambda a, b: a & b, [F.col(m).isNotNull() for m in components])
-    totals_ = [F.sum(m).cast("decimal(30,4)").alias(m) for m in components]
-    assigned = [F.sum(F.when(F.col("_sku").isNotNull(), F.col(m))).cast("decimal(30,4)").alias(f"_assigned_{m}") for m in components]
-    counts = [F.count_if(F.col("_sku").isNotNull()).alias("products"), F.count_if(F.col("_sku").isNotNull() & F.col("_whole")).alias("complete_products")]
-    sets = [[F.col(k) for k in keys], [*(F.col(k) for k in keys), F.col("_product")]]
-    told = by_product.withColumns({"_whole": whole, "_product": F.col("_sku")}).groupingSets(sets, *keys, "_product").agg(F.grouping("_product").alias("_total"), *totals_, *assigned, *counts)
+    by_product = by_product.withColumn("_whole", reduce(lambda a, b: a & b, [F.col(m).isNotNull() for m in components]))
+    by, sums = ", ".join(map(ticked, keys)), [ticked(m) for m in components]
+    own = ["0 AS _total", "_sku", by, *sums, *["NULL"] * (len(sums) + 2)]
+    of_all = ["1", "NULL", by, *[f"CAST(SUM({m}) AS DECIMAL(30,4))" for m in sums], *[f"CAST(SUM(CASE WHEN _sku IS NOT NULL THEN {m} END) AS DECIMAL(30,4))" for m in sums], "COUNT(_sku)", "COUNT_IF(_sku IS NOT NULL AND _whole)"]
+    names = ["_total", "_product", *keys, *components, *[f"_assigned_{m}" for m in components], "products", "complete_products"]
+    told = facts_.sparkSession.sql(f"WITH p AS (SELECT * FROM {{products}}) SELECT {', '.join(filter(None, own))} FROM p UNION ALL SELECT {', '.join(filter(None, of_all))} FROM p{' GROUP BY ' + by if by else ''}", products=by_product).toDF(*names)
     total_row, unassigned = F.col("_total") == 1, (F.col("_total") == 0) & F.col("_product").isNull()
     missing = F.concat_ws(",", *[F.when(F.col(m).isNull(), F.lit(m)) for m in components])
     profit = F.when(~unassigned, reduce(lambda a, b: a + b, [F.col(m) for m in components])).cast("decimal(30,4)")
@@ -187,6 +192,16 @@ def profit_view(entries: DataFrame, keys: Sequence[str], sku: str, name: str, me
     return told.withColumns(margins).select(*keys, sku, name, *GROSS_METRICS, "gross_profit", "gross_margin", ADVERTISING, "store_profit", "store_margin")
 
 
+def own_product(sku: Column) -> Column:
+    """A product's name without the blanks around it; a blank one is none."""
+    return F.nullif(F.trim(sku.cast("string")), F.lit(""))
+
+
+def folded(key: Column) -> Column:
+    """An order's key as it is compared: without blanks around it, in small letters; a blank one is none."""
+    return F.nullif(F.lower(F.trim(key.cast("string"))), F.lit(""))
+
+
 def with_products(facts_: DataFrame, order: str, metric: str, sku: str, sales: str, orders: Sequence[str] = ()) -> DataFrame:
     """Facts with `sku` resolved: sales keep their own; other facts take the one product that all the sales of their orders
     (the column `order` and those in `orders`) agree on, else their own if some sale has it, else none.
@@ -194,9 +209,8 @@ def with_products(facts_: DataFrame, order: str, metric: str, sku: str, sales: s
     Each order's products are brought down to the least and the greatest before the join, and only known products join.
     Facts without a key are spread over all tasks by a second one.
     """
-    own = F.nullif(F.trim(F.col(sku).cast("string")), F.lit(""))
-    folded = lambda c: F.nullif(F.lower(F.trim(F.col(c).cast("string"))), F.lit(""))
-    sold = facts_.where((F.col(metric) == sales) & own.isNotNull()).select(folded(order).alias("_key"), own.alias("_own"))
+    own = own_product(F.col(sku))
+    sold = facts_.where((F.col(metric) == sales) & own.isNotNull()).select(folded(F.col(order)).alias("_key"), own.alias("_own"))
     of_order = sold.where("_key is not null").groupBy("_key").agg(F.min("_own").alias("_least"), F.max("_own").alias("_most"))
     known = sold.where("_key is not null").select("_own").distinct().withColumn("_known", F.lit(True))
     row = F.pmod(F.xxhash64(*[F.col(c) for c in facts_.columns]), F.lit(4096)).cast("string")
@@ -210,7 +224,7 @@ def with_products(facts_: DataFrame, order: str, metric: str, sku: str, sales: s
     told = facts_.withColumn("_own", own)
     tried = [order, *orders]
     for i, c in enumerate(tried):
-        told = looked_up(told, of_order.withColumnsRenamed({"_least": f"_least{i}", "_most": f"_most{i}"}), folded(c), "_key")
+        told = looked_up(told, of_order.withColumnsRenamed({"_least": f"_least{i}", "_most": f"_most{i}"}), folded(F.col(c)), "_key")
     told = looked_up(told, known, F.col("_own"), "_own")
     ends = [f"{e}{i}" for i in range(len(tried)) for e in ("_least", "_most")]
     least, most = F.array_min(F.array(*ends)), F.array_max(F.array(*ends))
@@ -218,6 +232,41 @@ def with_products(facts_: DataFrame, order: str, metric: str, sku: str, sales: s
     return told.withColumn(sku, resolved).drop("_own", "_known", *ends)
 
 
+def facts_of_lines(lines: DataFrame, order: str, entries: Sequence[Mapping], sales: str, keys: Sequence[str]) -> DataFrame:
+    """(keys, sku, metric, amount): the facts of lines of orders, with the products that `with_products` gives to them.
+
+    The lines of an order, and no others, have one value of `order`, and no fact names an order other than its line's. An
+    entry is {metric, amount, sku, orders, where}, Columns over a line, `orders` the keys that the fact names; that of
+    `sales` names its line's order by the first. Keys that differ from it are no order's.
+
+    An order's least and greatest product are told where its lines already are together, so that no fact is dealt by its
+    order. A product that its own line sells is known; only facts with another one are looked up among all that are sold.
+    """
+    (sale,) = [e for e in entries if e["metric"] == sales]
+    sold = lines.withColumns({"_key": folded(sale["orders"][0]), "_sold": F.when(sale.get("where", F.lit(True)), own_product(sale["sku"]))})
+    sold = sold.withColumn("_sold", F.when(F.col("_key").isNotNull(), F.col("_sold")))
+    known = sold.where("_sold is not null").select(F.col("_sold").alias("sku")).distinct().withColumn("_known", F.lit(True))
+    together = Window.partitionBy(order)
+    told = sold.withColumns({"_least": F.min("_sold").over(together), "_most": F.max("_sold").over(together)})
+
+    def facts_(of: Sequence[Mapping], asked: bool) -> DataFrame:
+        """The facts that must be looked up among all sold products, or those that need not."""
+        made = []
+        for e in of:
+            own, one, foreign = own_product(e["sku"]), F.lit(False), F.lit(False)
+            if e is not sale:
+                named = reduce(lambda a, b: a | b, [folded(k).eqNullSafe(F.col("_key")) for k in e["orders"]], F.lit(False))
+                one = named & F.col("_least").isNotNull() & F.col("_least").eqNullSafe(F.col("_most"))
+                foreign = ~one & own.isNotNull() & ~own.eqNullSafe(F.col("_sold"))
+            there = e.get("where", F.lit(True)) & (foreign if asked else ~foreign)
+            made.append(F.when(there, F.struct(F.when(one, F.col("_least")).otherwise(own).alias("sku"), F.lit(e["metric"]).alias("metric"), e["amount"].cast(MONEY).alias("amount"))))
+        return told.select(*keys, F.explode(F.array(*made)).alias("_f")).where("_f is not null").select(*keys, "_f.*")
+
+    others = [e for e in entries if e is not sale]
+    looked_up = facts_(others, True).join(known, "sku", "left").withColumn("sku", F.when(F.col("_known"), F.col("sku")))
+    return facts_(entries, False).unionByName(looked_up.drop("_known"))
+
+
 def complete(df: DataFrame, keys: Sequence[str], metric: str, needed: Sequence[str]) -> DataFrame:
     """Which needed metrics each group lacks, and whether it is complete."""
     have = df.groupBy(*keys).agg(F.collect_set(F.when(F.col(metric).isin(*needed), F.col(metric))).alias("_have"))

@@ -46,6 +46,36 @@ def test_products_of_other_facts(spark):
     assert [v for (m, _), v in sorted(got.items(), key=lambda x: x[0][0]) if m != "s"] == ["p", None, "q", "p", None, None, None]
 
 
+def test_facts_of_lines_have_the_products_of_facts(spark):
+    """Told where the lines of an order are together, products are those that the facts have when they are dealt by order."""
+    import random
+
+    pick = random.Random(1)
+    rows = [(o, n, pick.choice(["p", " q ", "r", "", None]), pick.choice(["p", "q", "s", "rx", " ", None]), pick.choice("ab")) for o in [*range(60), None] for n in range(1, 1 + pick.choice([1, 1, 2, 3]))]
+    lines = spark.createDataFrame(rows, "o int, n int, part string, other string, store string")
+    key, none = F.concat(F.lit(" K"), F.col("o").cast("string")), F.lit(None).cast("string")
+    entries = [
+        {"metric": "sales", "amount": F.col("n"), "sku": F.col("part"), "orders": [key]},
+        {"metric": "fee", "amount": F.lit(-1), "sku": F.col("other"), "orders": [F.lower(key)], "where": F.when(F.col("store") == "a", F.col("n") == 1)},
+        {"metric": "cost", "amount": F.col("n") * 2, "sku": F.col("other"), "orders": [F.when(F.col("n") > 1, "unknown"), F.when(F.col("n") == 1, key)]},
+        {"metric": "gift", "amount": F.lit("0.5"), "sku": F.concat(F.col("part"), F.lit(" ")), "orders": []},
+        {"metric": "none", "amount": F.lit(None), "sku": none, "orders": [F.lit(" "), key]},
+    ]
+    got = statement.facts_of_lines(lines, "o", entries, "sales", ["store", "n"])
+    assert got.columns == ["store", "n", "sku", "metric", "amount"]
+    apart = None
+    for e in entries:
+        order, sub = [*e["orders"], none, none][:2]
+        one = lines.where(e.get("where", F.lit(True))).select("store", "n", order.alias("order_id"), sub.alias("sub"), e["sku"].alias("sku"), F.lit(e["metric"]).alias("metric"), e["amount"].cast("decimal(20,4)").alias("amount"))
+        apart = one if apart is None else apart.unionByName(one)
+    want = statement.with_products(apart, "order_id", "metric", "sku", "sales", ["sub"]).select(got.columns)
+    ordered = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+    found = ordered(got)
+    assert found == ordered(want) and {r[2] for r in found} == {None, "p", "q", "r"}
+    # Both by the one product of the order and, where its sales don't agree, by a product that another order sells.
+    assert {r[2] for r in found if r[3] == "none"} == {None, "p", "q", "r"} and {"p", "q", None} <= {r[2] for r in found if r[3] == "cost"} and ordered(statement.facts_of_lines(lines.limit(0), "o", entries, "sales", ["store"])) == []
+
+
 def test_profit_view(spark):
     D = Decimal
     rows = [("m", "p", "P", "transaction_receipt", D(100), True), ("m", "p", "P", "transaction_refund", D(-10), True), ("m", "p", "P", "order_cost", D("-33.3333"), True), ("m", "p", None, "advertising", D(-5), True), ("m", "p", "P", "commission", None, True), ("m", "q", "Q", "procurement", D(-2), True), ("n", "p", "P2", "advertising", D(-1), True)]

@@ -186,3 +186,24 @@ def test_orphan_majors_never_deal_rows_by_category(spark, monkeypatch):
         if most > 2:
             assert plan_of(out).count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan_of(out)
         assert {(r["platform"], r["major"]): (r["rows"], r["amount"]) for r in out.collect()} == {("p", "x"): (1, 1), (None, "y"): (1, 8)}, most
+
+
+def rows_shuffled(spark, run):
+    """Rows that all stages of a run write for other tasks."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def written():
+        sc.listenerBus().waitUntilEmpty()
+        stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (stages.apply(i) for i in range(stages.size()))}
+
+    before = written()
+    run()
+    return sum(n for s, n in written().items() if s not in before)
+
+
+def test_facts_of_a_profit_are_not_dealt_by_order(spark, sf_dir):
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    told = QUERIES["certified_profit"](spark, sf_dir)
+    n = rows_shuffled(spark, lambda: told.write.format("noop").mode("overwrite").save())
+    assert lines < n < 3 * lines, (n, lines)
